@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import shared_dir, table
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return decode(encoded, path).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import DigestIndex
 
@@ -29,7 +44,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {"op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
