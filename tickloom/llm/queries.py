@@ -43,8 +43,18 @@ FROM d
 """
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_output import read_shards, write_shards
+
+    out = shared_dir(spark, "token-shards")
+    totals = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out, end_id=2)
+    return read_shards(spark, out, totals).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup}
+    return {"op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
