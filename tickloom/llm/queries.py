@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, table
+from .common import held_out, shared_dir, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = predict(docs, train(docs))
+    return out.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +62,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output}
+    return {"op2_language_id": op2_language_id, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
