@@ -17,6 +17,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = predict(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.withColumn("held_out", held_out(F.col("doc_id"), 4))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = predict(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.withColumn("held_out", held_out(F.col("doc_id"), 4))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +78,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output}
+    return {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
