@@ -42,19 +42,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-class _State:
-    __slots__ = ("arcs", "final", "items")
-
-    def __init__(self, items):
-        self.items = items
-        self.arcs: dict[int, tuple[_State, tuple[int, ...]]] = {}
-        self.final = next((out for _, node, out in items if node == 0), ())
-
-
 class Transducer:
     """Encodes one piece in a single left-to-right pass over its bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {i: t for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -69,23 +60,29 @@ class Transducer:
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = i
-        self._spines: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        self._spines: dict[int, tuple] = {}
+        self._pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.start = self._state(((-1, 0, ()),))
+        self.states: dict[tuple, int] = {}
+        self.items: list[tuple] = []  # of each state: its readings (last token, trie node, pending tokens)
+        self.final: list[tuple[int, ...]] = []  # of each state: what an end of the piece emits
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # state and byte to target and emitted tokens
+        self._state(((-1, 0, ()),))
 
-    def _state(self, items: tuple) -> _State:
+    def _state(self, items: tuple) -> int:
         s = self.states.get(items)
         if s is None:
-            s = self.states[items] = _State(items)
+            s = self.states[items] = len(self.items)
+            self.items.append(items)
+            self.final.append(next((out for _, node, out in items if node == 0), ()))
         return s
 
-    def _spine(self, token: int) -> tuple[list[bytes], list[bytes]]:
+    def _spine(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
         """The parts that hold the token's first byte, and those that hold its last, in the order merging makes them.
 
-        Both are empty for a token that merging its own bytes does not give. Merges happen in rising rank, so a part
+        Each comes with the rank of the merge that ends it. Both are empty for a token that merging its own bytes does not give. Merges happen in rising rank, so a part
         exists from its own rank until the next one's.
         """
         known = self._spines.get(token)
@@ -102,7 +99,11 @@ class Transducer:
                     first.append(parts[0])
                 if at == len(parts) - 1:
                     last.append(parts[-1])
-            known = self._spines[token] = (first, last) if parts == [piece] else ([], [])
+            if parts != [piece]:
+                first = last = []
+            known = self._spines[token] = tuple(
+                [(part, ranks[after] if after else _NEVER) for part, after in zip(side, [*side[1:], None], strict=False)] for side in (first, last)
+            )
         return known
 
     def follows(self, left: int, right: int) -> bool:
@@ -111,27 +112,36 @@ class Transducer:
         It may unless some part at the end of ``left`` and some part at the start of ``right`` that exist at the
         same time merge before either is merged within its own token (on equal rank the leftmost merge wins).
         """
+        key = (left + 1) << 32 | right
+        known = self._pairs.get(key)
+        if known is None:
+            if len(self._pairs) >= self.max_states:
+                self._pairs.clear()
+            known = self._pairs[key] = self._apart(left, right)
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
         first = self._spine(right)[0]
         if left < 0 or not first:
             return bool(first)
-        ranks, last = self.ranks, self._spine(left)[1]
+        rank, last = self.ranks.get, self._spine(left)[1]
         i = j = 0
         while True:
-            grows_left = ranks[last[i + 1]] if i + 1 < len(last) else _NEVER
-            grows_right = ranks[first[j + 1]] if j + 1 < len(first) else _NEVER
-            across = ranks.get(last[i] + first[j], _NEVER)
-            if across < grows_left and across <= grows_right and across != _NEVER:
+            part, ends_left = last[i]
+            other, ends_right = first[j]
+            across = rank(part + other)
+            if across is not None and across < ends_left and across <= ends_right:
                 return False
-            if grows_left == grows_right == _NEVER:
+            if ends_left == ends_right == _NEVER:
                 return True
-            if grows_left <= grows_right:
+            if ends_left <= ends_right:
                 i += 1
             else:
                 j += 1
 
-    def _arc(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
+    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         children, ends, items = self.children, self.ends, []
-        for last, node, out in state.items:
+        for last, node, out in self.items[state]:
             node = children[node].get(byte)
             if node is None:
                 continue
@@ -151,26 +161,28 @@ class Transducer:
         if emitted:
             n = len(emitted)
             items = [(last, node, out[n:]) for last, node, out in items]
-        arc = state.arcs[byte] = (self._state(tuple(items)), emitted)
+        arc = self.arcs[state << 8 | byte] = (self._state(tuple(items)), emitted)
         return arc
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
+        if len(self.items) > self.max_states:
             self._reset()
-        state, ids = self.start, []
+        arcs, state, ids = self.arcs, 0, []
         for byte in piece:
-            arc = state.arcs.get(byte)
+            arc = arcs.get(state << 8 | byte)
             if arc is None:
-                if len(self.states) > 2 * self.max_states:  # a very long piece: states in use stay reachable
-                    self.states.clear()
+                if len(self.items) > 2 * self.max_states:  # within a very long piece: only the present state stays
+                    items = self.items[state]
+                    self._reset()
+                    arcs, state = self.arcs, self._state(items)
                 arc = self._arc(state, byte)
             state, out = arc
             if out:
                 ids += out
-        ids += state.final
+        ids += self.final[state]
         return ids
 
 
@@ -208,7 +220,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.runs = re.compile(r"^\s|\s\s|\s\Z")
         self.machine = Transducer(ranks)
-        self.pieces = _Memo(self._piece, cap)
+        self.pieces = _Memo(self._piece, 2 * cap)
         self.words = _Memo(self._word, cap)
 
     def _piece(self, piece: str) -> bytes:
