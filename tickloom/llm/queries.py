@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import held_out, shared_dir, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import predict, train
 
@@ -78,7 +84,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output}
+    return {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
