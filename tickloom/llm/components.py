@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 
 #: Edges contracted in one task.
-_EDGES = 250_000
+_EDGES = 1_000_000
 
 
 def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -55,7 +55,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and joined back, so a node with very many edges is never gathered in one task.
     """
     e = written(
-        edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges"
+        edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     parts = -(-e.count() // _EDGES)
     if parts > 1:
