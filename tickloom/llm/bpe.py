@@ -45,7 +45,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Encodes one piece in a single left-to-right pass over its bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 220_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {i: t for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -211,7 +211,7 @@ class Encoder:
     ends without changing any match, so ids are remembered by word; other texts are remembered by match.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 120_000):
         import regex
 
         # Python's \s has four separators more than Unicode's white space.
