@@ -188,6 +188,45 @@ def train(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, ord
     return models
 
 
+class _Scorer:
+    """Language, score, cross-entropy and rejection of whole texts, by slices."""
+
+    def __init__(self, models: LanguageModels):
+        self.models, self.table = models, WordTable(models.words)
+
+    def __call__(self, texts: list[str | None]) -> pd.DataFrame:
+        m = self.models
+        split = [t.lower().split() if t and m.langs else [] for t in texts]
+        n = len(split)
+        total = np.zeros((n, len(m.langs) + 1))
+        for i, at in enumerate(self.table.indices(split)):
+            if len(at):
+                total[i] = self.table.rows[at].sum(0)
+        known = total[:, -1] > 0
+        lang, score, best = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan)
+        rejected = np.ones(n, bool)
+        if known.any():
+            h = -total[known, :-1] / total[known, -1:]
+            j = h.argmin(1)
+            best[known] = h.min(1)
+            lang[known] = np.array(m.langs, object)[j]
+            score[known] = 1.0 / np.exp(-(h - h.min(1, keepdims=True)) / m.temperature).sum(1)
+            rejected[known] = best[known] > (m.limit[j] if m.limit is not None else np.inf)
+        return pd.DataFrame({"lang_pred": lang, "score": score, "cross_entropy": best, "rejected": rejected})
+
+
+def accepted(docs: DataFrame, models: LanguageModels) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`predict` doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        score = _Scorer(shared.value)
+        for batch, texts in _slices(batches, "text"):
+            yield batch.filter(pa.array(~score(texts.to_pylist()).rejected.to_numpy(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """Every row of ``docs``: doc_id, lang_pred, score, cross_entropy, rejected.
 
@@ -200,28 +239,11 @@ def predict(docs: DataFrame, models: LanguageModels) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        m = shared.value
-        table = WordTable(m.words)
+        score = _Scorer(shared.value)
         for batch, texts in _slices(batches, "text"):
-            split = [t.lower().split() if t and m.langs else [] for t in texts.to_pylist()]
-            n = len(split)
-            total = np.zeros((n, len(m.langs) + 1))
-            for i, at in enumerate(table.indices(split)):
-                if len(at):
-                    total[i] = table.rows[at].sum(0)
-            known = total[:, -1] > 0
-            lang, score, best = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan)
-            rejected = np.ones(n, bool)
-            if known.any():
-                h = -total[known, :-1] / total[known, -1:]
-                j = h.argmin(1)
-                best[known] = h.min(1)
-                lang[known] = np.array(m.langs, object)[j]
-                score[known] = 1.0 / np.exp(-(h - h.min(1, keepdims=True)) / m.temperature).sum(1)
-                rejected[known] = best[known] > (m.limit[j] if m.limit is not None else np.inf)
-            frame = pd.DataFrame({"lang_pred": lang, "score": score, "cross_entropy": best, "rejected": rejected})
+            frame = score(texts.to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(frame.lang_pred, pa.string()), pa.array(score), pa.array(best, from_pandas=True), pa.array(rejected)],
+                [batch.column(0), pa.array(frame.lang_pred, pa.string()), pa.array(frame.score), pa.array(frame.cross_entropy, from_pandas=True), pa.array(frame.rejected)],
                 names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"],
             )
 

@@ -61,6 +61,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.dedup(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import near_duplicates
 
@@ -96,7 +102,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output, "op9_minhash_dedup": op9_minhash_dedup, "op10_embedding_dedup": op10_embedding_dedup}
+    return {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_token_output": op7_token_output, "op8_mixing": op8_mixing, "op9_minhash_dedup": op9_minhash_dedup, "op10_embedding_dedup": op10_embedding_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
