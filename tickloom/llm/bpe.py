@@ -18,6 +18,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import held
+
 #: Texts above this length are split into pieces in steps, so that not all pieces are in memory at once.
 LONG_TEXT = 4_000_000
 _STEP = 200_000
@@ -308,7 +310,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     ranks = sc.broadcast(load_ranks(ranks_path))
 
     def run(batches):
-        encoder = Encoder(ranks.value, pattern)
+        encoder = held(("bpe", ranks_path, pattern), lambda: Encoder(ranks.value, pattern))
         for batch, texts in _slices(batches, "text"):
             ids = [encoder.encode(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(

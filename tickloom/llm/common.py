@@ -29,6 +29,21 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/tickloom/{what}-{uuid.uuid4().hex}"
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """An object that this Python worker keeps between tasks, such as an encoder with its bounded memory.
+
+    Only the last eight keys are kept. Results never depend on what is held, only their speed.
+    """
+    if key not in _HELD:
+        while len(_HELD) >= 8:
+            _HELD.pop(next(iter(_HELD)))
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def written(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: its lineage ends here."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, what)

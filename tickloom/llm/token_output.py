@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import _slices
+from .common import held
 
 _U64 = np.uint64
 
@@ -94,10 +96,11 @@ def _key(ids, null, nth, seed):
 
 
 class WordEncoder:
-    """Whole texts to ids with a tokenizers-library file whose normaliser drops white space between words.
+    """Whole texts to ids with a tokenizers-library file that lower-cases and drops white space between words.
 
-    Words (runs without Unicode white space) are encoded by the library itself, in batches, and remembered in two
-    generations of at most ``cap`` words. A text holding one of the four separators on which Python's and Unicode's
+    Words (runs without Unicode white space, A-Z lower-cased) are remembered; a new ASCII word is cut as the file's own
+    pattern cuts it, and new pieces, and other new words whole, are encoded by the library in batches. Both memories
+    have two generations of at most ``cap`` entries. A text holding one of the four separators on which Python's and Unicode's
     notions of white space differ goes to the library as a whole.
     """
 
@@ -108,31 +111,53 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype, self.cap = dtype, cap
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words: list[dict[str, bytes]] = [{}, {}]
+        self.pieces: list[dict[str, bytes]] = [{}, {}]
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _learn(self, memory: list[dict[str, bytes]], keys: set[str], make) -> dict[str, bytes]:
+        """``memory``'s young generation with all of ``keys``."""
+        if len(memory[0]) > self.cap:
+            memory[:] = [{}, memory[0]]
+        young, old = memory
+        missing = []
+        for k in keys:
+            if k not in young:
+                packed = old.get(k)
+                if packed is None:
+                    missing.append(k)
+                else:
+                    young[k] = packed
+        if missing:
+            young.update(zip(missing, make(missing), strict=True))
+        return young
+
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        cut = [_PIECES.findall(w) if w.isascii() else [w] for w in words]
+        piece = self._learn(self.pieces, set().union(*cut), self._packed).__getitem__
+        return [b"".join(map(piece, c)) for c in cut]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split() if t and not _ODD.intersection(t) else None for t in texts]
-        new = set().union(*(w for w in split if w)).difference(self.memo)
-        if len(self.memo) + len(new) > self.cap:
-            self.older, self.memo = self.memo, {}
-            new = set().union(*(w for w in split if w))
-        memo, missing = self.memo, []
-        for w in new:
-            packed = self.older.get(w)
-            if packed is None:
-                missing.append(w)
-            else:
-                memo[w] = packed
-        memo.update(zip(missing, self._packed(missing), strict=True))
-        out = []
-        for t, words in zip(texts, split, strict=True):
-            out.append(b"".join(map(memo.__getitem__, words)) if words is not None else self._packed([t])[0] if t else b"")
-        return out
+        split = [_lower(t).split() if t and not _ODD.intersection(t) else None for t in texts]
+        word = self._learn(self.words, set().union(*(w for w in split if w)), self._new_words).__getitem__
+        return [
+            b"".join(map(word, words)) if words is not None else self._packed([t])[0] if t else b""
+            for t, words in zip(texts, split, strict=True)
+        ]
+
+
+#: The file's pattern for lower-case ASCII: contractions, runs of letters, single digits, runs of other signs.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Marks that the file's normaliser composes with a letter before them, differently with a capital one.
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
+def _lower(text: str) -> str:
+    """A-Z lower-cased, as the tokenizer would do after composing characters."""
+    return text if _MARKS.search(text) else text.encode().lower().decode()
 
 
 _ODD = frozenset("\x1c\x1d\x1e\x1f")
@@ -177,7 +202,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int
         with fs.open_output_stream(f"{path}.bin.{attempt}") as payload:
             for batch, texts in _slices(batches, "text"):
                 if encoder is None:
-                    encoder = WordEncoder(vocabulary.value, _DTYPE)
+                    encoder = held(("words", len(vocabulary.value), hash(vocabulary.value)), lambda: WordEncoder(vocabulary.value, _DTYPE))
                     end = np.array([end_id], _DTYPE).tobytes()
                 for packed in encoder.encode(texts.to_pylist()):
                     payload.write(packed + end)
