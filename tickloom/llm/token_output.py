@@ -136,7 +136,7 @@ class WordEncoder:
         return young
 
     def _new_words(self, words: list[str]) -> list[bytes]:
-        cut = [_PIECES.findall(w) if w.isascii() else [w] for w in words]
+        cut = [_PIECES.findall(w) if w.isascii() and w == w.lower() else [w] for w in words]
         piece = self._learn(self.pieces, set().union(*cut), self._packed).__getitem__
         return [b"".join(map(piece, c)) for c in cut]
 
