@@ -209,11 +209,11 @@ def ofi_multilevel(spark, d):
 @register(
     f"{LOB}, f AS (SELECT *, {_levels_sql(3, 'uniform')} AS o, greatest("
     + " + ".join(f"{w!r}e0 * (bid_sz_{k:02d} + ask_sz_{k:02d})" for k, w in enumerate(orderflow.level_weights(3)))
-    + f""", 1e-12) AS dep FROM lob) SELECT instrument_id, trade_date, sequence, round(o / dep, 7) + 0e0 AS ofi_L3_norm,
-round(({trailing('o', N)}) / greatest({trailing('dep', N)}, 1e-12), 7) + 0e0 AS ofi_L3_norm_n FROM f"""
+    + f""", 1e-12) AS dep FROM lob) SELECT instrument_id, trade_date, sequence, round(o / dep, 11) + 0e0 AS ofi_L3_norm,
+round(({trailing('o', N)}) / greatest({trailing('dep', N)}, 1e-12), 11) + 0e0 AS ofi_L3_norm_n FROM f"""
 )
 def ofi_normalized(spark, d):
-    return out(orderflow.flow_levels_normalised(view(spark, d), 3, N), KEY, "ofi_L3_norm", "ofi_L3_norm_n", digits=7)
+    return out(orderflow.flow_levels_normalised(view(spark, d), 3, N), KEY, "ofi_L3_norm", "ofi_L3_norm_n", digits=11)
 
 
 @register(f"{SIGN} SELECT instrument_id, trade_date, sequence, is_trade, aggressor, trade_buy_vol_event, trade_sell_vol_event FROM tr")
