@@ -18,6 +18,8 @@ from .common import labelled_sample
 from .words import WordTable, characters, ngram_hashes
 
 _SHORTEST, _LONGEST = 3, 5
+#: Texts whose words must have an n-gram for it to be trained; rarer ones stay zero, so that no text is learned by heart.
+_FEWEST = 4
 #: Characters around a word that aren't part of it.
 _AROUND = "\"'`.,;:!?()[]{}<>|*#%&$~-_+=/\\^"
 
@@ -67,8 +69,8 @@ def _windows(values: np.ndarray, width: int) -> np.ndarray:
 def _fit(texts: list[str], y: np.ndarray, size: int, dim: int, window: int, epochs: int) -> tuple[np.ndarray, float]:
     """Embeddings and softmax together, by Adagrad over all texts.
 
-    The first third of the epochs labels each text's mean over all its words, which finds the telling n-grams; then
-    the text's worst window under the present model takes the gradient.
+    One embedding axis starts at the n-grams' log odds. The first tenth of the epochs labels each text's mean over all
+    its words; then the text's worst window under the present model takes the gradient.
     """
     rng = np.random.default_rng(7)
     split = [t.lower().split() for t in texts]
@@ -77,15 +79,22 @@ def _fit(texts: list[str], y: np.ndarray, size: int, dim: int, window: int, epoc
     docs = [np.array([row[w] for w in s]) for s in split]
     buckets, starts = _buckets(vocabulary, size)
     counts = np.diff(np.append(starts, len(buckets)))
+    per_word = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(vocabulary))
+    common = np.bincount(buckets, np.repeat(per_word, counts), size) >= _FEWEST
+    per_class = [np.bincount(np.concatenate([np.unique(d) for d, k in zip(docs, y, strict=True) if k == c]), minlength=len(vocabulary)) for c in (0, 1)]
+    seen_in = [np.bincount(buckets, np.repeat(np.minimum(n, m), counts), size) for n, m in zip(per_class, ((y == 0).sum(), (y == 1).sum()), strict=True)]
+    odds = np.log((seen_in[1] + 0.5) / (y.sum() + 1.0)) - np.log((seen_in[0] + 0.5) / ((1 - y).sum() + 1.0))
     embedding = np.zeros((size, dim), np.float32)
+    embedding[:, 0] = np.clip(odds, -2, 2) * common  # a start; all of it is trained on
     softmax = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
+    softmax[0] = (-0.5, 0.5)
     bias = np.zeros(2, np.float32)
     seen = [np.full_like(x, 1e-8) for x in (embedding, softmax, bias)]
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     flat = np.concatenate(docs)
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     for epoch in range(epochs):
-        if epoch < epochs // 3:
+        if epoch < epochs // 10:
             chosen, who = flat, owner
         else:
             direction = softmax[:, 1] - softmax[:, 0]
@@ -109,8 +118,8 @@ def _fit(texts: list[str], y: np.ndarray, size: int, dim: int, window: int, epoc
         to_pooled = error @ softmax.T / size_of[:, None]
         to_words = np.stack([np.bincount(inverse, to_pooled[who, k], len(words)) for k in range(dim)], 1) / lengths[:, None]
         per_gram = np.repeat(to_words, lengths, axis=0)
-        gradient = np.stack([np.bincount(used, per_gram[:, k], size) for k in range(dim)], 1)
-        for x, g, s, rate in ((embedding, gradient, seen[0], 0.3), (softmax, pooled.T @ error, seen[1], 0.05), (bias, error.sum(0), seen[2], 0.05)):
+        gradient = np.stack([np.bincount(used, per_gram[:, k], size) for k in range(dim)], 1) * common[:, None]
+        for x, g, s, rate in ((embedding, gradient, seen[0], 0.1), (softmax, pooled.T @ error, seen[1], 0.05), (bias, error.sum(0), seen[2], 0.05)):
             s += g**2
             x -= (rate * g / np.sqrt(s)).astype(np.float32)
     return embedding @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0])
@@ -131,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars:
     model = ToxicityModel(scores, bias, window)
     table = WordTable(model.words)
     x = np.array([model.worst(table.rows[at][:, 0]) for at in table.indices([t.lower().split() for t, _ in check])])
-    model.slope, model.shift = logistic(x, np.array([y for _, y in check]))
+    slope, shift = logistic(x, np.array([y for _, y in check]))
+    if slope > 0:  # else the check is too small to tell
+        model.slope, model.shift = slope, shift
     return model
 
 
