@@ -564,7 +564,7 @@ SELECT a.instrument_id, a.trade_date, 2, CAST(a.sym AS VARCHAR) || ',' || CAST(c
 gr AS (SELECT {_BY}, 1 AS length, CAST(sym AS VARCHAR) AS seq FROM bs UNION ALL
 SELECT * FROM (SELECT {_BY}, 2, CAST(lag(sym) OVER ({NEXT}) AS VARCHAR) || ',' || CAST(sym AS VARCHAR) AS seq FROM bs) WHERE seq IS NOT NULL),
 ct AS (SELECT {_BY}, length, seq, count(*) AS cnt FROM gr GROUP BY ALL), fl AS (SELECT {_BY}, length, seq, coalesce(cnt, 0) AS cnt FROM ev1 LEFT JOIN ct USING ({_BY}, length, seq))
-SELECT {_BY}, length, seq, cnt, CAST({_SHARE.format(_BY + ',')} AS BIGINT) AS total, round(cnt / {_SHARE.format(_BY + ',')}, 9) AS prob FROM fl"""
+SELECT {_BY}, length, seq, cnt, CAST({_SHARE.format(_BY + ',')} AS BIGINT) AS total, round(coalesce(cnt / nullif({_SHARE.format(_BY + ',')}, 0), 0), 9) AS prob FROM fl"""
 )
 def ngram_counts_zero_filled(spark, d):
     return _seq(ngrams.zero_filled(pairs(spark, d), "sym", 2), "cnt", "total", F.round("prob", 9).alias("prob"))
@@ -675,7 +675,7 @@ def mi_lag(spark, d):
 
 _HIST = f"""{_PAIR}, l0 AS ({' UNION ALL '.join(f"SELECT {_BY}, {k} AS lag, imbalance AS x, lead(bid_sz_00, {k}) OVER ({NEXT}) AS y FROM pr" for k in range(_LAGS + 1))}),
 l1 AS (SELECT *, min(x) OVER w AS x0, max(x) OVER w AS x1, min(y) OVER w AS y0, max(y) OVER w AS y1 FROM l0 WHERE y IS NOT NULL WINDOW w AS (PARTITION BY {_BY}, lag)),
-l AS (SELECT {_BY}, lag, least(CAST(floor((x - x0) / (x1 - x0) * 5) AS INT), 4) AS x, least(CAST(floor((y - y0) / (y1 - y0) * 5) AS INT), 4) AS y FROM l1)"""
+l AS (SELECT {_BY}, lag, coalesce(least(CAST(floor((x - x0) / nullif(x1 - x0, 0) * 5) AS INT), 4), 2) AS x, coalesce(least(CAST(floor((y - y0) / nullif(y1 - y0, 0) * 5) AS INT), 4), 2) AS y FROM l1)"""
 
 
 @register(_HIST + _MI.format(_BY + ", lag"))

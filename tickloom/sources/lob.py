@@ -12,13 +12,13 @@ def schema(levels: int = LEVELS) -> T.StructType:
     """Decoded events: prices in currency, sizes as doubles, ``ts_ns`` beside the microsecond timestamp."""
     s = T.StructType()
     for name, kind in (
-        ("publisher_id", "int"), ("instrument_id", "bigint"), ("ts_event", "timestamp"), ("ts_ns", "bigint"), ("sequence", "bigint"),
-        ("action", "string"), ("side", "string"), ("price", "double"), ("size", "double"), ("flags", "smallint"), ("depth", "smallint"),
+        ("publisher_id", "integer"), ("instrument_id", "long"), ("ts_event", "timestamp"), ("ts_ns", "long"), ("sequence", "long"),
+        ("action", "string"), ("side", "string"), ("price", "double"), ("size", "double"), ("flags", "short"), ("depth", "short"),
     ):
         s = s.add(name, kind)
     for k in range(levels):
         for p in PREFIXES:
-            s = s.add(f"{p}{k:02d}", "bigint" if "_ct_" in p else "double")
+            s = s.add(f"{p}{k:02d}", "long" if "_ct_" in p else "double")
     return s
 
 
