@@ -62,8 +62,14 @@ def distributions(df: DataFrame, predictor: str, s: Settings = Settings(), order
 
 
 def period_distributions(events: DataFrame, predicted: str, predictor: str, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Both distributions folded over all days, by instrument."""
-    coded = encoded(featured_bars(events, s), predicted, [predictor], s)
+    """Both distributions folded over all days, by instrument.
+
+    Only the columns that symbols and labels need leave the bars, so the features behind all others are never computed.
+    """
+    k = s.label.lstrip("ca")
+    needed = [f"log_mid_sum_fwd_{k}", f"log_mid_sum_bwd_{k}"] if s.label.startswith("ca") else [f"log_mid_return_fwd_{k}"]
+    features = dict.fromkeys([predicted, predictor, *needed])
+    coded = encoded(featured_bars(events, s).select(*bars.BARS.keys, *bars.BARS.by, *features), predicted, [predictor], s)
     seq, cls = distributions(coded, predictor, s)
     return ngrams.fold(seq, ["instrument_id"], s.longest), ngrams.fold_classes(cls, ["instrument_id"], s.longest)
 
