@@ -187,3 +187,43 @@ def vpin(df: DataFrame, volume: float = 10_000, buckets: int = 10, order: Order
     df = df.withColumn("vpin", F.col("_filled")).withColumn("_change", diff("vpin", order))
     filled = F.col("_change") if causal else backward_fill("_change", order)
     return df.withColumn("dvpin", filled).drop("_vpin", "_filled", "_change")
+
+
+def quote_features(df: DataFrame, dead_zone: float = 1e-7, order: Order = DAY) -> DataFrame:
+    """Features of the best quotes alone: whole seconds since the series' first row, relative spread, volumes, their
+    imbalance, and changes of imbalance and mid price.
+
+    ``spread`` is bid less ask over their sum, so it is never positive and ``log_spread`` is null. A relative change from
+    0 is 0 where the value stays 0, else 1. ``mid_price_movement`` ignores changes up to ``dead_zone``.
+    """
+    bid, ask, bq, aq = (F.col(c) for c in ("bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"))
+    whole = F.floor(F.unix_micros(F.col("ts_event").cast("timestamp")) / 1_000_000)
+    share = lambda a, b: F.when(a + b == 0, 0.0).otherwise(F.try_divide(a - b, a + b))
+    mid = (bid + ask) / 2
+    df = df.withColumns(
+        {
+            "secs": whole - F.first(whole).over(order.past()),
+            "mid_price": mid,
+            "log_mid_price": F.when(mid > 0, F.log(mid)),
+            "spread": share(bid, ask),
+            "vol_weight": aq * ask + bq * bid,
+            "vol": aq + bq,
+            "vol_imb": share(bq, aq),
+        }
+    )
+    last = lambda c: F.lag(c).over(order.rows())
+    imbalance, before = F.col("vol_imb"), last("vol_imb")
+    change = diff("mid_price", order)
+    df = df.withColumns(
+        {
+            "log_spread": F.when(F.col("spread") > 0, F.log("spread")),
+            "vol_imb_returns": imbalance - before,
+            "vol_imb_innovation": F.when(before == 0, F.when(imbalance == 0, 0.0).otherwise(1.0)).otherwise(F.try_divide(imbalance - before, before)),
+            "mid_price_returns": change,
+            "mid_price_innovation": F.try_divide(change, last("mid_price")),
+            "mid_price_movement": F.when(change > dead_zone, 1).when(change < -dead_zone, -1).otherwise(0),
+            "log_mid_price_innovation": diff("log_mid_price", order),
+            "mid_price_sqr_returns": change * change,
+        }
+    )
+    return df.withColumn("mid_price_sqr_returns_innovation", diff("mid_price_sqr_returns", order))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.series import Order
+from ..functions.series import DAY, Order
 from ..operators import bars, dependence, encode, kraus, labels, ngrams, orderflow, volatility
 from ..sources import lob
 from . import daily
@@ -243,6 +243,33 @@ def vpin(spark, d):
     return out(orderflow.vpin(signed(spark, d), 1000, 3), KEY, "vpin", "dvpin")
 
 
+_QUOTE = ["spread", "vol_weight", "vol", "vol_imb", "vol_imb_returns", "vol_imb_innovation", "mid_price_returns", "mid_price_innovation", "log_mid_price_innovation", "mid_price_sqr_returns", "mid_price_sqr_returns_innovation"]
+
+
+@register(
+    f"""{LOB}, q0 AS (SELECT *, (bid_px_00 + ask_px_00) / 2 AS m, (bid_sz_00 - ask_sz_00) / (bid_sz_00 + ask_sz_00) AS vi, CAST(floor(epoch_us(ts_event) / 1000000) AS BIGINT) AS s FROM lob),
+q1 AS (SELECT *, m - lag(m) OVER ({ROWS}) AS r, lag(m) OVER ({ROWS}) AS pm, lag(vi) OVER ({ROWS}) AS pv, s - first_value(s) OVER ({ROWS}) AS secs, ln(m) - lag(ln(m)) OVER ({ROWS}) AS lr FROM q0)
+SELECT instrument_id, trade_date, sequence, secs, CASE WHEN r > 1e-7 THEN 1 WHEN r < -1e-7 THEN -1 ELSE 0 END AS mid_price_movement, round((bid_px_00 - ask_px_00) / (bid_px_00 + ask_px_00), 9) AS spread,
+round(ask_sz_00 * ask_px_00 + bid_sz_00 * bid_px_00, 6) AS vol_weight, bid_sz_00 + ask_sz_00 AS vol, round(vi, 9) AS vol_imb, round(vi - pv, 9) + 0e0 AS vol_imb_returns,
+round(CASE WHEN pv = 0 THEN CASE WHEN vi = 0 THEN 0e0 ELSE 1e0 END ELSE (vi - pv) / pv END, 9) + 0e0 AS vol_imb_innovation, round(r, 9) + 0e0 AS mid_price_returns, round(r / pm, 9) + 0e0 AS mid_price_innovation,
+round(lr, 9) + 0e0 AS log_mid_price_innovation, round(r * r, 9) AS mid_price_sqr_returns, round(r * r - lag(r * r) OVER ({ROWS}), 9) + 0e0 AS mid_price_sqr_returns_innovation FROM q1"""
+)
+def quote_features(spark, d):
+    df = out(orderflow.quote_features(view(spark, d)), KEY, "secs", "mid_price_movement", *_QUOTE)
+    return df.withColumn("vol_weight", F.round("vol_weight", 6))
+
+
+@register(
+    f"""{LOB}, u AS (SELECT *, row_number() OVER ({ROWS}) AS rn, CAST((sequence * 7) % 3 AS INT) AS sym FROM lob), u5 AS (SELECT * FROM u WHERE rn > 5)
+SELECT instrument_id, trade_date, sym AS seq, count(*) AS cnt FROM u5 GROUP BY ALL"""
+)
+def univariate_counts(spark, d):
+    """Counts of one feature's symbols after the first five rows of each series."""
+    df = view(spark, d).select(*KEY, "ts_event", F.pmod(F.col("sequence") * 7, F.lit(3)).cast("int").alias("sym"))
+    df = df.withColumn("_at", F.row_number().over(DAY.rows())).where("_at > 5")
+    return ngrams.counts(df, "sym", 1, DAY).select("instrument_id", "trade_date", F.get("seq", F.lit(0)).alias("seq"), "cnt")
+
+
 # --- bars ---------------------------------------------------------------------------------------------------------
 
 
