@@ -147,7 +147,7 @@ def train(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, ord
 
     Training texts are those with a non-null language that aren't held out. Which of them are taken depends on a
     hash of doc_id alone. A fifth of them calibrates: the temperature of the score by likelihood, and for each
-    language the cross-entropy above which a text is rejected, a quarter more than any of its texts has.
+    language the cross-entropy above which a text is rejected, half more than any of its texts has.
     """
     rows = docs.where(
         F.col("lang").isNotNull() & F.length("text").between(1, max_chars) & ~held_out(F.col("doc_id"), 4)
@@ -184,7 +184,7 @@ def train(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, ord
         models.temperature = float(min(np.geomspace(0.01, 2.0, 40), key=loss))
         for j in range(len(models.langs)):
             if (y == j).any():
-                models.limit[j] = 1.25 * h[y == j, j].max()
+                models.limit[j] = 1.5 * h[y == j, j].max()
     return models
 
 
