@@ -44,8 +44,18 @@ class ToxicityModel:
         return self.bias + (_windows(word_scores, self.window).max() if len(word_scores) else 0.0)
 
 
-def _buckets(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _buckets(words: list[str], size: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all n-grams of all words, and where each word's begin. Every word has one at least."""
+    parts, starts, done = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    for a in range(0, len(words), step):
+        values, first = _some_buckets(words[a : a + step], size)
+        parts.append(values.astype(np.int32))
+        starts.append(first + done)
+        done += len(values)
+    return np.concatenate(parts), np.concatenate(starts)
+
+
+def _some_buckets(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     points, place = characters([w.strip(_AROUND) or w for w in words], "\x02", "\x03")
     first = np.flatnonzero(place == 0)
     owner = np.cumsum(place == 0) - 1
@@ -69,14 +79,14 @@ def _windows(values: np.ndarray, width: int) -> np.ndarray:
 def _fit(texts: list[str], y: np.ndarray, size: int, dim: int, window: int, epochs: int) -> tuple[np.ndarray, float]:
     """Embeddings and softmax together, by Adagrad over all texts.
 
-    One embedding axis starts at the n-grams' log odds. The first tenth of the epochs labels each text's mean over all
-    its words; then the text's worst window under the present model takes the gradient.
+    One embedding axis starts at the n-grams' log odds. In each epoch a text's worst window under the present model
+    takes the gradient.
     """
     rng = np.random.default_rng(7)
-    split = [t.lower().split() for t in texts]
-    vocabulary = sorted(set().union(*split))
-    row = {w: i for i, w in enumerate(vocabulary)}
-    docs = [np.array([row[w] for w in s]) for s in split]
+    row: dict[str, int] = {}
+    docs = [np.array([row.setdefault(w, len(row)) for w in t.lower().split()], np.int32) for t in texts]
+    vocabulary = list(row)
+    del row
     buckets, starts = _buckets(vocabulary, size)
     counts = np.diff(np.append(starts, len(buckets)))
     per_word = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(vocabulary))
@@ -91,20 +101,14 @@ def _fit(texts: list[str], y: np.ndarray, size: int, dim: int, window: int, epoc
     bias = np.zeros(2, np.float32)
     seen = [np.full_like(x, 1e-8) for x in (embedding, softmax, bias)]
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    flat = np.concatenate(docs)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    for epoch in range(epochs):
-        if epoch < epochs // 10:
-            chosen, who = flat, owner
-        else:
-            direction = softmax[:, 1] - softmax[:, 0]
-            value = np.add.reduceat((embedding @ direction)[buckets], starts) / counts
-            parts = []
-            for d in docs:
-                means = _windows(value[d], window)
-                at = int(means.argmax())
-                parts.append(d[at : at + window])
-            chosen, who = np.concatenate(parts), np.repeat(np.arange(len(docs)), [len(p) for p in parts])
+    for _ in range(epochs):
+        direction = softmax[:, 1] - softmax[:, 0]
+        value = np.add.reduceat((embedding @ direction)[buckets], starts) / counts
+        parts = []
+        for d in docs:
+            at = int(_windows(value[d], window).argmax())
+            parts.append(d[at : at + window])
+        chosen, who = np.concatenate(parts), np.repeat(np.arange(len(docs)), [len(p) for p in parts])
         size_of = np.bincount(who, minlength=len(docs))
         words, inverse = np.unique(chosen, return_inverse=True)
         lengths = counts[words]
