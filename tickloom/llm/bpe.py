@@ -18,8 +18,6 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held
-
 #: Texts above this length are split into pieces in steps, so that not all pieces are in memory at once.
 LONG_TEXT = 4_000_000
 _STEP = 200_000
@@ -47,7 +45,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Encodes one piece in a single left-to-right pass over its bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 220_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 240_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {i: t for t, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -213,7 +211,7 @@ class Encoder:
     ends without changing any match, so ids are remembered by word; other texts are remembered by match.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 135_000):
         import regex
 
         # Python's \s has four separators more than Unicode's white space.
@@ -310,7 +308,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     ranks = sc.broadcast(load_ranks(ranks_path))
 
     def run(batches):
-        encoder = held(("bpe", ranks_path, pattern), lambda: Encoder(ranks.value, pattern))
+        encoder = Encoder(ranks.value, pattern)
         for batch, texts in _slices(batches, "text"):
             ids = [encoder.encode(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
