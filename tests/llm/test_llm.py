@@ -367,6 +367,37 @@ def test_near_duplicates_in_large_nodes_and_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components([(i, shingles(t, 2)) for i, t in docs], alike)
 
 
+def template_group(n, shared, own, edits, seed=3):
+    """Pairs of near copies that share a long template with all others; the template alone makes no link."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    template, out = [word() for _ in range(shared)], []
+    for _ in range(n // 2):
+        one = template + [word() for _ in range(own)]
+        out += [" ".join(one), " ".join(one[:-edits] + [word() for _ in range(edits)])]
+    rng.shuffle(out)
+    return list(enumerate(out, 1))
+
+
+def test_near_duplicates_of_a_template_group_hold_two_tiles_a_task(spark, monkeypatch, tmp_path):
+    """A candidate group with hardly any link is compared in bounded groups, and no link is lost."""
+    real, seen = chosen_path._confirm, str(tmp_path)
+
+    def confirm(rows, *args):
+        import uuid
+        from pathlib import Path
+
+        Path(seen, uuid.uuid4().hex).write_text(str(rows.groupby("gkey").size().max()))
+        return real(rows, *args)
+
+    monkeypatch.setattr(chosen_path, "_confirm", confirm)
+    monkeypatch.setattr(chosen_path, "GROUP", 12)
+    docs = template_group(120, 85, 20, 4)
+    got = chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components([(i, shingles(t, 2)) for i, t in docs], alike)
+    assert max(int(p.read_text()) for p in tmp_path.iterdir()) <= 4 * 12
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in chosen_path.near_duplicates(odd, 2).collect())
     want = [("1", "1", True), ("2", "1", False), ("2", "1", False), ("5", "1", False), ("None", "None", True)]

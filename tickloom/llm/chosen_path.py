@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import _slices
 from .common import written
@@ -157,7 +157,8 @@ def _confirm(rows: pd.DataFrame, percent: int, least: float) -> pd.DataFrame:
     """Links between full sets within each group: enough of them to connect what is connected.
 
     Pairs already connected aren't looked at again, so a group of m mutual near-copies takes m comparisons of sets.
-    Rows marked ``only`` false are compared with rows marked true and not among themselves.
+    Rows marked ``only`` false are compared with rows marked true and not among themselves; rows of one ``own`` are connected
+    from the start.
     """
     u, v = [], []
     for _, group in rows.groupby("gkey", sort=False):
@@ -165,7 +166,7 @@ def _confirm(rows: pd.DataFrame, percent: int, least: float) -> pd.DataFrame:
         ids, sketches, loose = group.id.to_numpy(), _matrix(group.sketch), group.only.to_numpy()
         sets = [np.cumsum(_from_planes(s, 6), dtype=np.uint64) for s in group.set]
         size = np.array([len(s) for s in sets])
-        comp = np.arange(len(ids))
+        comp = np.unique(group.own, return_inverse=True)[1]
         for i in range(len(ids) - 1):
             rest = np.arange(i + 1, len(ids))
             rest = rest[(loose[rest] | loose[i]) & (comp[rest] != comp[i])]
@@ -220,7 +221,8 @@ def _nodes(classes: DataFrame, extra: float) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``members`` (doc_id, digest, id, gkey, hub, only, sketch) with their sets, made again from the texts."""
+    """``members`` (doc_id, digest, id and others) with their sets for doc_id and digest, made again from the texts."""
+    others = [c for c in members.columns if c not in ("doc_id", "digest")]
 
     def run(batches):
         shingler = Shingler(width)
@@ -228,22 +230,39 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             sets = [shingler.shingles(t) for t in texts.to_pylist()]
             own = np.array([_digest(s) == d for s, d in zip(sets, batch.column(1).to_pylist(), strict=True)], bool)
             packed = [_planes(np.diff(np.unique(s >> np.uint64(16)), prepend=np.uint64(0)), 6) for s in sets]
-            kept = pa.RecordBatch.from_arrays([*batch.columns[2:7], pa.array(packed, pa.binary())], names=["id", "gkey", "hub", "only", "sketch", "set"])
+            kept = pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(packed, pa.binary())], names=[*others, "set"])
             yield kept.filter(pa.array(own))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return (
-        texts.join(members, "doc_id")
-        .select("text", "digest", "id", "gkey", "hub", "only", "sketch")
-        .mapInArrow(run, "id long, gkey long, hub boolean, only boolean, sketch binary, set binary")
-    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.select(*others).schema)
+    return texts.join(members, "doc_id").select("text", "digest", *others).mapInArrow(run, f"{schema}, set binary")
+
 
+def _tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (component, side, id, n_shingles) with a tile each: about GROUP rows of like length of one component and side.
 
-def _confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int, least: float) -> DataFrame:
-    rows = _with_sets(docs, members, width)
-    return _bucketed(rows, "gkey", members.count(), GROUP).groupBy("bucket").applyInPandas(
-        lambda g: _confirm(g, percent, least), "u long, v long"
+    Lengths are counted by classes two percent wide, so that no task sorts a whole component.
+    """
+    rows = rows.withColumn("length", F.floor(F.log("n_shingles") / F.log(F.lit(1.02))))
+    shares = rows.groupBy("component", "side", "length").agg(F.count("*").alias("many"))
+    so_far = Window.partitionBy("component", "side").orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.withColumn("start", F.coalesce(F.sum("many").over(so_far), F.lit(0)))
+    uniform = F.shiftrightunsigned(F.xxhash64("id", F.lit(2)), 11) / float(2**53)
+    return rows.join(shares, ["component", "side", "length"]).withColumn("tile", F.floor((F.col("start") + uniform * F.col("many")) / GROUP))
+
+
+def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """(component, side, tile, gkey): the two tiles of each pair that has a left row and whose lengths allow a link."""
+    spans = tiles.groupBy("component", "side", "tile").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    a, b = spans.where("side = 0").alias("a"), spans.alias("b")
+    pairs = a.join(b, "component").where(
+        ((F.col("b.side") == 1) | (F.col("a.tile") <= F.col("b.tile")))
+        & (100 * F.col("a.high") >= percent * F.col("b.low"))
+        & (100 * F.col("b.high") >= percent * F.col("a.low"))
     )
+    gkey = F.xxhash64("component", "a.tile", "b.side", "b.tile").alias("gkey")
+    ends = F.array_distinct(F.array(*(F.struct(F.col(f"{x}.side").alias("side"), F.col(f"{x}.tile").alias("tile")) for x in "ab")))
+    return pairs.select("component", gkey, F.explode(ends).alias("end")).select("component", "end.side", "end.tile", "gkey")
 
 
 def _id(digest: Column) -> Column:
@@ -261,7 +280,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     A pair at the threshold shares a node of one tree with a chance of about 0.64 and misses all of ten trees with
     3 in 100,000; more similar pairs miss less, and links within a component back each other up. No node, group or
     candidate is capped: nodes above NODE branch again and then share a document; groups of candidates above GROUP are
-    confirmed block by block against common documents, and what that leaves unconnected against every block.
+    confirmed block by block against common documents, and what that leaves unconnected in pairs of tiles of about GROUP
+    documents of like length, but for pairs whose lengths rule a link out.
     """
     threshold = percent / 100
     extra, least = 1 / threshold - 1, threshold - _SLACK
@@ -275,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     classes = written(
         rows.where("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc_id"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles"))
         .withColumn("id", _id(F.col("digest"))),
         "set-classes",
     )
@@ -287,27 +307,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     sizes = group.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / GROUP).cast("long")
     members = written(
-        classes.select("id", "doc_id", "digest", "sketch").join(group, "id").join(sizes, "component").withColumn("blocks", blocks), "members"
+        classes.select("id", "doc_id", "digest", "sketch", "n_shingles").join(group, "id").join(sizes, "component").withColumn("blocks", blocks), "members"
     )
     numbered = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     hub = F.xxhash64("id", F.lit(1)) % (F.floor(F.col("n") / 8) + 1) == 0  # about eight documents that all blocks share
     hubs = members.where("blocks > 1").where(hub).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["doc_id", "digest", "id", F.xxhash64("component", "block").alias("gkey"), "hub", "only", "sketch"]
+    columns = ["doc_id", "digest", "id", F.xxhash64("component", "block").alias("gkey"), "hub", "only", F.col("id").alias("own"), "sketch"]
+    confirm = lambda g: _confirm(g, percent, least)
     first = numbered.withColumn("hub", F.lit(False)).unionByName(hubs.withColumn("hub", F.lit(True))).withColumn("only", F.lit(True))
-    links = written(_confirmed(source, written(first.select(*columns), "group-rows"), width, percent, least), "links")
+    first = written(first.select(*columns), "group-rows")
+    dealt = _bucketed(_with_sets(source, first, width), "gkey", first.count(), GROUP)
+    links = written(dealt.groupBy("bucket").applyInPandas(confirm, "u long, v long"), "links")
     if numbered.where("blocks > 1").limit(1).count():
         so_far = connected_components(links)
         labelled = members.where("blocks > 1").join(so_far.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
         main = labelled.groupBy("component", "own").agg(F.count("*").alias("many")).groupBy("component").agg(F.max_by("own", "many").alias("main"))
-        left = labelled.join(main, "component").where("own <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        second = (
-            numbered.where("blocks > 1").select(*members.columns, "block").withColumn("only", F.lit(False))
-            .unionByName(left.select(*members.columns, "block").withColumn("only", F.lit(True)))
-            .withColumn("hub", F.col("only"))
-        )
-        links = links.unionByName(
-            written(_confirmed(source, written(second.select(*columns), "group-rows"), width, percent, least), "links")
+        sided = labelled.join(main, "component").withColumn("side", (F.col("own") == F.col("main")).cast("int"))
+        tiles = written(_tiles(sided.select("doc_id", "digest", "id", "component", "own", "side", "n_shingles", "sketch")), "tiles")
+        pairs = written(_tile_pairs(tiles, percent), "tile-pairs")
+        used = tiles.join(pairs.select("component", "side", "tile").distinct(), ["component", "side", "tile"], "left_semi")
+        used = used.select("doc_id", "digest", "id", "component", "side", "tile", "own", "sketch")
+        sets = written(_with_sets(source, used, width), "tile-sets")
+        second = sets.join(pairs, ["component", "side", "tile"]).select(
+            "id", "gkey", (F.col("side") == 0).alias("hub"), (F.col("side") == 0).alias("only"), "own", "sketch", "set"
         )
+        links = links.unionByName(written(second.groupBy("gkey").applyInPandas(confirm, "u long, v long"), "links"))
     comps = connected_components(links)
     named = classes.select("id", "digest", "doc_id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
