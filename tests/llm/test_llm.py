@@ -398,6 +398,18 @@ def test_near_duplicates_of_a_template_group_hold_two_tiles_a_task(spark, monkey
     assert max(int(p.read_text()) for p in tmp_path.iterdir()) <= 4 * 12
 
 
+def test_near_duplicates_of_nodes_that_stay_large(spark, monkeypatch):
+    """Documents of large nodes get more trees, and all blocks of a node that stays large meet."""
+    monkeypatch.setattr(chosen_path, "NODE", 20)
+    monkeypatch.setattr(chosen_path, "MORE_LEVELS", 0)
+    docs = template_group(400, 62, 38, 11)
+    got = chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 1, trees=4).collect()
+    want = brute_components([(i, shingles(t, 1)) for i, t in docs], alike)
+    lost = sum(r.component_id != want[r.doc_id] for r in got)
+    print("lost", lost)
+    assert lost <= 4
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in chosen_path.near_duplicates(odd, 2).collect())
     want = [("1", "1", True), ("2", "1", False), ("2", "1", False), ("5", "1", False), ("None", "None", True)]

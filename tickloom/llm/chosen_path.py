@@ -23,8 +23,10 @@ from .components import connected_components, labels
 from .lm_score import _from_planes, _planes
 from .words import mix64
 
-#: Signature coordinates; trees; levels of a tree before nodes are first counted, and again for those too large.
+#: Signature coordinates; trees; levels of a tree before nodes are first counted, and how often again for those too large.
 COORDINATES, TREES, LEVELS, MORE_LEVELS = 128, 10, 3, 2
+#: Trees besides for documents of nodes that are too large: a deeper tree keeps fewer pairs (0.48 at six levels, 0.38 at nine).
+MORE_TREES = 12
 #: Most documents of a node that are compared exhaustively, and of a group whose sets are in one task.
 NODE, GROUP = 2_000, 3_000
 #: A pair at the threshold falls this far below it in its signatures with a chance under one in a million.
@@ -100,7 +102,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, trees: int, extra:
     for batch, texts in _slices(batches, "text"):
         sets = [shingler.shingles(t) for t in texts.to_pylist()]
         minima = np.array([_signature(s) for s in sets], np.uint32).reshape(len(sets), COORDINATES)
-        root = mix64(np.arange(1, trees + 1, dtype=np.uint64))
+        root = _roots(0, trees)
         keys, owner = _descend(np.tile(root, len(sets)), np.repeat(np.arange(len(sets)), trees), minima, LEVELS, extra)
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(len(sets) + 1))
@@ -134,6 +136,8 @@ def _compare_nodes(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)] if len(key) else []
     u, v = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a == 1:
+            continue
         if b - a == 2:
             if (sketches[a] == sketches[a + 1]).mean() >= least:
                 u.append(ids[a : a + 1])
@@ -191,33 +195,96 @@ def _bucketed(df: DataFrame, key: str, rows: int, each: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows // each)))))
 
 
-def _nodes(classes: DataFrame, extra: float) -> DataFrame:
-    """(key, id) of all nodes with two documents or more, none above NODE.
+def _roots(first: int, trees: int) -> np.ndarray:
+    return mix64(np.arange(first + 1, first + trees + 1, dtype=np.uint64))
 
-    A larger node branches again; after MORE_LEVELS times what is still larger holds documents that agree on nearly
-    all coordinates picked, and is dealt into blocks that share its smallest document.
-    """
-    nodes, done = classes.select("id", F.explode("keys").alias("key")), None
+
+def _levels(nodes: DataFrame, classes: DataFrame, extra: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Of ``nodes`` (id, key, comp) those of two comps or more: (key, id) of nodes up to NODE, branched again where they
+    were larger; (key, id, first, n) of nodes still larger after MORE_LEVELS times; the ids in nodes too large at first."""
+    done = hot = None
     for again in range(MORE_LEVELS + 1):
-        counts = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-        rows = written(nodes.join(counts, "key"), "nodes")
-        small, large = rows.where(F.col("n") <= NODE), rows.where(F.col("n") > NODE)
-        done = small.select("key", "id") if done is None else done.unionByName(small.select("key", "id"))
+        counts = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+        rows = written(nodes.join(counts.where("a < b").drop("a", "b"), "key"), "nodes")
+        small, large = rows.where(F.col("n") <= NODE).select("key", "id"), rows.where(F.col("n") > NODE)
+        done = small if done is None else done.unionByName(small)
         if large.limit(1).count() == 0:
-            return done
+            return done, None, hot
+        hot = large.select("id").distinct() if hot is None else hot
         if again < MORE_LEVELS:
 
             def deeper(batches):
                 for b in batches:
-                    keys, values = b.column(0).to_numpy().view(np.uint64), _matrix(b.column(2).to_pylist())
+                    keys, values = b.column(0).to_numpy().view(np.uint64), _matrix(b.column(3).to_pylist())
                     keys, owner = _descend(keys, np.arange(len(keys)), values, LEVELS, extra)
-                    yield pa.RecordBatch.from_arrays([pa.array(b.column(1).to_numpy()[owner]), pa.array(keys.view(np.int64))], names=["id", "key"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(b.column(i).to_numpy()[owner]) for i in (1, 2)), pa.array(keys.view(np.int64))], names=["id", "comp", "key"]
+                    )
 
-            nodes = large.join(classes.select("id", "sketch"), "id").select("key", "id", "sketch").mapInArrow(deeper, "id long, key long")
+            rows = large.join(classes.select("id", "sketch"), "id").select("key", "id", "comp", "sketch")
+            nodes = rows.mapInArrow(deeper, "id long, comp long, key long")
+    return done, large.select("key", "id", "first", "n"), hot
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """(key, id) of nodes above NODE in blocks that share the node's smallest document."""
     blocks = F.ceil(F.col("n") / NODE).cast("long")
     block = large.select(F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), blocks)).alias("key"), "id")
     firsts = large.where("id = first").select(F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"), "key", "id")
-    return done.unionByName(block).unionByName(firsts.select(F.xxhash64("key", "b").alias("key"), "id"))
+    return block.unionByName(firsts.select(F.xxhash64("key", "b").alias("key"), "id"))
+
+
+def _block_pairs(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, id) of nodes above NODE in pairs of blocks, about NODE documents a pair: each document outside a node's largest
+    component meets all others of the node."""
+    rows = large.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    main = rows.groupBy("key", "comp").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("comp", "many").alias("main"))
+    rows = rows.join(main, "key").select("key", "id", (F.col("comp") == F.col("main")).cast("int").alias("side"))
+    half = max(1, NODE // 2)
+    many = rows.groupBy("key", "side").agg(F.ceil(F.count("*") / half).cast("long").alias("blocks"))
+    rows = written(rows.join(many, ["key", "side"]).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks"))), "node-blocks")
+    each = many.select("key", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    a, b = each.where("side = 0").alias("a"), each.alias("b")
+    pairs = a.join(b, "key").where((F.col("b.side") == 1) | (F.col("a.block") <= F.col("b.block")))
+    ends = F.array_distinct(F.array(*(F.struct(F.col(f"{x}.side").alias("side"), F.col(f"{x}.block").alias("block")) for x in "ab")))
+    pairs = pairs.select("key", F.xxhash64("key", "a.block", "b.side", "b.block").alias("pair"), F.explode(ends).alias("end"))
+    pairs = pairs.select("key", "pair", "end.side", "end.block")
+    return rows.join(pairs, ["key", "side", "block"]).select(F.col("pair").alias("key"), "id")
+
+
+def _compared(nodes: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(u, v) of pairs of one node that may be similar, enough to connect what is connected."""
+    nodes = written(nodes, "compared-nodes")
+    rows = _bucketed(nodes.join(classes.select("id", "sketch"), "id"), "key", nodes.count(), 10_000)
+    return written(rows.groupBy("bucket").applyInPandas(lambda g: _compare_nodes(g, least), "u long, v long"), "pairs")
+
+
+def _candidates(classes: DataFrame, trees: int, extra: float, least: float) -> DataFrame:
+    """Components of pairs that share a node and may be similar.
+
+    Documents of nodes above NODE grow MORE_TREES more trees, of which only nodes with several components so far count.
+    """
+    small, large, hot = _levels(classes.select("id", F.explode("keys").alias("key"), F.col("id").alias("comp")), classes, extra)
+    pairs = _compared(small if large is None else small.unionByName(_blocks(large)), classes, least)
+    group = connected_components(pairs)
+    if hot is None:
+        return group
+
+    def grow(batches):
+        root = _roots(trees, MORE_TREES)
+        for b in batches:
+            values = _matrix(b.column(2).to_pylist())
+            keys, owner = _descend(np.tile(root, len(values)), np.repeat(np.arange(len(values)), len(root)), values, LEVELS, extra)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(b.column(i).to_numpy()[owner]) for i in (0, 1)), pa.array(keys.view(np.int64))], names=["id", "comp", "key"]
+            )
+
+    seeds = hot.join(classes.select("id", "sketch"), "id").join(group, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sketch")
+    more, still, _ = _levels(seeds.mapInArrow(grow, "id long, comp long, key long"), classes, extra)
+    ends = [x.select("key", "id") for x in (large, still) if x is not None]
+    if ends:
+        more = more.unionByName(_block_pairs(ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1]), group))
+    return connected_components(pairs.unionByName(_compared(more, classes, least)))
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -279,7 +346,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
 
     A pair at the threshold shares a node of one tree with a chance of about 0.64 and misses all of ten trees with
     3 in 100,000; more similar pairs miss less, and links within a component back each other up. No node, group or
-    candidate is capped: nodes above NODE branch again and then share a document; groups of candidates above GROUP are
+    candidate is capped: nodes above NODE branch again, and their documents grow MORE_TREES more trees (all 22 miss a pair at the
+    threshold with 2 in 100,000 even at nine levels, so at most about 6 in 100,000 go missing in all); nodes still larger are compared in pairs of blocks; groups of candidates above GROUP are
     confirmed block by block against common documents, and what that leaves unconnected in pairs of tiles of about GROUP
     documents of like length, but for pairs whose lengths rule a link out.
     """
@@ -299,10 +367,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
         .withColumn("id", _id(F.col("digest"))),
         "set-classes",
     )
-    nodes = written(_nodes(classes, extra), "compared-nodes")
-    compared = _bucketed(nodes.join(classes.select("id", "sketch"), "id"), "key", nodes.count(), 10_000)
-    candidates = compared.groupBy("bucket").applyInPandas(lambda g: _compare_nodes(g, least), "u long, v long")
-    group = connected_components(candidates)
+    group = _candidates(classes, trees, extra, least)
     group = written(group.unionByName(group.select(F.col("component").alias("id"), "component").distinct()), "candidates")
     sizes = group.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / GROUP).cast("long")
