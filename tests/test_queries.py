@@ -13,3 +13,8 @@ def test_twin(name, spark, sf, same):
 @pytest.mark.parametrize("name", ["band_symbols", "five_symbols", "gaussian_symbols", "te_histogram", "kraus_score"])
 def test_runs(name, spark, sf):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_period_pipeline_has_all_lengths_predictors_and_classes(spark, sf):
+    rows = QUERIES["period_pipeline"](spark, sf).groupBy("predictor", "kind", "length").count().collect()
+    assert len({(r.predictor, r.kind, r.length) for r in rows}) == 8 * 2 * 6

@@ -74,6 +74,20 @@ def period_distributions(events: DataFrame, predicted: str, predictor: str, s: S
     return ngrams.fold(seq, ["instrument_id"], s.longest), ngrams.fold_classes(cls, ["instrument_id"], s.longest)
 
 
+def period_plan(events: DataFrame, predicted: str, predictors: list[str], s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """:func:`period_distributions` of many predictors, with a column ``predictor``; features and symbols are made once for all."""
+    k = s.label.lstrip("ca")
+    needed = [f"log_mid_sum_fwd_{k}", f"log_mid_sum_bwd_{k}"] if s.label.startswith("ca") else [f"log_mid_return_fwd_{k}"]
+    features = dict.fromkeys([predicted, *predictors, *needed])
+    coded = encoded(featured_bars(events, s).select(*bars.BARS.keys, *bars.BARS.by, *features), predicted, predictors, s)
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("predictor"), F.col(f"sym_{p}").alias("symbol")) for p in predictors)))
+    long = labels.class_label(coded, s.label).select(*bars.BARS.keys, *bars.BARS.by, "class", each.alias("one"))
+    long = long.select(*bars.BARS.keys, *bars.BARS.by, "class", "one.*")
+    order, by = Order((*bars.BARS.keys, "predictor"), bars.BARS.by), ["instrument_id", "predictor"]
+    seq, cls = ngrams.counts(long, "symbol", s.longest, order), ngrams.class_counts(long, "symbol", "class", s.longest, order)
+    return ngrams.fold(seq, by, s.longest), ngrams.fold_classes(cls, by, s.longest)
+
+
 def labelled_period(df: DataFrame, symbol: str, predicted: str, predictor: str, period: str) -> DataFrame:
     """A distribution with the columns by which it is stored."""
     return df.withColumns({"symbol": F.lit(symbol), "predicted": F.lit(predicted), "predictor": F.lit(predictor), "period": F.lit(period)})

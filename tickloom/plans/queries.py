@@ -834,11 +834,15 @@ def kraus_loss(spark, d):
     return result
 
 
-@register()
-def period_pipeline(spark, d):
-    """The whole active path, growing bins included, folded over all days by instrument."""
-    s = daily.Settings(frequency=10, longest=3, regular_hours=False, vpin_volume=1000, vpin_buckets=3, decimals=9)
-    seq, _ = daily.period_distributions(view(spark, d), "log_mid", "tvi_n", s)
-    return _seq(seq, "cnt", "total", "prob", by=("instrument_id",))
+_PREDICTORS = ["tvi_n", "obi_L1", "ofi_L1_n_norm", "ofi_L3_norm_n", "ofi_L10_norm_n", "ofi_L1_n", "ofi_L1_norm_n", "micro_price"]
 
 
+@register()
+def period_pipeline(spark, d):
+    """The whole active path, growing bins included, of all predictors, folded over all days by instrument: rows of kind
+    sequence (cnt, total, prob) and class (n0 to p2, total)."""
+    s = daily.Settings(frequency=10, regular_hours=False, vpin_volume=1000, vpin_buckets=3, decimals=9)
+    seq, cls = daily.period_plan(view(spark, d), "log_mid", _PREDICTORS, s)
+    by = ("instrument_id", "predictor")
+    seq, cls = _seq(seq, "cnt", "total", "prob", by=by), _seq(cls, *_slots(), "total", by=by)
+    return seq.withColumn("kind", F.lit("sequence")).unionByName(cls.withColumn("kind", F.lit("class")), allowMissingColumns=True)
