@@ -4,12 +4,13 @@ The merges are compiled into a transducer over bytes: its nondeterministic state
 in the trie of tokens), and a token may follow another exactly if merging the two tokens' bytes gives the two back.
 Every prefix of a piece has one such tokenisation, so subset construction with pending output yields a deterministic
 machine which emits a token as soon as all live readings agree on it, that is after at most the longest token's
-bytes. States and arcs are made when first met and kept in a bounded cache.
+bytes. States and arcs are made when first met and kept, packed, within a bound.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import re
 import struct
@@ -18,9 +19,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Texts above this length are split into pieces in steps, so that not all pieces are in memory at once.
-LONG_TEXT = 4_000_000
-_STEP = 200_000
+from .common import held
+
+#: Texts are worked through in stretches of about so many characters, or pieces, so that their words needn't all be in memory at once.
+_STRETCH, _STEP = 1_000_000, 200_000
 #: A rank above all others.
 _NEVER = 1 << 60
 
@@ -42,43 +44,69 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _pack(ids: tuple[int, ...]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Transducer:
-    """Encodes one piece in a single left-to-right pass over its bytes."""
+    """Encodes one piece in a single left-to-right pass over its bytes.
+
+    A state is kept as its readings (last token + 1, trie node, number of pending tokens, these tokens), packed into
+    bytes. Arcs are keyed by 512 * state + byte; an arc's value is 512 * target, plus 256 where the arc emits tokens.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 240_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {i: t for t, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        self.packed = {i: _pack((i,)) for i in self.token}
+        self.trie: dict[int, int] = {}  # node << 8 | byte to node
         self.ends: list[int] = [-1]
         for t, i in ranks.items():
             node = 0
             for b in t:
-                nxt = self.children[node].get(b)
+                nxt = self.trie.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                    nxt = self.trie[node << 8 | b] = len(self.ends)
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = i
+        self.inner = bytearray(len(self.ends))
+        for key in self.trie:
+            self.inner[key >> 8] = 1
         self._spines: dict[int, tuple] = {}
         self._pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.items: list[tuple] = []  # of each state: its readings (last token, trie node, pending tokens)
-        self.final: list[tuple[int, ...]] = []  # of each state: what an end of the piece emits
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # state and byte to target and emitted tokens
-        self._state(((-1, 0, ()),))
-
-    def _state(self, items: tuple) -> int:
-        s = self.states.get(items)
+        self.states: dict[bytes, int] = {}
+        self.items: list[bytes] = []
+        self.arcs: dict[int, int] = {}
+        self.emits: dict[int, bytes] = {}
+        self.final: dict[int, bytes] = {}  # of 512 * state: what an end of the piece emits
+        self._state([(-1, 0, ())])
+
+    def _state(self, readings: list[tuple[int, int, tuple[int, ...]]]) -> int:
+        flat: list[int] = []
+        for last, node, pending in readings:
+            flat += (last + 1, node, len(pending), *pending)
+        key = struct.pack(f"<{len(flat)}I", *flat)
+        s = self.states.get(key)
         if s is None:
-            s = self.states[items] = len(self.items)
-            self.items.append(items)
-            self.final.append(next((out for _, node, out in items if node == 0), ()))
+            s = self.states[key] = len(self.items)
+            self.items.append(key)
         return s
 
+    def _readings(self, state: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        packed = self.items[state]
+        flat = struct.unpack(f"<{len(packed) >> 2}I", packed)
+        at, readings = 0, []
+        while at < len(flat):
+            stop = at + 3 + flat[at + 2]
+            readings.append((flat[at] - 1, flat[at + 1], flat[at + 3 : stop]))
+            at = stop
+        return readings
+
     def _spine(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
         """The parts that hold the token's first byte, and those that hold its last, in the order merging makes them.
 
@@ -139,68 +167,75 @@ class Transducer:
             else:
                 j += 1
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        children, ends, items = self.children, self.ends, []
-        for last, node, out in self.items[state]:
-            node = children[node].get(byte)
+    def _arc(self, key: int) -> int:
+        """Makes the arc for 512 * state + byte."""
+        byte, readings, ended = key & 255, [], None
+        for last, node, pending in self._readings(key >> 9):
+            node = self.trie.get(node << 8 | byte)
             if node is None:
                 continue
-            if children[node]:
-                items.append((last, node, out))
-            end = ends[node]
-            if end >= 0 and self.follows(last, end):
-                items.append((end, 0, (*out, end)))
-        emitted = items[0][2]  # tokens on which all live readings agree
-        for _, _, out in items[1:]:
-            n = 0
-            for a, b in zip(emitted, out, strict=False):
-                if a != b:
-                    break
-                n += 1
-            emitted = emitted[:n]
-        if emitted:
-            n = len(emitted)
-            items = [(last, node, out[n:]) for last, node, out in items]
-        arc = self.arcs[state << 8 | byte] = (self._state(tuple(items)), emitted)
+            if self.inner[node]:
+                readings.append((last, node, pending))
+            end = self.ends[node]
+            if end >= 0 and ended is None and self.follows(last, end):
+                ended = (end, 0, (*pending, end))  # the one tokenisation of all bytes so far
+        if ended is not None:
+            readings.append(ended)
+        readings.sort()
+        agreed = readings[0][2]  # tokens on which all live readings agree
+        for _, _, pending in readings[1:]:
+            while pending[: len(agreed)] != agreed:
+                agreed = agreed[:-1]
+        n = len(agreed)
+        if n:
+            readings = [(last, node, pending[n:]) for last, node, pending in readings]
+            self.emits[key] = self.packed[agreed[0]] if n == 1 else _pack(agreed)
+        arc = self.arcs[key] = self._state(readings) << 9 | (256 if n else 0)
         return arc
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> bytes:
+        """The piece's ids as little-endian unsigned 32-bit integers."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return [whole]
+            return self.packed[whole]
         if len(self.items) > self.max_states:
             self._reset()
-        arcs, state, ids = self.arcs, 0, []
+        arc, emits, at, out = self.arcs.get, self.emits, 0, []
         for byte in piece:
-            arc = arcs.get(state << 8 | byte)
-            if arc is None:
+            key = at | byte
+            at = arc(key)
+            if at is None:
                 if len(self.items) > 2 * self.max_states:  # within a very long piece: only the present state stays
-                    items = self.items[state]
+                    readings = list(self._readings(key >> 9))
                     self._reset()
-                    arcs, state = self.arcs, self._state(items)
-                arc = self._arc(state, byte)
-            state, out = arc
-            if out:
-                ids += out
-        ids += self.final[state]
-        return ids
+                    arc, emits = self.arcs.get, self.emits
+                    key = self._state(readings) << 9 | byte
+                at = self._arc(key)
+            if at & 256:
+                out.append(emits[key])
+                at ^= 256
+        end = self.final.get(at)
+        if end is None:
+            end = self.final[at] = next((_pack(pending) for _, node, pending in self._readings(at >> 9) if node == 0), b"")
+        out.append(end)
+        return b"".join(out)
 
 
 class _Memo(dict):
-    """Key to its ids as little-endian bytes; two generations of at most ``cap`` short keys each."""
+    """Key to ``make(key)``; the younger half of the entries, at about ``budget`` bytes, stays when it is full."""
 
-    def __init__(self, make, cap: int):
-        self.make, self.cap, self.older = make, cap, {}
+    def __init__(self, make, budget: int):
+        self.make, self.budget, self.used, self.older = make, budget // 2, 0, {}
 
     def __missing__(self, key: str) -> bytes:
         packed = self.older.get(key)
         if packed is None:
             packed = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.cap:
-                self.older = dict(self)
-                self.clear()
-            self[key] = packed
+        self.used += 200 + 4 * len(key) + len(packed or b"")
+        if self.used > self.budget:
+            self.older, self.used = dict(self), 0
+            self.clear()
+        self[key] = packed
         return packed
 
 
@@ -211,41 +246,56 @@ class Encoder:
     ends without changing any match, so ids are remembered by word; other texts are remembered by match.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 135_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, budget: int = 200_000_000):
         import regex
 
         # Python's \s has four separators more than Unicode's white space.
         space = r"\p{White_Space}"
         pattern = pattern.replace(r"[^\s", rf"[^{space}").replace(r"\s", space).replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(pattern)
-        self.runs = re.compile(r"^\s|\s\s|\s\Z")
+        self.runs = re.compile(r"\A\s|\s\s|\s\Z|\A\Z")
         self.machine = Transducer(ranks)
-        self.pieces = _Memo(self._piece, 2 * cap)
-        self.words = _Memo(self._word, cap)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.machine.encode(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        """A word after one space, or a word that begins with its line end."""
-        text = word if word[0] == "\n" else " " + word
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        self.pieces = _Memo(lambda piece: self.machine.encode(piece.encode()), budget // 4)
+        self.words = _Memo(self._word, budget)
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join([self.machine.encode(piece.encode()) for piece in self.pattern.findall(text)])
+
+    def _word(self, word: str) -> bytes | None:
+        """A word after one space, or a word that begins with its line end; None where other white space is at its ends or in a run."""
+        line = word[:1] == "\n"
+        if self.runs.search(word[line:]) is not None:
+            return None
+        return self._cut(word if line else " " + word)
+
+    def _by_word(self, text: str) -> bytes | None:
+        """The text's ids, or None unless every white space in it stands alone."""
+        ends = [i for i in (text.find(" "), text.find("\n"), len(text)) if i >= 0]
+        at = min(ends)
+        if self.runs.search(text[:at]) is not None:
+            return None
+        parts = [self._cut(text[:at])]
+        while at < len(text):
+            stop = text.find(" ", at + _STRETCH)
+            stop = stop if stop >= 0 else len(text)
+            found = list(map(self.words.__getitem__, text[at:stop].replace("\n", " \n").split(" ")[1:]))
+            if None in found:
+                return None
+            parts += found
+            at = stop
+        return b"".join(parts)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null is the empty text."""
         if not text:
             return b""
-        one = self.pieces.__getitem__
-        if self.runs.search(text) is None:
-            first, *words = text.replace("\n", " \n").split(" ")
-            return b"".join(map(one, self.pattern.findall(first))) + b"".join(map(self.words.__getitem__, words))
-        if len(text) <= LONG_TEXT:
-            return b"".join(map(one, self.pattern.findall(text)))
-        found, parts = self.pattern.finditer(text), []
-        while step := [m[0] for m in itertools.islice(found, _STEP)]:
-            parts.append(b"".join(map(one, step)))
-        return b"".join(parts)
+        ids = self._by_word(text)
+        if ids is None:
+            found, parts = self.pattern.finditer(text), []
+            while step := [m[0] for m in itertools.islice(found, _STEP)]:
+                parts.append(b"".join(map(self.pieces.__getitem__, step)))
+            ids = b"".join(parts)
+        return ids
 
 
 #: Bytes that follow a lead byte, by the lead's top bits; a continuation byte leads nothing.
@@ -297,31 +347,61 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_0
             row = end
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit), n_tokens for every row of ``docs``.
+def _text_of(packed: pa.Scalar, table: list[bytes], step: int) -> str:
+    import numpy as np
 
-    Null and empty texts have no ids. Repeated rows give repeated rows, an empty table none; columns other than
-    doc_id and text are left out, so their names cannot clash. Rows are encoded where they are read: no shuffle.
-    The vocabulary (under 1 MB) goes to the executors once.
-    """
+    ids = np.frombuffer(packed.as_buffer(), "<u4") if packed.is_valid else np.zeros(0, "<u4")
+    stream = StreamDecoder(table)
+    parts = [stream.feed(ids[a : a + step].tolist()) for a in range(0, len(ids), step)]
+    return "".join([*parts, stream.close()])
+
+
+def _table(ranks: dict[bytes, int]) -> list[bytes]:
+    """Token bytes by id; no bytes for ids that aren't used."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return table
+
+
+def _run(docs: DataFrame, ranks_path: str, pattern: str, with_text: bool, step: int) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    ranks = sc.broadcast(load_ranks(ranks_path))
+    loaded = load_ranks(ranks_path)
+    ranks = sc.broadcast(loaded)
+    key = ("bpe", hashlib.sha256(repr((sorted(loaded.items()), pattern)).encode()).hexdigest())
+    names = ["doc_id", "n_tokens", "ids"] + ["text"] * with_text
 
     def run(batches):
-        encoder = Encoder(ranks.value, pattern)
+        encoder, table = held(key, lambda: (Encoder(ranks.value, pattern), _table(ranks.value)))
         for batch, texts in _slices(batches, "text"):
-            ids = [encoder.encode(t) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())],
-                names=["doc_id", "ids", "n_tokens"],
-            )
+            ids = pa.array([encoder.encode(t) for t in texts.to_pylist()], pa.binary())
+            columns = [batch.column(0), pa.array([len(i.as_buffer()) // 4 for i in ids], pa.int64()), ids]
+            if with_text:
+                columns.append(pa.array([_text_of(i, table, step) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", text string" * with_text)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit) for every row of ``docs``.
+
+    Null and empty texts have no ids. Repeated rows give repeated rows, an empty table none; columns other than
+    doc_id and text are left out, so their names cannot clash. Rows are encoded where they are read: no shuffle.
+    The vocabulary (under 1 MB) goes to the executors once; a Python worker keeps its transducer between tasks, within
+    the bounds of :class:`Transducer` and :class:`Encoder` (about 300 MB).
+    """
+    return _run(docs, ranks_path, pattern, False, 65_536)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, step: int = 65_536) -> DataFrame:
+    """What :func:`encode` gives, and the text that :func:`decode` makes of it, in one pass over the rows."""
+    return _run(docs, ranks_path, pattern, True, step)
 
 
 def decode(encoded: DataFrame, ranks_path: str, step: int = 65_536) -> DataFrame:
-    """``encoded`` (doc_id, ids, n_tokens) with the decoded text, fed to a streaming decoder in steps.
+    """``encoded`` (doc_id, n_tokens, ids) with the decoded text, fed to a streaming decoder in steps.
 
     Null ids decode to the empty text; bytes that are no UTF-8 become U+FFFD, which never happens for ids of a text.
     """
@@ -329,17 +409,9 @@ def decode(encoded: DataFrame, ranks_path: str, step: int = 65_536) -> DataFrame
     ranks = sc.broadcast(load_ranks(ranks_path))
 
     def run(batches):
-        import numpy as np
-
-        by_id = {i: t for t, i in ranks.value.items()}
-        table = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
+        table = _table(ranks.value)
         for batch, packed in _slices(batches, "ids"):
-            texts = []
-            for p in packed:
-                ids = np.frombuffer(p.as_buffer(), "<u4") if p.is_valid else np.zeros(0, "<u4")
-                stream = StreamDecoder(table)
-                parts = [stream.feed(ids[a : a + step].tolist()) for a in range(0, len(ids), step)]
-                texts.append("".join([*parts, stream.close()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
-
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids binary, n_tokens long, text string")
+            texts = pa.array([_text_of(p, table, step) for p in packed], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "text"])
+
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")

@@ -35,10 +35,10 @@ _HELD: dict = {}
 def held(key, make):
     """An object that this Python worker keeps between tasks, such as an encoder with its bounded memory.
 
-    Only the last eight keys are kept. Results never depend on what is held, only their speed.
+    Only the last two keys are kept. Results never depend on what is held, only their speed.
     """
     if key not in _HELD:
-        while len(_HELD) >= 8:
+        while len(_HELD) >= 2:
             _HELD.pop(next(iter(_HELD)))
         _HELD[key] = make()
     return _HELD[key]

@@ -42,11 +42,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode, encode
+    from .bpe import round_trip
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return decode(encoded, path).select(
+    coded = round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return coded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
