@@ -177,7 +177,7 @@ def tiktoken_encoding():
 
 
 def test_bpe_equals_the_library(tiktoken_encoding, texts):
-    encoder = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, cap=500)
+    encoder = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, budget=100_000)
     encoder.machine.max_states = 3_000
     rng = random.Random(5)
     signs = [chr(i) for i in [*range(0, 0x250), 0x85, 0x2003, 0x1C, 0x4E00, 0x1F600, 0x301]]
@@ -197,10 +197,39 @@ def test_streamed_decoding_holds_unfinished_characters():
     assert broken.feed([0xE6, 0x97]) == "" and broken.close() == "�"
 
 
+def test_bpe_query_equals_the_library(spark, tiktoken_encoding):
+    """Every row of a whole table, through Spark."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries()["op5_bpe"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(docs)
+    for doc_id, t in docs:
+        ids = tiktoken_encoding.encode_ordinary(t or "")
+        r = got[doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_bpe_of_long_texts_in_stretches(tiktoken_encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "_STRETCH", 50)
+    monkeypatch.setattr(bpe, "_STEP", 7)
+    encoder = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    for space in (" ", "\n", "  "):
+        t = space.join("".join(rng.choices("abcdeé.'s", k=rng.randint(1, 9))) for _ in range(3000))
+        ids = tiktoken_encoding.encode_ordinary(t)
+        assert encoder.encode(t) == struct.pack(f"<{len(ids)}I", *ids)
+    word = "".join(rng.choices("abcdefghij", k=200_000))  # no white space at all
+    ids = tiktoken_encoding.encode_ordinary(word)
+    encoder.machine.max_states = 2_000
+    assert encoder.encode(word) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_bpe_round_trip_of_odd_rows(odd):
     coded = bpe.encode(odd, RANKS, public_tokenizers.PATTERN)
     back = bpe.decode(coded, RANKS, step=7)
     assert sorted(r.text for r in back.collect()) == sorted(t or "" for _, t, _ in ODD)
+    once = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN)
+    assert sorted(map(tuple, once.select(back.columns).collect()), key=str) == sorted(map(tuple, back.collect()), key=str)
     assert bpe.encode(odd.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
@@ -238,7 +267,6 @@ def test_token_shards(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     out = shared_dir(spark, "t")
     totals = token_output.write_shards(odd, WORDS, out, end_id=2, shard_bytes=300)
     assert len(totals) > 1
@@ -255,6 +283,45 @@ def test_token_shards(spark, odd):
     assert token_output.read_shards(spark, out, []).count() == 0
 
 
+def test_token_query_equals_the_library(spark):
+    """Every row of a whole table, through the files."""
+    from tokenizers import Tokenizer
+
+    t, place = Tokenizer.from_file(WORDS), 0
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries()["op7_token_output"](spark, "/root/testdata/sf0.01").collect()}
+    for doc_id, text in sorted(docs):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (got[doc_id].start, got[doc_id].n_tokens, got[doc_id].ids_crc32) == (place, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        place += len(ids)
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_word_encoder_equals_the_library(special):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    t.encode_special_tokens = not special
+    with open(WORDS, encoding="utf-8") as f:
+        encoder = token_output.WordEncoder(f.read(), special, budget=20_000)
+    rng = random.Random(3)
+    signs = [chr(i) for i in [*range(1, 0x180), 0x85, 0x2003, 0x4E00, 0x1F600, 0x301, 0x30C, 0x30A, 0x212A]]
+    odd = ["".join(rng.choices(signs if k % 2 else "aBJ 's\n1.\u030c", k=rng.randint(0, 40))) for k in range(3000)]
+    odd += ["a <|endoftext|> b", "A<|ENDOFTEXT|>b", "x<|startoftext|>y <|EndOfText|>", "w" * 100_000, None, ""]
+    for a in range(0, len(odd), 100):
+        for text, packed in zip(odd[a : a + 100], encoder.encode(odd[a : a + 100]), strict=True):
+            assert np.frombuffer(packed, encoder.dtype).tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_wide_ids_take_four_bytes(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    out = shared_dir(spark, "t")
+    totals = token_output.write_shards(docs, WORDS, out, end_id=70_000)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_output.read_shards(spark, out, totals).collect()}
+    assert got[2] == [70_000] and got[1][-1] == 70_000 and len(got[1]) == 3 and token_output.Shard(out, 0).get(2).tolist() == [70_000]
+    assert token_output.id_type(1 << 16) == "<u2" and token_output.id_type((1 << 16) + 1) == "<u4"
+
+
 def test_minimal_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     h = token_output.MinimalPerfectHash.build(keys)

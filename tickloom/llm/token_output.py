@@ -2,18 +2,20 @@
 
 A shard ``shard-000007`` is three files:
 
-* ``.bin`` the ids of its documents one after another, little-endian unsigned 16-bit (32-bit where the vocabulary
-  needs it), in ascending doc_id order;
-* ``.idx`` the index: for a document's key the hash gives a slot, the slot a fingerprint, the first id's place in the
+* ``.bin`` the ids of its documents one after another, little-endian unsigned 16-bit (32-bit for vocabularies above
+  65,536 ids), in ascending doc_id order;
+* ``.idx`` the payload's type and the index: for a document's key the hash gives a slot, the slot a fingerprint, the first id's place in the
   payload and the number of ids;
 * ``.key`` the documents' ids in order.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,69 +100,70 @@ def _key(ids, null, nth, seed):
 class WordEncoder:
     """Whole texts to ids with a tokenizers-library file that lower-cases and drops white space between words.
 
-    Words (runs without Unicode white space, A-Z lower-cased) are remembered; a new ASCII word is cut as the file's own
-    pattern cuts it, and new pieces, and other new words whole, are encoded by the library in batches. Both memories
-    have two generations of at most ``cap`` entries. A text holding one of the four separators on which Python's and Unicode's
-    notions of white space differ goes to the library as a whole.
+    What the library gives for a text is what it gives for its words, one after another, so the ids of words (runs without
+    Unicode white space, A-Z lower-cased) are remembered, within about ``budget`` bytes, and only new words go to the library.
+    Texts that needn't fall apart so go to it whole: those with one of the four separators on which Python's and Unicode's notions
+    of white space differ, and those with the string of a special token. Such a string becomes the special token's id, as in a
+    plain call of the library, or with ``special`` false is text like any other.
     """
 
-    def __init__(self, json: str, dtype: str, cap: int = 150_000):
+    def __init__(self, json: str, special: bool = True, budget: int = 260_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype, self.cap = dtype, cap
-        self.words: list[dict[str, bytes]] = [{}, {}]
-        self.pieces: list[dict[str, bytes]] = [{}, {}]
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def _learn(self, memory: list[dict[str, bytes]], keys: set[str], make) -> dict[str, bytes]:
-        """``memory``'s young generation with all of ``keys``."""
-        if len(memory[0]) > self.cap:
-            memory[:] = [{}, memory[0]]
-        young, old = memory
-        missing = []
-        for k in keys:
-            if k not in young:
-                packed = old.get(k)
-                if packed is None:
-                    missing.append(k)
-                else:
-                    young[k] = packed
-        if missing:
-            young.update(zip(missing, make(missing), strict=True))
-        return young
-
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        cut = [_PIECES.findall(w) if w.isascii() and w == w.lower() else [w] for w in words]
-        piece = self._learn(self.pieces, set().union(*cut), self._packed).__getitem__
-        return [b"".join(map(piece, c)) for c in cut]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_lower(t).split() if t and not _ODD.intersection(t) else None for t in texts]
-        word = self._learn(self.words, set().union(*(w for w in split if w)), self._new_words).__getitem__
-        return [
-            b"".join(map(word, words)) if words is not None else self._packed([t])[0] if t else b""
-            for t, words in zip(texts, split, strict=True)
-        ]
+        from tokenizers import Tokenizer, normalizers
+
+        self.tokenizer, self.plain = Tokenizer.from_str(json), Tokenizer.from_str(json)
+        ascii_signs = "".join(chr(i) for i in range(33, 127) if not chr(i).isupper())
+        if self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(ascii_signs) == ascii_signs:
+            self.plain.normalizer = normalizers.Sequence([])  # it leaves lower-case ASCII words alone
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = not special
+        self.whole = tuple({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()} | set(_SEPARATORS))
+        self.dtype = id_type(self.tokenizer.get_vocab_size())
+        self.budget, self.used = budget, 0
+        self.ids: dict[str, bytes] = {}
+
+    def _packed(self, texts: list[str], tokenizer, step: int = 20_000) -> list[bytes]:
+        out, code = [], {"<u2": "H", "<u4": "I"}[self.dtype]
+        for a in range(0, len(texts), step):
+            for e in tokenizer.encode_batch_fast(texts[a : a + step], add_special_tokens=False):
+                ids = e.ids
+                out.append(struct.pack(f"<{len(ids)}{code}", *ids))
+        return out
 
+    def _words(self, text: str | None) -> list[str] | None:
+        if not text:
+            return []
+        # marks compose with the letter before them, differently with a capital one, and before lower-casing
+        lower = text if _MARKS.search(text) else text.encode().lower().decode()
+        return None if any(map(lower.lower().__contains__, self.whole)) else lower.split()
 
-#: The file's pattern for lower-case ASCII: contractions, runs of letters, single digits, runs of other signs.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Marks that the file's normaliser composes with a letter before them, differently with a capital one.
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [self._words(t) for t in texts]
+        words = set().union(*(w for w in split if w))
+        new = words.difference(self.ids)
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        new = plain + list(new.difference(plain))
+        found = self._packed(plain, self.plain) + self._packed(new[len(plain) :], self.tokenizer)
+        more = sum(map(len, found)) + 4 * sum(map(len, new)) + 200 * len(new)
+        self.used += more
+        if self.used > self.budget:  # only the words of these texts stay
+            self.ids = {w: self.ids[w] for w in words if w in self.ids}
+            self.used = sum(200 + 4 * len(w) + len(i) for w, i in self.ids.items()) + more
+        self.ids.update(zip(new, found, strict=True))
+        word = self.ids.__getitem__
+        return [self._packed([t], self.tokenizer)[0] if ws is None else b"".join(map(word, ws)) for t, ws in zip(texts, split, strict=True)]
+
+
+#: Separators that are white space to Python but not to the library.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Words that no normaliser of the kind changes.
+_PLAIN = re.compile("[!-@\\[-~]+")
+#: Marks that the library's normaliser may compose with a letter before them.
 _MARKS = re.compile("[\u0300-\u036f]")
 
 
-def _lower(text: str) -> str:
-    """A-Z lower-cased, as the tokenizer would do after composing characters."""
-    return text if _MARKS.search(text) else text.encode().lower().decode()
-
-
-_ODD = frozenset("\x1c\x1d\x1e\x1f")
+def id_type(size: int) -> str:
+    """The payload's type for ids below ``size``."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -172,14 +175,15 @@ def _publish(fs: pafs.FileSystem, path: str, attempt: int) -> None:
     fs.move(f"{path}.{attempt}", path)
 
 
-def write_shards(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int, shard_bytes: int = 24 << 20) -> list[int]:
+def write_shards(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int, shard_bytes: int = 24 << 20, special: bool = True) -> list[int]:
     """Writes all documents as shards below ``out_dir`` (a folder all executors share); gives each shard's id count.
 
     Documents are dealt to shards by ranges of doc_id (ties by a hash of the text), sorted within a shard, encoded
     and written; only text, doc_id and the shard totals move. Null texts count as empty and have the end id alone;
     null ids come first; repeated ids are kept, each under its own key; other columns are ignored. An empty table
     gives no shards. A shard's payload is written as it is encoded, so a task holds one slice of texts and the
-    index of its own shard.
+    index of its own shard. ``special``: see :class:`WordEncoder`. Texts move and not their ids, since dealing by ranges reads its
+    input twice and encoding costs more than reading.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -189,7 +193,9 @@ def write_shards(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int
     n = int(-(-total // shard_bytes))
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     with open(tokenizer_json, encoding="utf-8") as f:
-        vocabulary = sc.broadcast(f.read())  # a fixed file of a few MB
+        json = f.read()
+    vocabulary = sc.broadcast(json)  # a fixed file of a few MB
+    key = ("words", hashlib.sha256(json.encode()).hexdigest(), special)
     fs, root = _store(out_dir)
     fs.create_dir(root)
 
@@ -198,15 +204,16 @@ def write_shards(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int
         shard, attempt = context.partitionId(), context.taskAttemptId()
         fs, root = _store(out_dir)
         path = f"{root}/shard-{shard:06d}"
-        encoder, ids, null, lengths = None, [], [], []
+        encoder = held(key, lambda: WordEncoder(vocabulary.value, special))
+        dtype = "<u4" if end_id >= 1 << 16 else encoder.dtype
+        end, ids, null, lengths = np.array([end_id], dtype).tobytes(), [], [], []
         with fs.open_output_stream(f"{path}.bin.{attempt}") as payload:
             for batch, texts in _slices(batches, "text"):
-                if encoder is None:
-                    encoder = held(("words", len(vocabulary.value), hash(vocabulary.value)), lambda: WordEncoder(vocabulary.value, _DTYPE))
-                    end = np.array([end_id], _DTYPE).tobytes()
                 for packed in encoder.encode(texts.to_pylist()):
+                    if dtype != encoder.dtype:
+                        packed = np.frombuffer(packed, encoder.dtype).astype(dtype).tobytes()
                     payload.write(packed + end)
-                    lengths.append(len(packed) // _WIDTH + 1)
+                    lengths.append(len(packed) // len(end) + 1)
                 keys = batch.column(0)
                 null.append(np.asarray(keys.is_null().to_numpy(zero_copy_only=False)))
                 ids.append(keys.fill_null(0).to_numpy(zero_copy_only=False))
@@ -222,7 +229,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int
         starts = np.cumsum(lengths) - lengths
         parts = {f"level{i:02d}": x for i, x in enumerate(index.levels)}
         for name, arrays in (
-            ("idx", parts | {"seed": np.array([seed]), "fingerprint": (_mix(keys, 5151)[by_slot] & _U64(0xFFFFFFFF)).astype(np.uint32), "offset": starts[by_slot], "length": lengths[by_slot]}),
+            ("idx", parts | {"width": np.array([len(end)]), "seed": np.array([seed]), "fingerprint": (_mix(keys, 5151)[by_slot] & _U64(0xFFFFFFFF)).astype(np.uint32), "offset": starts[by_slot], "length": lengths[by_slot]}),
             ("key", {"doc_id": ids, "null": null}),
         ):
             buffer = io.BytesIO()
@@ -238,10 +245,6 @@ def write_shards(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int
     return [totals.get(i, 0) for i in range(max(totals, default=-1) + 1)]
 
 
-#: Ids are below 65,536 for the vocabularies in use; a larger one needs "<u4".
-_DTYPE, _WIDTH = "<u2", 2
-
-
 class Shard:
     """One shard opened for keyed reads."""
 
@@ -250,6 +253,8 @@ class Shard:
         self.path = f"{root}/shard-{shard:06d}"
         idx = self._npz("idx")
         self.index = MinimalPerfectHash([idx[k] for k in sorted(idx) if k.startswith("level")])
+        self.width = int(idx["width"][0])
+        self.dtype = f"<u{self.width}"
         self.seed, self.fingerprint, self.offset, self.length = int(idx["seed"][0]), idx["fingerprint"], idx["offset"], idx["length"]
 
     def _npz(self, name: str) -> dict[str, np.ndarray]:
@@ -277,7 +282,7 @@ class Shard:
         if not found[0]:
             return None
         with self.fs.open_input_file(f"{self.path}.bin") as f:
-            return np.frombuffer(f.read_at(int(length[0]) * _WIDTH, int(start[0]) * _WIDTH), _DTYPE)
+            return np.frombuffer(f.read_at(int(length[0]) * self.width, int(start[0]) * self.width), self.dtype)
 
 
 def read_shards(spark: SparkSession, out_dir: str, totals: list[int]) -> DataFrame:
@@ -306,7 +311,7 @@ def read_shards(spark: SparkSession, out_dir: str, totals: list[int]) -> DataFra
                         stop = max(row + 1, int(np.searchsorted(start, start[row] + 2_000_000)))
                         first = int(start[row])
                         count = int(start[stop - 1] + length[stop - 1]) - first
-                        data = np.frombuffer(f.read_at(count * _WIDTH, first * _WIDTH), _DTYPE).astype("<u4").tobytes()
+                        data = np.frombuffer(f.read_at(count * s.width, first * s.width), s.dtype).astype("<u4").tobytes()
                         cuts = (start[row:stop] - first) * 4
                         packed = [data[a : a + n] for a, n in zip(cuts.tolist(), (length[row:stop] * 4).tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
