@@ -351,8 +351,72 @@ def test_rates_meet_their_targets(spark):
         left = ((r * n)[:, None] * q).sum(0) - want
         if np.abs(left / m).max() < 1e-6:
             break
-        r = np.maximum(0, r - q @ (left / m))
+        r = np.maximum(0, r - np.round(q, 3) @ (left / m))
     assert np.allclose(r, got.rate, atol=1e-6)
+    left = ((r * n)[:, None] * q).sum(0) - want
+    assert np.allclose(got.gap, np.abs(left / m).max())
+    longer = mixing.rates(members, target, steps=2000).toPandas()
+    assert longer.gap[0] < 2e-3
+
+
+def brute_posteriors(docs, labels, support, errors, absence):
+    """Naive Bayes of the words' presence, restated with Counters."""
+    words = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w] for i, t in docs.items()}
+    bag = {i: set(w) | {"\0variety%d" % (10 * len(set(w)) // max(len(w), 1))} for i, w in words.items()}
+    domain = {}
+    for i, q, t in labels:
+        d = "toxic" if t == 1 else "low" if q == 0 else "clean" if (q, t) == (1, 0) else None
+        if i is not None and d and not held(i, 4):
+            domain[i] = d
+    seen = {i: d for i, d in domain.items() if docs.get(i)}
+    n = [sum(d == x for d in seen.values()) for x in mixing.DOMAINS]
+    prior = [(sum(d == x for d in domain.values()) + 1) / (len(domain) + 3) for x in mixing.DOMAINS]
+    count = [collections.Counter(w for i, d in seen.items() if d == x for w in bag[i]) for x in mixing.DOMAINS]
+    weight, start = {}, [0.0]
+    for k in (1, 2):
+        lacking = 0.0
+        for w in set().union(*count):
+            c0, ck = count[0][w], count[k][w]
+            p0, pk, both = (c0 + 0.5) / (n[0] + 1), (ck + 0.5) / (n[k] + 1), (c0 + ck + 0.5) / (n[0] + n[k] + 1)
+            if pk - p0 > errors * math.sqrt(both * (1 - both) * (1 / (n[0] + 1) + 1 / (n[k] + 1))) and c0 + ck >= support:
+                absent = math.log((1 - pk) / (1 - p0))
+                weight[k, w] = math.log(pk / p0) - absent
+                lacking += absent
+        start.append(math.log(prior[k] / prior[0]) + max(-absence, lacking))
+    out = {}
+    for i, b in bag.items():
+        s = [0.0] + [start[k] + sum(weight.get((k, w), 0.0) for w in b) for k in (1, 2)]
+        e = [math.exp(x - max(s)) for x in s]
+        out[i] = [x / sum(e) for x in e]
+    return out
+
+
+@pytest.mark.parametrize(("support", "errors", "absence"), [(8, 6.0, 3.0), (0, 0.0, math.inf), (3, 1.0, 3.0)])
+def test_posteriors_match_brute_force(spark, support, errors, absence):
+    at = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.posteriors(docs, labels, support=support, errors=errors, absence=absence).collect()
+    want = brute_posteriors({r.doc_id: r.text for r in docs.collect()}, [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()], support, errors, absence)
+    assert len(got) == len(want)
+    for r in got:
+        assert np.allclose([r.p_clean, r.p_low, r.p_toxic], want[r.doc_id], atol=1e-9)
+
+
+def test_stages_keep_clashing_columns_and_repeated_ids(spark, labels):
+    """Columns named like the operators' own stay as they are, and decisions are by row, not by id."""
+    rows = [(1, "a b c d e f g h i j k l m n", 7), (2, "a b c d e f g h i j k l m n o", 7), (2, "nothing like the others at all here", 7), (3, None, 7), (None, "x", 7), (3, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long")
+    for c in ("_row_key", "_copies", "_copy", "_nth", "_class", "_size", "_sha_of_row", "_sha", "row", "row_key", "text_sha256", "component"):
+        docs = docs.withColumn(c, F.lit(7).cast("long"))
+    index = exact_dedup.DigestIndex(spark, shared_dir(spark, "t"), 4)
+    for got in (mixing.mixed(docs, labels), exact_dedup.distinct_rows(docs, index), chosen_path.distinct_rows(docs)):
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(set(r[2:]) == {7} for r in rows)
+    kept = [(r.doc_id, r.text or None) for r in chosen_path.distinct_rows(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a b c d e f g h i j k l m n"), (2, "nothing like the others at all here"), (3, None), (None, "x")], key=str)
+    for stage in (lambda d: mixing.mixed(d, labels), chosen_path.distinct_rows):
+        assert stage(docs.where("false")).count() == 0
 
 
 def test_mixing_edge_cases(spark, odd, labels):

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import _slices
-from .common import written
+from .common import hot_joined, row_key, rows_of, written
 from .components import connected_components, labels
 from .lm_score import _from_planes, _planes
 from .words import mix64
@@ -111,12 +111,13 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, trees: int, extra:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array([keys[a:b] if len(s) else None for a, b, s in zip(cuts[:-1], cuts[1:], sets, strict=True)], pa.list_(pa.int64())),
                 pa.array([m.astype(np.uint8).tobytes() if len(s) else None for m, s in zip(minima, sets, strict=True)], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "digest", "keys", "sketch"],
+            names=["doc_id", "row_key", "n_shingles", "digest", "keys", "sketch"],
         )
 
 
@@ -168,7 +169,7 @@ def _confirm(rows: pd.DataFrame, percent: int, least: float) -> pd.DataFrame:
     for _, group in rows.groupby("gkey", sort=False):
         group = group.drop_duplicates("id").sort_values(["hub", "id"], ascending=[False, True])
         ids, sketches, loose = group.id.to_numpy(), _matrix(group.sketch), group.only.to_numpy()
-        sets = [np.cumsum(_from_planes(s, 6), dtype=np.uint64) for s in group.set]
+        sets = [np.cumsum(_from_planes(s, 8), dtype=np.uint64) for s in group.set]
         size = np.array([len(s) for s in sets])
         comp = np.unique(group.own, return_inverse=True)[1]
         for i in range(len(ids) - 1):
@@ -296,7 +297,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
         for batch, texts in _slices(batches, "text"):
             sets = [shingler.shingles(t) for t in texts.to_pylist()]
             own = np.array([_digest(s) == d for s, d in zip(sets, batch.column(1).to_pylist(), strict=True)], bool)
-            packed = [_planes(np.diff(np.unique(s >> np.uint64(16)), prepend=np.uint64(0)), 6) for s in sets]
+            packed = [_planes(np.diff(s, prepend=np.uint64(0)), 8) for s in sets]
             kept = pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(packed, pa.binary())], names=[*others, "set"])
             yield kept.filter(pa.array(own))
 
@@ -332,10 +333,6 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return pairs.select("component", gkey, F.explode(ends).alias("end")).select("component", "end.side", "end.tile", "gkey")
 
 
-def _id(digest: Column) -> Column:
-    return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """Every row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -351,20 +348,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     confirmed block by block against common documents, and what that leaves unconnected in pairs of tiles of about GROUP
     documents of like length, but for pairs whose lengths rule a link out.
     """
+    rows, names = _components(docs, width, percent, trees)
+    named = hot_joined(rows.where("digest is not null").select("doc_id", "n_shingles", "digest"), names.select("digest", "component_id", "size"), "digest", "size", "left")
+    single = rows.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    out = named.select("doc_id", "n_shingles", "component_id").unionByName(single)
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct_rows(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns, whatever their names.
+
+    It is the one with the smallest doc_id, of several the one whose digest of id and text is smallest. Rows without words
+    and rows with a null id stay. Of rows alike in id and text one stays. Decisions are by row, so an unrelated row
+    with the id of a dropped one stays. Whole rows are shuffled once.
+    """
+    rows, names = _components(docs, width, percent, trees)
+    best = names.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("best")).select("best.row_key")
+    alone = rows.where("digest is null or doc_id is null").select("row_key").distinct()
+    return rows_of(docs, row_key(docs["doc_id"].cast("long"), docs["text"]), best.unionByName(alone).distinct())
+
+
+def _components(docs: DataFrame, width: int, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, n_shingles, digest; no digest without words) and the classes of equal sets (digest, size, doc_id and
+    row_key of the first row, component, component_id), both written."""
     threshold = percent / 100
     extra, least = 1 / threshold - 1, threshold - _SLACK
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(
-        source.mapInArrow(
-            lambda b: _sketches(b, width, trees, extra), "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary"
+        source.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(
+            lambda b: _sketches(b, width, trees, extra), "doc_id long, row_key binary, n_shingles long, digest binary, keys array<long>, sketch binary"
         ),
         "sketches",
     )
     classes = written(
         rows.where("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles"))
-        .withColumn("id", _id(F.col("digest"))),
+        .agg(
+            F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("size"),
+            F.max("keys").alias("keys"), F.max("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles"),
+        )
+        .select("digest", "first.*", "size", "keys", "sketch", "n_shingles", F.monotonically_increasing_id().alias("id")),
         "set-classes",
     )
     group = _candidates(classes, trees, extra, least)
@@ -398,12 +422,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
         )
         links = links.unionByName(written(second.groupBy("gkey").applyInPandas(confirm, "u long, v long"), "links"))
     comps = connected_components(links)
-    named = classes.select("id", "digest", "doc_id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = written(named.join(smallest, "component").select("digest", "component_id"), "component-names")
-    return (
-        rows.select("doc_id", "n_shingles", "digest")
-        .join(names, "digest", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    named = classes.select("id", "digest", "doc_id", "row_key", "size").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes"))
+    names = hot_joined(named, smallest, "component", "classes")
+    return rows, written(names.select("digest", "size", "doc_id", "row_key", "component", "component_id"), "component-names")

@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder is made and set.
+    Where the setting is absent and Spark runs on one machine (as in tests) a temporary folder is made and set; on a
+    cluster that is an error, since executors wouldn't see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -52,6 +55,39 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def hot_joined(rows: DataFrame, side: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has each ``key`` once and in ``size`` the number of its rows.
+
+    Keys with over a thousandth of all rows, hence fewer than a thousand, are broadcast, so no task gets all rows of a
+    hot one; the others are sort-merge joined (``how``: inner or left).
+    """
+    total = side.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.broadcast(side.where(F.col(size) * 1000 > total))
+    rest = side.where(F.col(size) * 1000 <= total)
+    cold = rows.join(F.broadcast(side.where(F.col(size) * 1000 > total).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(rest.hint("merge"), key, how))
+
+
+def row_key(doc_id: Column, what: Column) -> Column:
+    """A digest of a row's id and ``what`` it holds, the same for rows alike in both."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.coalesce(what.cast("string"), F.lit(""))).cast("binary"), 256))
+
+
+def rows_of(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Of ``docs`` one row of each ``key`` that ``keys`` has in its column ``row_key``, with all columns: one shuffle."""
+    name = fresh(docs, "_row_key")
+    rows = docs.withColumn(name, key)
+    return rows.join(keys.select(F.col("row_key").alias(name)).hint("merge"), name, "left_semi").dropDuplicates([name]).drop(name)
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
@@ -67,28 +103,30 @@ def labelled_sample(
 ) -> list[tuple[str, int]]:
     """(text, label) of at most ``per_class`` labelled rows of each class, for fitting a classifier.
 
-    Rows whose remainder is 2, null labels, null or empty texts and texts over ``max_chars`` are left out,
-    so the driver gets at most 2 * per_class * max_chars characters. The ids are chosen by hash, hence alike
-    at every size of the input, and only the chosen texts leave the scan (the id list is broadcast: its
-    size is bounded by ``per_class``).
+    Rows whose remainder is 2, null labels, and null or empty texts are left out. Texts are taken whole, long ones too,
+    but for those by which a class would exceed ``max_chars`` characters in all: that bounds what the driver gets. The
+    ids are chosen by hash, hence alike at every size of the input, and only the chosen texts leave the scan (the id list
+    is broadcast: its size is bounded by ``per_class``). Of several texts of one id the smallest is taken.
     """
-    sizes = docs.where(
-        F.length("text").between(1, max_chars) & ~held_out(F.col("doc_id"), modulus)
-    ).select("doc_id")
+    sizes = docs.where((F.length("text") > 0) & ~held_out(F.col("doc_id"), modulus)).groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max(label).alias("y"))
-        .join(sizes.distinct(), "doc_id", "left_semi")
+        .join(sizes, "doc_id")
     )
-    ids = None
+    ids = []
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        ids = part if ids is None else ids.unionByName(part)
+        left = max_chars
+        for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
+            if r.chars <= left:
+                left -= r.chars
+                ids.append((r.doc_id, y))
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
     rows = (
-        docs.where(F.length("text").between(1, max_chars))
-        .select("doc_id", "text")
-        .join(F.broadcast(ids), "doc_id")
+        docs.where(F.length("text") > 0)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "y")
         .agg(F.min("text").alias("text"))
         .collect()

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import hot_joined, written
 
 #: Edges contracted in one task.
 _EDGES = 1_000_000
@@ -52,14 +52,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each task first contracts a bounded share of the edges to stars; unless that was all of them, large-star and
     small-star rounds follow until nothing changes. Rounds are written to the shared folder. Minima are pre-aggregated
-    and joined back, so a node with very many edges is never gathered in one task.
+    and joined back, those of nodes with over a thousandth of all edges by broadcast, so such a node's edges are never
+    gathered in one task.
     """
     e = written(
         edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     parts = -(-e.count() // _EDGES)
     if parts > 1:
-        e = e.repartition(parts, "u")
+        e = e.repartition(parts, "u", "v")
     else:
         e = e.coalesce(1)
     e = written(e.mapInArrow(_contract, "u long, v long"), "edges")
@@ -68,10 +69,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         while (now := _mark(e)) != before:
             before = now
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+            large = hot_joined(both, low, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
             e = written(large, "edges")
-            low = e.groupBy("u").agg(F.min("v").alias("m"))
-            small = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            small = hot_joined(e, low, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -10,7 +10,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACE, written
+from .common import SPACE, hot_joined, row_key, rows_of, written
 
 
 def normalised(text: Column) -> Column:
@@ -82,15 +82,15 @@ class DigestIndex:
             "digest-groups",
         )
         new = groups.join(self.read().hint("merge"), "text_sha256", "left_anti").select(
-            "text_sha256", F.col("first_id").alias("keep_id"), "first_row"
+            "text_sha256", "group_size", F.col("first_id").alias("keep_id"), "first_row"
         )
         new = written(new, "digest-new")
         old = groups.join(self.read().hint("merge"), "text_sha256").select(
-            "text_sha256", "keep_id", F.lit(None).cast("long").alias("first_row")
+            "text_sha256", "group_size", "keep_id", F.lit(None).cast("long").alias("first_row")
         )
-        keepers = groups.select("text_sha256", "group_size").join(new.unionByName(old), "text_sha256")
+        keepers = written(new.unionByName(old), "digest-keepers")
         out = written(
-            rows.join(keepers, "text_sha256").select(
+            hot_joined(rows, keepers, "text_sha256", "group_size").select(
                 "doc_id",
                 "keep_id",
                 "group_size",
@@ -105,15 +105,9 @@ class DigestIndex:
 
 
 def distinct_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: a left-semi join on the decisions.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: a left-semi join on the decisions.
 
-    Of repeated rows (same id and text) all but one go, whatever their other columns.
+    Of repeated rows (same id and text) all but one go, whatever their other columns. Whole rows are shuffled once.
     """
-    kept = index.dedup(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
-    )
-    rows = docs.withColumn("_sha_of_row", digest(F.col("text")))
-    once = rows.join(
-        kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_sha_of_row"] == kept["_sha"]), "left_semi"
-    )
-    return once.dropDuplicates(["doc_id", "_sha_of_row"]).drop("_sha_of_row")
+    kept = index.dedup(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("row_key"))
+    return rows_of(docs, row_key(docs["doc_id"].cast("long"), digest(docs["text"])), kept)

@@ -9,17 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, held_out, written
+from .common import SPACE, fresh, held_out, hot_joined, row_key, written
 
 #: Domains of the labels table, in the order in which a document gets its label.
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.9, "low": 0.07, "toxic": 0.03}
-#: Texts a feature must be in, and standard errors by which its share must exceed that in the first domain.
-_SUPPORT, _ERRORS = 8, 6.0
-#: Most by which a text's lack of a domain's features lowers that domain's log odds.
-_ABSENCE = 3.0
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -27,16 +23,14 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when((quality == 1) & (toxic == 0), "clean")
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """row, n_tokens and distinct lower-case words of each document with words."""
+def _features(docs: DataFrame, *carried: str) -> DataFrame:
+    """(carried columns, n_tokens, feature): hashed distinct lower-case words of each text, and the tenth in which distinct words per
+    word lies, so every row has one feature at least."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE), lambda w: w != "")
-    return docs.select("row", words.alias("words")).select("row", F.size("words").cast("long").alias("n_tokens"), F.array_distinct("words").alias("words"))
-
-
-def _features(words: DataFrame) -> DataFrame:
-    """(row, n_tokens, feature): hashed distinct words and the tenth in which distinct words per word lies."""
+    counted = docs.select(*carried, words.alias("words")).select(*carried, F.size("words").cast("long").alias("n_tokens"), F.array_distinct("words").alias("words"))
     variety = F.concat(F.lit("\x00variety"), F.floor(F.lit(10.0) * F.size("words") / F.greatest("n_tokens", F.lit(1))).cast("string"))
-    return words.select("row", "n_tokens", F.explode(F.concat("words", F.array(variety))).alias("w")).select("row", "n_tokens", F.xxhash64("w").alias("feature"))
+    exploded = counted.select(*carried, "n_tokens", F.explode(F.concat("words", F.array(variety))).alias("w"))
+    return exploded.select(*carried, "n_tokens", F.xxhash64("w").alias("feature"))
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
@@ -51,113 +45,126 @@ def _labelled(labels: DataFrame) -> DataFrame:
 
 
 def _sample(rows: DataFrame, label: DataFrame, per_domain: int, max_chars: int) -> DataFrame:
-    """row, text, domain of at most ``per_domain`` labelled documents of each domain, chosen by a hash of doc_id."""
-    here = rows.where(F.length("text").between(1, max_chars) & ~held_out(F.col("doc_id"), 4)).select("doc_id").distinct()
-    label = label.join(here, "doc_id", "left_semi")
+    """text, domain of at most ``per_domain`` labelled documents of each domain, chosen by a hash of doc_id, whole, but for those by
+    which a domain would exceed ``max_chars`` characters in all."""
+    sizes = rows.where((F.length("text") > 0) & ~held_out(F.col("doc_id"), 4)).groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
+    label = label.join(sizes, "doc_id")
     ids = None
     for d in DOMAINS:
         part = label.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
         ids = part if ids is None else ids.unionByName(part)
-    return rows.where(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id").select("row", "text", "domain")
-
-
-def posteriors(docs: DataFrame, labels: DataFrame, per_domain: int = 2000, max_chars: int = 20_000) -> DataFrame:
-    """Each row of ``docs``: row (a number), doc_id, n_tokens, p_<domain>.
-
-    Learns from a bounded sample: ``per_domain`` labelled texts a domain, of ``max_chars`` at most. Only features that surely
-    tell a domain from the first one count, so their table (bounded by the sample) is broadcast. Null and wordless texts have no
-    tokens and the prior; so has every text where no labels are.
+    so_far = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = ids.withColumn("total", F.sum("chars").over(so_far)).where(F.col("total") <= max_chars)
+    return rows.where(F.length("text") > 0).join(F.broadcast(ids.select("doc_id", "domain")), "doc_id").select("text", "domain")
+
+
+def posteriors(
+    docs: DataFrame, labels: DataFrame, per_domain: int = 2000, max_chars: int = 40_000_000, support: int = 8, errors: float = 6.0, absence: float = 3.0
+) -> DataFrame:
+    """Each row of ``docs``: row_key, doc_id, n_tokens, p_<domain>.
+
+    Learns from a bounded sample: ``per_domain`` labelled texts a domain, of ``max_chars`` characters in all. Only features that
+    surely tell a domain from the first one count, namely those in ``support`` texts or more whose share exceeds that in the first
+    domain by ``errors`` standard errors, so their table (bounded by the sample) is broadcast; lacking a domain's features lowers
+    its log odds by ``absence`` at most. ``support=0, errors=0, absence=inf`` gives the unpruned classifier of all features commoner
+    in the domain. Null and wordless texts have no tokens and the prior; so has every text where no labels are. Rows are
+    scored in one pass, without joining them to themselves.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     label = _labelled(labels)
     sample = written(_sample(rows, label, per_domain, max_chars), "mix-sample")
     count = lambda t: {r.domain: r.n for r in t.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     totals, everywhere = count(sample), count(label.where(~held_out(F.col("doc_id"), 4)))
     n = [totals.get(d, 0) for d in DOMAINS]
     prior = [(everywhere.get(d, 0) + 1) / (sum(everywhere.values()) + len(DOMAINS)) for d in DOMAINS]
-    domain = sample.select("row", "domain")
-    counts = (
-        _features(_words(sample))
-        .select("row", "feature")
-        .join(domain, "row")
-        .groupBy("feature")
-        .agg(*(F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(DOMAINS)))
-    )
+    counts = _features(sample, "domain").groupBy("feature").agg(*(F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(DOMAINS)))
     weights, telling = [], F.lit(False)
     for k in range(1, len(DOMAINS)):
         p0, pk = (F.col("c0") + 0.5) / (n[0] + 1), (F.col(f"c{k}") + 0.5) / (n[k] + 1)
         both = (F.col("c0") + F.col(f"c{k}") + 0.5) / (n[0] + n[k] + 1)
         error = F.sqrt(both * (1 - both) * (1 / (n[0] + 1) + 1 / (n[k] + 1)))
-        sure = (pk - p0 > _ERRORS * error) & (F.col("c0") + F.col(f"c{k}") >= _SUPPORT)
+        sure = (pk - p0 > errors * error) & (F.col("c0") + F.col(f"c{k}") >= support)
         telling = telling | sure
         absent = F.log((1 - pk) / (1 - p0))
         weights.append(F.when(sure, F.log(pk / p0) - absent).otherwise(0.0).alias(f"w{k}"))
         weights.append(F.when(sure, absent).otherwise(0.0).alias(f"a{k}"))
     table = written(counts.where(telling).select("feature", *weights), "mix-features")
-    absence = table.agg(*(F.sum(f"a{k}").alias(f"a{k}") for k in range(1, len(DOMAINS)))).first()
-    start = [0.0] + [math.log(prior[k] / prior[0]) + max(-_ABSENCE, absence[f"a{k}"] or 0.0) for k in range(1, len(DOMAINS))]
-    words = _words(rows)
-    found = (
-        _features(words)
-        .join(F.broadcast(table), "feature")
-        .groupBy("row")
-        .agg(*(F.sum(f"w{k}").alias(f"w{k}") for k in range(1, len(DOMAINS))))
+    lacking = table.agg(*(F.sum(f"a{k}").alias(f"a{k}") for k in range(1, len(DOMAINS)))).first()
+    start = [0.0] + [math.log(prior[k] / prior[0]) + max(-absence, lacking[f"a{k}"] or 0.0) for k in range(1, len(DOMAINS))]
+    keyed = rows.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.monotonically_increasing_id().alias("row"))
+    scored = (
+        _features(keyed, "row", "row_key", "doc_id")
+        .join(F.broadcast(table), "feature", "left")
+        .groupBy("row", "row_key", "doc_id", "n_tokens")
+        .agg(*(F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in range(1, len(DOMAINS))))
     )
-    tokens = words.select("row", "n_tokens")
-    scores = [F.lit(0.0)] + [F.coalesce(f"w{k}", F.lit(0.0)) + F.lit(start[k]) for k in range(1, len(DOMAINS))]
+    scores = [F.lit(0.0)] + [F.col(f"w{k}") + F.lit(start[k]) for k in range(1, len(DOMAINS))]
     top = F.greatest(*scores)
-    scored = rows.select("row", "doc_id").join(tokens, "row").join(found, "row", "left")
-    scored = scored.select("row", "doc_id", "n_tokens", *(F.exp(s - top).alias(d) for s, d in zip(scores, DOMAINS, strict=True)))
+    scored = scored.select("row_key", "doc_id", "n_tokens", *(F.exp(s - top).alias(d) for s, d in zip(scores, DOMAINS, strict=True)))
     total = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0]))
-    return scored.select("row", "doc_id", "n_tokens", *((F.col(d) / total).alias(f"p_{d}") for d in DOMAINS))
+    return scored.select("row_key", "doc_id", "n_tokens", *((F.col(d) / total).alias(f"p_{d}") for d in DOMAINS))
 
 
-def rates(members: DataFrame, targets: dict[str, float], anchor: str = "clean", anchor_rate: float = 1.1, steps: int = 40) -> DataFrame:
-    """``members`` (row, doc_id, n_tokens, p_<domain>) with their rate and number of copies.
+def rates(
+    members: DataFrame, targets: dict[str, float], anchor: str = "clean", anchor_rate: float = 1.1, steps: int = 60, grain: int = 1000
+) -> DataFrame:
+    """``members`` (doc_id, n_tokens, p_<domain> and others) with their rate, number of copies, and ``gap``.
 
     The targets are shares of tokens; the whole is chosen so that the anchor domain gets ``anchor_rate`` times the
     tokens it has, so that documents surely in it keep a rate of 1 or more. From rates of 1, each step moves them
     against the gradient of the squared distance between the domains' expected tokens and their targets (documents
-    weighted by length, domains by their tokens) and projects them to 0 or more. A step is one aggregate; every
-    eighth the rates are written, so plans stay short. copies is the rate rounded up with a chance, from a hash of
-    doc_id, equal to its fraction.
+    weighted by length, domains by their tokens) and projects them to 0 or more. A rate depends on the posterior alone, so tokens are
+    first added up by posterior, rounded to 1 / ``grain``, and the steps, one aggregate each, run over these few classes; every
+    eighth they are written, so plans stay short. copies is the rate rounded up with a chance, from a hash of
+    doc_id, equal to its fraction. ``gap`` is, on all rows alike, the largest distance of a domain's expected tokens from its
+    target, as a share of its tokens: what ``steps`` steps left open, and rounding.
     """
     names = [f"p_{d}" for d in targets]
-    weigh = lambda rate: [F.sum(rate * F.col("n_tokens") * F.col(p)) for p in names]
-    mass = [x or 0.0 for x in members.agg(*weigh(F.lit(1.0))).first()]
+    taken = [fresh(members, f"_class_{p}") for p in names]
+    rounded = members.withColumns({t: F.round(F.col(p) * grain).cast("int") for t, p in zip(taken, names, strict=True)})
+    classes = rounded.groupBy(*taken).agg(
+        F.sum("n_tokens").alias("tokens"), F.count("*").alias("size"), *(F.sum(F.col("n_tokens") * F.col(p)).alias(f"mass{k}") for k, p in enumerate(names))
+    )
+    classes = written(classes, "mix-classes")
+    mass = [x or 0.0 for x in classes.agg(*(F.sum(f"mass{k}") for k in range(len(names)))).first()]
     at = list(targets).index(anchor)
     whole = anchor_rate * mass[at] / targets[anchor] if mass[at] else sum(mass)
     want = [whole * t / sum(targets.values()) for t in targets.values()]
-    table, rate = members.withColumn("rate", F.lit(1.0)), F.col("rate")
-    for step in range(1, steps + 1):
-        got = [x or 0.0 for x in table.agg(*weigh(rate)).first()]
+    table, rate, gap = classes.withColumn("rate", F.lit(1.0)), F.col("rate"), 0.0
+    for step in range(1, steps + 2):
+        got = [x or 0.0 for x in table.agg(*(F.sum(rate * F.col(f"mass{k}")) for k in range(len(names)))).first()]
         left = [(g - w) / m if m else 0.0 for g, w, m in zip(got, want, mass, strict=True)]
-        if max(map(abs, left)) < 1e-6:
+        gap = max(map(abs, left))
+        if gap < 1e-6 or step > steps:
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(x) * F.col(p) for x, p in zip(left[1:], names[1:], strict=True)), F.lit(left[0]) * F.col(names[0])))
+        move = sum((F.lit(x) * F.col(t) / float(grain) for x, t in zip(left[1:], taken[1:], strict=True)), F.lit(left[0]) * F.col(taken[0]) / float(grain))
+        rate = F.greatest(F.lit(0.0), rate - move)
         if step % 8 == 0:
             table, rate = written(table.withColumn("rate", rate), "mix-rates"), F.col("rate")
-    table = table.withColumn("rate", rate)
+    table = written(table.select(*taken, "size", rate.alias("rate")), "mix-rates")
+    key = F.concat_ws(",", *taken)
+    name, size = fresh(members, "_class"), fresh(members, "_size")
+    joined = hot_joined(rounded.withColumn(name, key).drop(*taken), table.select(key.alias(name), F.col("size").alias(size), "rate"), name, size)
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("copies")), 11) / float(2**53)
     whole_part = F.floor("rate")
-    return table.withColumn("copies", (whole_part + (chance < F.col("rate") - whole_part).cast("long")).cast("long"))
+    copies = (whole_part + (chance < F.col("rate") - whole_part).cast("long")).cast("long")
+    return joined.select(*members.columns, "rate", copies.alias("copies"), F.lit(gap).alias("gap"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Every row of ``docs``: doc_id, n_tokens, p_<domain>, rate, copies.
+    """Every row of ``docs``: row_key, doc_id, n_tokens, p_<domain>, rate, copies, gap (see :func:`rates`).
 
     ``targets``: share of tokens for each of DOMAINS. Null texts count as empty. Repeated rows are members each; an empty
     table gives no rows; without labels all documents have the same posterior and rate. Other columns are ignored.
     """
     members = written(posteriors(docs, labels), "mix-members")
-    return rates(members, targets or TARGETS).drop("row")
+    return rates(members, targets or TARGETS)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies, with the columns of ``docs``; rows with a null id once."""
-    plan = mix(docs, labels, targets).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    many = docs.join(plan, docs["doc_id"] == plan["_id"], "left").withColumn("_copies", F.coalesce("_copies", F.lit(1).cast("long")))
-    many = many.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return many.select(*docs.columns)
+    """The rows of ``docs``, each as often as its copies, with the columns of ``docs``, whatever their names; rows with a null id once."""
+    key, copies, nth = (fresh(docs, f"_{n}") for n in ("row_key", "copies", "nth"))
+    plan = mix(docs, labels, targets).groupBy(F.col("row_key").alias(key)).agg(F.max("copies").alias(copies))
+    rows = docs.withColumn(key, row_key(docs["doc_id"].cast("long"), docs["text"])).join(plan.hint("merge"), key)
+    times = F.when(F.col("doc_id").isNull(), 1).otherwise(F.col(copies)).cast("int")
+    return rows.withColumn(nth, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

@@ -135,8 +135,8 @@ def _network(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int) -> list[np.
     return layers
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 20_000, dim: int = 48, max_words: int = 20_000, hidden: int = 32, epochs: int = 60) -> QualityModel:
-    """A model from a bounded sample: ``per_class`` labelled texts a class, of ``max_chars`` characters at most.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 30_000_000, dim: int = 48, max_words: int = 20_000, hidden: int = 32, epochs: int = 60) -> QualityModel:
+    """A model from a bounded sample: ``per_class`` labelled texts a class, of ``max_chars`` characters in all.
 
     Each fifth text sets the temperature, the one of a grid with the least log loss. Where a class is missing every
     score is 0.5.

@@ -64,7 +64,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

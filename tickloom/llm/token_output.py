@@ -109,12 +109,14 @@ class WordEncoder:
 
     def __init__(self, json: str, special: bool = True, budget: int = 260_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_str(json), Tokenizer.from_str(json)
-        ascii_signs = "".join(chr(i) for i in range(33, 127) if not chr(i).isupper())
-        if self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(ascii_signs) == ascii_signs:
-            self.plain.normalizer = normalizers.Sequence([])  # it leaves lower-case ASCII words alone
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        same = self.plain.normalizer is None or self.plain.normalizer.normalize_str(letters) == letters
+        if same and self.plain.pre_tokenizer is not None and [p for p, _ in self.plain.pre_tokenizer.pre_tokenize_str(letters)] == [letters]:
+            # neither step changes or cuts a word of these letters, so such words can do without
+            self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
         self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = not special
         self.whole = tuple({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()} | set(_SEPARATORS))
         self.dtype = id_type(self.tokenizer.get_vocab_size())
@@ -138,25 +140,29 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._words(t) for t in texts]
-        words = set().union(*(w for w in split if w))
-        new = words.difference(self.ids)
-        plain = [w for w in new if _PLAIN.fullmatch(w)]
-        new = plain + list(new.difference(plain))
-        found = self._packed(plain, self.plain) + self._packed(new[len(plain) :], self.tokenizer)
-        more = sum(map(len, found)) + 4 * sum(map(len, new)) + 200 * len(new)
-        self.used += more
+        words = list(set().union(*(w for w in split if w)))
+        here = dict(zip(words, map(self.ids.get, words), strict=True))
+        plain = [w for w, i in here.items() if i is None and _LETTERS.fullmatch(w)]
+        other = [w for w, i in here.items() if i is None and not _LETTERS.fullmatch(w)]
+        new = dict(zip(plain + other, self._packed(plain, self.plain) + self._packed(other, self.tokenizer), strict=True))
+        here |= new
+        self.used += _size(new)
         if self.used > self.budget:  # only the words of these texts stay
-            self.ids = {w: self.ids[w] for w in words if w in self.ids}
-            self.used = sum(200 + 4 * len(w) + len(i) for w, i in self.ids.items()) + more
-        self.ids.update(zip(new, found, strict=True))
-        word = self.ids.__getitem__
+            self.ids, self.used = dict(here), _size(here)
+        else:
+            self.ids |= new
+        word = here.__getitem__
         return [self._packed([t], self.tokenizer)[0] if ws is None else b"".join(map(word, ws)) for t, ws in zip(texts, split, strict=True)]
 
 
+def _size(ids: dict[str, bytes]) -> int:
+    """About the bytes that these take."""
+    return 200 * len(ids) + sum(4 * len(w) + len(i) for w, i in ids.items())
+
+
+_LETTERS = re.compile("[a-z]+")
 #: Separators that are white space to Python but not to the library.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Words that no normaliser of the kind changes.
-_PLAIN = re.compile("[!-@\\[-~]+")
 #: Marks that the library's normaliser may compose with a letter before them.
 _MARKS = re.compile("[\u0300-\u036f]")
 

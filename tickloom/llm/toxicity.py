@@ -129,8 +129,8 @@ def _fit(texts: list[str], y: np.ndarray, size: int, dim: int, window: int, epoc
     return embedding @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 20_000, buckets: int = 1 << 17, dim: int = 8, window: int = 4, epochs: int = 60) -> ToxicityModel:
-    """A model from a bounded sample: ``per_class`` labelled texts a class, of ``max_chars`` characters at most.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 30_000_000, buckets: int = 1 << 17, dim: int = 8, window: int = 4, epochs: int = 60) -> ToxicityModel:
+    """A model from a bounded sample: ``per_class`` labelled texts a class, of ``max_chars`` characters in all.
 
     Each fifth text calibrates the score (logistic regression on the worst window's logit, class weights undone so
     that the score is a probability at the sample's balance). Where a class is missing, every score is 0.5.
