@@ -126,15 +126,80 @@ def test_language_edge_cases(odd):
     assert set(lang_id.accepted(odd, models).columns) == set(odd.columns)
 
 
-def test_kneser_ney_sums_to_one():
-    models = lang_id._fit({"x": ["abab abba baba", "aab bba"]}, 3)
-    alphabet = "ab\x03"
-    for history in ("", "a", "ab", "ba"):
-        p = 0.0
-        for c in alphabet:
-            points = np.array([ord(x) for x in "\x02" + history + c], np.uint64)
-            p += math.exp(models.characters(points, np.arange(len(points)))[-1, 0])
-        assert p < 1 + 1e-5 and p > 0.8  # the rest belongs to characters never seen and the start mark
+def brute_kneser_ney(words, order, alphabet):
+    """p(character | those before it in its word), by the recursive definition over strings."""
+    marked = ["\x02" + w + "\x03" for w in words]
+    raw = collections.Counter(m[i - order + 1 : i + 1] for m in marked for i in range(order - 1, len(m)))
+    count = {order: raw}
+    for n in range(order - 1, 0, -1):
+        before = collections.defaultdict(set)
+        for m in marked:
+            for i in range(max(n - 1, 1), len(m)):
+                # what stands before the n-gram; where a word begins with it, that is one thing more
+                before[m[i - n + 1 : i + 1]].add(m[i - n] if i >= n else "begin")
+        count[n] = {g: len(b) for g, b in before.items()}
+
+    def discount(n):
+        ones, twos = (sum(c == k for c in count[n].values()) for k in (1, 2))
+        return min(max(ones / max(ones + 2.0 * twos, 1.0), 0.1), 0.9)
+
+    def p(history, c):
+        n = len(history) + 1
+        below = p(history[1:], c) if history else 1.0 / (alphabet + 1)
+        total = sum(v for g, v in count[n].items() if g[:-1] == history)
+        if not total:
+            return below
+        kinds, d = sum(g[:-1] == history for g in count[n]), discount(n)
+        return (max(count[n].get(history + c, 0) - d, 0) if history + c in count[n] else 0) / total + d * kinds / total * below
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_matches_brute_force(order):
+    words = "abab abba baba aab bba cab bac abba".split()
+    models = lang_id._fit({"x": [" ".join(words)]}, order)
+    p = brute_kneser_ney(words, order, len(set("abc\x02\x03")))
+    for w in ["abab", "cc", "bca", "aabbccab", "b"]:
+        marked = "\x02" + w + "\x03"
+        got = models.characters(np.array([ord(c) for c in marked], np.uint64), np.arange(len(marked)))[1:, 0]
+        want = [math.log(p(marked[max(0, i - order + 1) : i], marked[i])) for i in range(1, len(marked))]
+        assert np.allclose(got, want, atol=1e-4), w
+
+
+def test_long_runs_of_letters_are_scored_in_stretches(monkeypatch):
+    models = lang_id._fit({"x": ["abab abba baba"], "y": ["cdcd dccd"]}, 4)
+    word = "abbacd" * 50
+    whole = models.words([word, "ab", word])
+    monkeypatch.setattr(lang_id, "_CHARACTERS", 40)
+    assert np.allclose(models.words([word, "ab", word]), whole)
+
+
+def test_language_rejects_foreign_texts_and_keeps_short_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    models = lang_id.train(docs)
+    score = lang_id._Scorer(models)
+    rng = random.Random(4)
+    foreign = [
+        "Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw", "Все люди рождаются свободными и равными в своем достоинстве",
+        "すべての人間は、生まれながらにして自由であり", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Alle mennesker er født frie og med samme menneskeverd og menneskerettigheter", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van",
+        "Questa è una semplice frase in italiano che parla del tempo e della vita quotidiana nelle città del paese, e di come gli anni passano",
+        *("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300)) for _ in range(40)), *("".join(rng.choices("aeioubcd ", k=300)) for _ in range(10)),
+    ]
+    assert score(foreign).rejected.mean() > 0.98
+    clean = [r.text for r in docs.where("text is not null").select("doc_id", "text").collect() if held(r.doc_id, 4)]
+    whole = score(clean)
+    assert whole.rejected[whole.lang_pred != "und"].mean() < 0.001
+    short = score([" ".join(t.split()[a : a + n]) for t in clean[:1500] for n in (1, 2, 5, 20) for a in (0, 9)])
+    assert short.rejected[short.lang_pred != "und"].mean() < 0.002
+
+
+def test_language_bounds(spark, small):
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.train(small, max_languages=1)
+    texts = spark.createDataFrame([(i, "wort " * 50 if i % 2 else "word " * 60, "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string")
+    assert sorted(lang_id.train(texts, max_chars=600).langs) == ["de", "en"]
 
 
 @pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.92), (quality, "quality", 0.97)])

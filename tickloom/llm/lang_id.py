@@ -15,6 +15,11 @@ from .words import WordTable, characters, ngram_hashes
 
 #: Marks before and after a word.
 _START, _END = "\x02", "\x03"
+#: Lengths of 1, 2, 4, ... 512 characters have limits of their own. Longer texts have the last: a sample has too few of them to show how far
+#: whole documents lie apart.
+_LENGTHS = 10
+#: Runs and characters that are scored at once.
+_RUNS, _CHARACTERS = 20_000, 200_000
 
 
 @dataclass
@@ -33,7 +38,16 @@ class LanguageModels:
     back: list[np.ndarray]
     floor: np.ndarray
     temperature: float = 0.05
-    limit: np.ndarray | None = None
+    #: of each language, by the binary logarithm of the number of characters: the cross-entropy above which a text is rejected
+    limits: np.ndarray | None = None
+
+    def limit(self, lang: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The limits of texts of ``chars`` characters in languages number ``lang``, between two lengths in proportion."""
+        at = np.clip(np.log2(np.maximum(chars, 1.0)), 0, _LENGTHS - 1)
+        low = np.minimum(at.astype(np.int64), _LENGTHS - 2)
+        own, part = self.limits[lang], at - low
+        each = np.arange(len(lang))
+        return own[each, low] * (1 - part) + own[each, low + 1] * part
 
     def characters(self, points: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log p of each character but the start marks, by language; 0 at the start marks."""
@@ -65,20 +79,34 @@ class LanguageModels:
         import regex
 
         letters = regex.compile(r"\p{L}+")
-        runs, owner = [], []
+        out = np.zeros((len(words), len(self.langs) + 1))
+        runs, owner, size = [], [], 0
         for i, w in enumerate(words):
             for r in letters.findall(w):
                 runs.append(r)
                 owner.append(i)
-        out = np.zeros((len(words), len(self.langs) + 1))
-        for a in range(0, len(runs), 20_000):
-            part = runs[a : a + 20_000]
-            points, place = characters(part, _START, _END)
-            lengths = np.array([len(r) + 2 for r in part])
-            logp = np.add.reduceat(self.characters(points, place), np.cumsum(lengths) - lengths, axis=0)
-            np.add.at(out, np.array(owner[a : a + 20_000]), np.column_stack([logp, lengths - 1.0]))
+                size += len(r)
+                if len(runs) >= _RUNS or size >= _CHARACTERS:
+                    self._add(out, runs, owner)
+                    runs, owner, size = [], [], 0
+        self._add(out, runs, owner)
         return out
 
+    def _add(self, out: np.ndarray, runs: list[str], owner: list[int]) -> None:
+        if len(runs) == 1 and len(runs[0]) > _CHARACTERS:  # a long run in stretches, each with the characters before it
+            run, own = _START + runs[0] + _END, owner[0]
+            for a in range(1, len(run), _CHARACTERS):
+                before = min(a, self.order)
+                points = np.frombuffer(run[a - before : a + _CHARACTERS].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                place = np.arange(len(points)) + (0 if before == a else self.order)
+                out[own, :-1] += self.characters(points, place)[before:].sum(0)
+            out[own, -1] += len(run) - 1
+        elif runs:
+            points, place = characters(runs, _START, _END)
+            lengths = np.array([len(r) + 2 for r in runs])
+            logp = np.add.reduceat(self.characters(points, place), np.cumsum(lengths) - lengths, axis=0)
+            np.add.at(out, np.array(owner), np.column_stack([logp, lengths - 1.0]))
+
 
 def _fit(texts: dict[str, list[str]], order: int) -> LanguageModels:
     """Interpolated Kneser-Ney: raw counts at the highest order, continuation counts below it."""
@@ -133,26 +161,54 @@ def _fit(texts: dict[str, list[str]], order: int) -> LanguageModels:
     return LanguageModels(langs, order, keys, [p.astype(np.float32) for p in prob], [b.astype(np.float32) for b in back], floor)
 
 
-def _entropies(models: LanguageModels, texts: list[str]) -> np.ndarray:
-    table = WordTable(models.words)
-    rows = []
-    for at in table.indices([t.lower().split() for t in texts]):
-        total = table.rows[at].sum(0)
-        rows.append(-total[:-1] / max(total[-1], 1.0))
-    return np.array(rows).reshape(len(texts), len(models.langs))
-
+def _limits(models: LanguageModels, table: WordTable, texts: list[np.ndarray], y: np.ndarray, rate: float) -> np.ndarray:
+    """Limits of all languages by length, from runs of 1, 2, 4, ... words of calibration texts of each language.
 
-def train(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, order: int = 5) -> LanguageModels:
-    """Models from a bounded sample: at most ``per_language`` training texts a language, of ``max_chars`` at most.
-
-    Training texts are those with a non-null language that aren't held out. Which of them are taken depends on a
-    hash of doc_id alone. A fifth of them calibrates: the temperature of the score by likelihood, and for each
-    language the cross-entropy above which a text is rejected, half more than any of its texts has.
+    At each length a limit lies half again as far above the median as the cross-entropy that a share ``rate`` of the runs
+    exceeds, no lower than half more than the median, which leaves room for texts that mix known languages, and no lower than at the
+    next greater length. Lengths without runs take the next known one; languages without
+    calibration texts what all others have together.
+    """
+    found: list[list[list[np.ndarray]]] = [[[] for _ in range(_LENGTHS)] for _ in range(len(models.langs) + 1)]
+    for at, lang in zip(texts, y, strict=True):
+        own = table.rows[at][:, [lang, -1]]
+        own = own[own[:, 1] > 0]
+        step = 1
+        while step <= max(len(own), 1):
+            sums = np.add.reduceat(own, np.arange(0, len(own) - step + 1, step), axis=0) if len(own) >= step else own[:0]
+            h, length = -sums[:, 0] / sums[:, 1], np.clip(np.round(np.log2(sums[:, 1])), 0, _LENGTHS - 1)
+            for n in np.unique(length).astype(int):
+                for k in (lang, -1):
+                    found[k][n].append(h[length == n])
+            step *= 2
+    out = np.full((len(models.langs) + 1, _LENGTHS), np.nan)
+    for k, by_length in enumerate(found):
+        for n, parts in enumerate(by_length):
+            if parts:
+                h = np.concatenate(parts)
+                middle = np.median(h)
+                out[k, n] = max(middle + 1.5 * (np.quantile(h, 1 - rate) - middle), 1.5 * middle)
+    for n in range(_LENGTHS - 2, -1, -1):
+        out[:, n] = np.fmax(out[:, n], out[:, n + 1])
+    for n in range(1, _LENGTHS):
+        out[:, n] = np.where(np.isnan(out[:, n]), out[:, n - 1], out[:, n])
+    out = np.where(np.isnan(out), out[-1], out)
+    return np.where(np.isnan(out), np.inf, out)[:-1]
+
+
+def train(docs: DataFrame, per_language: int = 400, max_chars: int = 8_000_000, order: int = 5, rate: float = 0.001, max_languages: int = 1_000) -> LanguageModels:
+    """Models from a bounded sample: at most ``per_language`` training texts a language, of ``max_chars`` characters in all.
+
+    Training texts are those with a non-null language that aren't held out; each is taken whole. Which of them are taken depends
+    on a hash of doc_id alone. A fifth of them calibrates: the temperature of the score by likelihood, and by :func:`_limits` the
+    cross-entropies above which texts are rejected, so that of the stretches of texts of a known language, short ones too, at most about
+    a share ``rate`` goes. More than ``max_languages`` languages are an error, since the models have a column for each.
     """
-    rows = docs.where(
-        F.col("lang").isNotNull() & F.length("text").between(1, max_chars) & ~held_out(F.col("doc_id"), 4)
-    ).select("doc_id", "lang", "text")
-    share = F.broadcast(rows.groupBy("lang").agg((3.0 * per_language / F.count("*")).alias("share")))
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"), 4)).select("doc_id", "lang", "text")
+    share = rows.groupBy("lang").agg((3.0 * per_language / F.count("*")).alias("share")).limit(max_languages + 1).collect()
+    if len(share) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    share = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in share], "lang string, share double"))
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 11) / float(2**53)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     sample = (
@@ -160,6 +216,8 @@ def train(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, ord
         .where(uniform < F.col("share"))
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= per_language)
+        .withColumn("chars", F.sum(F.length("text")).over(first))
+        .where(F.col("chars") <= max_chars)
         .select("lang", "text", "nth")
         .collect()
     )
@@ -174,17 +232,17 @@ def train(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000, ord
     if not fit:
         return LanguageModels([], order, [np.zeros(0, np.uint64)] * order, [], [], np.zeros(0))
     models = _fit(fit, order)
-    models.limit = np.full(len(models.langs), np.inf)
     check = [c for c in check if c[0] in fit and any(x.isalpha() for x in c[1])]
+    table = WordTable(models.words, 10_000_000)
+    y = np.array([models.langs.index(lang) for lang, _ in check], np.int64)
+    texts = table.indices([t.lower().split() for _, t in check])
+    models.limits = _limits(models, table, texts, y, rate)
     if check:
-        h = _entropies(models, [t for _, t in check])
-        y = np.array([models.langs.index(lang) for lang, _ in check])
+        total = np.array([table.rows[at].sum(0) for at in texts])
+        h = -total[:, :-1] / np.maximum(total[:, -1:], 1.0)
         gap = h - h.min(1, keepdims=True)
         loss = lambda t: np.mean(gap[np.arange(len(y)), y] / t + np.log(np.exp(-gap / t).sum(1)))
         models.temperature = float(min(np.geomspace(0.01, 2.0, 40), key=loss))
-        for j in range(len(models.langs)):
-            if (y == j).any():
-                models.limit[j] = 1.5 * h[y == j, j].max()
     return models
 
 
@@ -211,7 +269,7 @@ class _Scorer:
             best[known] = h.min(1)
             lang[known] = np.array(m.langs, object)[j]
             score[known] = 1.0 / np.exp(-(h - h.min(1, keepdims=True)) / m.temperature).sum(1)
-            rejected[known] = best[known] > (m.limit[j] if m.limit is not None else np.inf)
+            rejected[known] = best[known] > (m.limit(j, total[known, -1]) if m.limits is not None else np.inf)
         return pd.DataFrame({"lang_pred": lang, "score": score, "cross_entropy": best, "rejected": rejected})
 
 
@@ -232,7 +290,7 @@ def predict(docs: DataFrame, models: LanguageModels) -> DataFrame:
 
     The language with the lowest cross-entropy per character wins (the first by name among equals); ``score`` is its
     calibrated probability. Null texts and texts without letters get ``und`` and score 0, as do all texts where no
-    language was learned. ``rejected`` is true for ``und`` and where the cross-entropy is above the language's limit.
+    language was learned. ``rejected`` is true for ``und`` and where the cross-entropy is above the language's limit at the text's length.
     Repeated rows give repeated rows, an empty table none, and other columns are left out. Texts are scored whole,
     where they are read; the models (bounded by the sample) are broadcast.
     """
