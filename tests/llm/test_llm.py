@@ -56,53 +56,71 @@ def held(i, n):
 # --- language model -----------------------------------------------------------------------------------------------
 
 
-def brute_scores(docs, k=1000.0):
-    count, pairs, seqs = collections.Counter(), collections.Counter(), []
-    for i, t in docs:
-        w = (t or "").encode().lower().split() + [None]
-        seqs.append((i, w))
-        if i is None or not held(i, 7):
-            count.update(w)
-            pairs.update(zip([None] + w[:-1], w))
-    n, v = sum(count.values()), len(count)
-    n1, n2 = (sum(c == x for c in count.values()) for x in (1, 2))
-    d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
-    out = []
-    for i, w in seqs:
-        score, before = 0.0, None
-        for x in w:
-            p = (count[x] - d) / n if count[x] else d * v / n
-            score += math.log10((pairs[before, x] + k * p) / (count[before] + k))
-            before = x
-        base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
-        out.append((str(i), len(w), sum(count[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
-    return sorted(out)
+class BruteModel:
+    """The smoothed n-gram probabilities by their recursive definition."""
+
+    def __init__(self, docs, order, k=(1000.0, 100.0)):
+        self.order, self.k, self.seqs = order, k, []
+        self.count = [collections.Counter() for _ in range(order)]
+        for i, t in docs:
+            w = (t or "").encode().lower().split() + [None]
+            self.seqs.append((i, w))
+            if i is None or not held(i, 7):
+                for n in range(order):
+                    self.count[n].update(tuple(([None] + w)[j - n + 1 : j + 2]) for j in range(len(w)) if j >= n - 1)
+        self.n, self.v = sum(self.count[0].values()), len(self.count[0])
+        n1, n2 = (sum(c == x for c in self.count[0].values()) for x in (1, 2))
+        self.d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+
+    def p(self, history, w):
+        if not history:
+            c = self.count[0][w,]
+            return (c - self.d if c else self.d * self.v) / self.n
+        k, c = self.k[len(history) - 1], self.count[len(history) - 1][history]
+        return (self.count[len(history)][(*history, w)] + k * self.p(history[1:], w)) / (c + k)
+
+    def scores(self):
+        out = []
+        for i, w in self.seqs:
+            seq = [None] + w
+            score = sum(math.log10(self.p(tuple(seq[max(0, j - self.order + 1) : j]), seq[j])) for j in range(1, len(seq)))
+            base = sum(math.log10((self.count[0][x,] + 1) / (self.n + self.v + 1)) for x in w)
+            out.append((str(i), len(w), sum(self.count[0][x,] > 0 for x in w), self.n, round(base, 6), round(score, 6)))
+        return sorted(out)
 
 
 def got_scores(df):
     return sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
 
 
-def test_lm_matches_brute_force(small, texts):
-    got = lm_score.score(small, chunk_bytes=60_000, shard_tokens=20_000)
-    assert got_scores(got) == brute_scores(texts.items())
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_matches_brute_force(small, texts, order):
+    got = lm_score.score(small, order=order, chunk_bytes=60_000, shard_tokens=20_000)
+    assert got_scores(got) == BruteModel(texts.items(), order).scores()
+
+
+def test_lm_matches_brute_force_with_copies_across_chunks(spark, monkeypatch):
+    """N-grams that only held-out or only other chunks' texts share, higher orders, and stretches of a few words."""
+    monkeypatch.setattr(lm_score, "_LANES", 7)
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choices("abcdef", k=rng.randint(0, 30)))) for i in range(120)]
+    docs += [(200 + i, docs[i][1]) for i in range(0, 120, 7)] + [(400, "q r s t u v"), (401, "q r s t u v"), (402, "w x y z")]
+    got = lm_score.score(spark.createDataFrame(docs, "doc_id long, text string"), 4, (30.0, 10.0, 3.0), chunk_bytes=300, shard_tokens=200)
+    assert got_scores(got) == BruteModel(docs, 4, (30.0, 10.0, 3.0)).scores()
 
 
 def test_lm_edge_cases(spark, odd):
-    assert got_scores(lm_score.score(odd)) == brute_scores([(i, t) for i, t, _ in ODD])
+    assert got_scores(lm_score.score(odd)) == BruteModel([(i, t) for i, t, _ in ODD], 3).scores()
     assert lm_score.score(odd.where("false")).count() == 0
+    with pytest.raises(ValueError, match="order"):
+        lm_score.score(odd, order=4)
 
 
-def test_lm_is_a_distribution_and_higher_orders_work(spark):
-    docs = spark.createDataFrame([(1, "a b a c"), (3, "b a c")], "doc_id long, text string")
-    probe = spark.createDataFrame([(i, t) for i, t in [(1, "a b a c"), (3, "b a c")]], "doc_id long, text string")
-    assert lm_score.score(docs, order=3).count() == probe.count()
-    c = lm_score._Chunk([False], [5], np.arange(4, dtype=np.uint64).tobytes(), __import__("zstandard").ZstdCompressor().compress(lm_score._planes(np.array([1, 2, 1, 3, 0]), 4)), 3, 1)
-    machine, start = lm_score._automaton(c, [c.count[0], c.count[1], c.count[2]], (5, 4, 3, 1), (10.0, 10.0))
-    d = min(max(3 / 5, 0.1), 0.9)
-    unknown = d * 4 / 5
-    total = sum(10 ** machine.traverse(start, [1, w]) for w in range(4)) / 10 ** machine.traverse(start, [1])
-    assert 0 < total <= 1 + 1e-9 and total >= 1 - unknown
+def test_lm_is_a_distribution():
+    m = BruteModel([(1, "a b a c"), (3, "b a c d")], 3, (10.0, 10.0))
+    words = [w for w, in m.count[0]]
+    for history in ((), (None,), (b"a",), (b"b", b"a"), (b"zz", b"a")):
+        assert abs(sum(m.p(history, w) for w in [*words, b"unknown"]) - 1) < 1e-9
 
 
 # --- classifiers --------------------------------------------------------------------------------------------------
