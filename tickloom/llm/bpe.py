@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held
+from .common import held, small_batches
 
 #: Texts are worked through in stretches of about so many characters, or pieces, so that their words needn't all be in memory at once.
 _STRETCH, _STEP = 1_000_000, 200_000
@@ -365,6 +365,7 @@ def _table(ranks: dict[bytes, int]) -> list[bytes]:
 
 
 def _run(docs: DataFrame, ranks_path: str, pattern: str, with_text: bool, step: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     loaded = load_ranks(ranks_path)
     ranks = sc.broadcast(loaded)
@@ -405,6 +406,7 @@ def decode(encoded: DataFrame, ranks_path: str, step: int = 65_536) -> DataFrame
 
     Null ids decode to the empty text; bytes that are no UTF-8 become U+FFFD, which never happens for ids of a text.
     """
+    small_batches(encoded.sparkSession)
     sc = encoded.sparkSession.sparkContext
     ranks = sc.broadcast(load_ranks(ranks_path))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import _slices
-from .common import hot_joined, row_key, rows_of, written
+from .common import hot_joined, row_key, rows_of, small_batches, written
 from .components import connected_components, labels
 from .lm_score import _from_planes, _planes
 from .words import mix64
@@ -372,6 +372,7 @@ def distinct_rows(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
 def _components(docs: DataFrame, width: int, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row_key, n_shingles, digest; no digest without words) and the classes of equal sets (digest, size, doc_id and
     row_key of the first row, component, component_id), both written."""
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     extra, least = 1 / threshold - 1, threshold - _SLACK
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -55,6 +55,13 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Rows with whole texts are long, so at most ``rows`` of them go to Python at once: that bounds Arrow's buffers in the JVM."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column."""
     have = {c.lower() for c in df.columns}

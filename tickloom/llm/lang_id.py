@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import _slices
-from .common import held_out
+from .common import held_out, small_batches
 from .words import WordTable, characters, ngram_hashes
 
 #: Marks before and after a word.
@@ -275,6 +275,7 @@ class _Scorer:
 
 def accepted(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`predict` doesn't reject."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
@@ -294,6 +295,7 @@ def predict(docs: DataFrame, models: LanguageModels) -> DataFrame:
     Repeated rows give repeated rows, an empty table none, and other columns are left out. Texts are scored whole,
     where they are read; the models (bounded by the sample) are broadcast.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import _slices
-from .common import held_out, shared_dir, written
+from .common import held_out, shared_dir, small_batches, written
 from .token_output import _publish, _store
 from .words import mix64
 
@@ -277,6 +277,7 @@ def score(
     """
     if len(k) < order - 1:
         raise ValueError(f"order {order} needs {order - 1} values of k")
+    small_batches(docs.sparkSession)
     out_dir = shared_dir(docs.sparkSession, "lm-texts")
     fs, root = _store(out_dir)
     fs.create_dir(root)

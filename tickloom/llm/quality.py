@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import _slices
-from .common import labelled_sample
+from .common import labelled_sample, small_batches
 from .words import WordTable, characters, mix64, ngram_hashes
 
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
@@ -169,6 +169,7 @@ def predict(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> Dat
     other columns are left out. Texts are scored whole, where they are read; the model, bounded by ``max_words``, is
     broadcast.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

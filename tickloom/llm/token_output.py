@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import _slices
-from .common import held
+from .common import held, small_batches
 
 _U64 = np.uint64
 
@@ -191,6 +191,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, out_dir: str, end_id: int
     index of its own shard. ``special``: see :class:`WordEncoder`. Texts move and not their ids, since dealing by ranges reads its
     input twice and encoding costs more than reading.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import _slices
-from .common import labelled_sample
+from .common import labelled_sample, small_batches
 from .words import WordTable, characters, ngram_hashes
 
 _SHORTEST, _LONGEST = 3, 5
@@ -171,6 +171,7 @@ def predict(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Da
     Null, empty and blank texts get the score of no words. Repeated rows give repeated rows, an empty table none;
     other columns are left out. Texts are scored whole, where they are read; the model (0.5 MB) is broadcast.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
