@@ -173,3 +173,42 @@ def test_book_round_trip(spark, tmp_path):
     lob.write_book(df, str(tmp_path / "book"))
     back = lob.read_book(spark, str(tmp_path / "book")).where("trade_date = date'2024-01-03'")
     assert [(r.sequence, r.bid_px_00) for r in back.collect()] == [(3, None)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_session_filters_do_not_read_the_session_zone(spark, sf, zone):
+    want = {}
+    for z in ("UTC", zone):
+        spark.conf.set("spark.sql.session.timeZone", z)
+        try:
+            day = lob.book_view(spark, sf)
+            instants = day.withColumn("ts_event", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("sequence") * 7_000_000))
+            got = [f(x).agg(F.count("*"), F.sum("sequence")).first() for x in (day, instants) for f in (orderflow.regular_hours, orderflow.fixed_offset_hours)]
+            gaps = orderflow.event_features(day, 5, 9).agg(F.round(F.sum("dt_block_sec"), 3)).first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        want.setdefault("rows", (got, gaps))
+        assert want["rows"] == (got, gaps) and all(r[0] > 0 for r in got)
+
+
+def test_trailing_sums_forget_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    for odd in (nan, inf, -inf):
+        got = column(rolling(series(spark, [1.0, 1.0, odd, 1.0, 1.0, 1.0]), {"s": ("x", 2, 1)}, ONE), "s")
+        assert got == [1.0, 2.0, 1.0, 1.0, 2.0, 2.0]
+    got = column(rolling(series(spark, [1.0, 1.0, 1e17, 1.0, 1.0, 1.0]), {"s": ("x", 2, 2)}, ONE), "s")
+    assert got[0] is None and got[1] == 2.0 and got[4:] == [2.0, 2.0]
+
+
+def test_dependence_ignores_values_that_are_not_finite(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=80).tolist(), rng.normal(size=80).tolist()
+    clean = [(0, i, a, b) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    odd = clean + [(0, 80, float("inf"), 1.0), (0, 81, 1.0, float("-inf")), (0, 82, float("nan"), 0.0), (0, 83, None, 0.0)]
+    for fn in (lambda d: dependence.cross_correlation(d, "x", "y", 2, ONE), lambda d: dependence.histogram_information(d, "x", "y", [0], 5, ONE)):
+        a, b = (
+            {r.lag: r.value for r in fn(spark.createDataFrame(rows, "k int, i long, x double, y double")).collect()} for rows in (clean, odd)
+        )
+        assert a.keys() == b.keys() and all(math.isfinite(v) for v in b.values())
+        assert np.allclose([a[k] for k in a], [b[k] for k in a])
+    assert all(math.isfinite(r.value) for r in dependence.autocorrelation(spark.createDataFrame(odd, "k int, i long, x double, y double"), "x", 3, ONE).collect())

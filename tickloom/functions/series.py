@@ -62,21 +62,26 @@ def position(order: Order = DAY) -> Column:
 
 
 def rolling(df: DataFrame, sums: dict[str, tuple[str, int, int]], order: Order = DAY) -> DataFrame:
-    """Adds trailing sums ``name: (column, rows, fewest non-null values)``.
+    """Adds trailing sums ``name: (column, rows, fewest non-null values)``; NaN and infinite values count as null.
 
-    Each is the difference of two running sums, so a row costs the same whatever the window's length.
+    Each sum is over its own frame, so a huge value is forgotten once it has left the window. All frames share the order's
+    exchange and sort.
     """
-    columns = sorted({c for c, _, _ in sums.values()})
-    running = {}
-    for c in columns:
-        running[f"_sum_{c}"] = F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(order.past())
-        running[f"_n_{c}"] = F.count(c).over(order.past())
-    df = df.withColumns(running)
     out = {}
     for name, (c, n, least) in sums.items():
-        total, count = (F.col(k) - F.coalesce(F.lag(k, n).over(order.rows()), F.lit(0)) for k in (f"_sum_{c}", f"_n_{c}"))
-        out[name] = F.when(count >= least, total)
-    return df.withColumns(out).drop(*running)
+        x, frame = finite(c), order.rows().rowsBetween(-(n - 1), 0)
+        out[name] = F.when(F.count(x).over(frame) >= least, F.coalesce(F.sum(x).over(frame), F.lit(0.0)))
+    return df.withColumns(out)
+
+
+def utc_micros(df: DataFrame, c: str) -> Column:
+    """Microseconds since 1970 in UTC, whatever the session's time zone; a timestamp without a zone is read as UTC."""
+    if dict(df.dtypes)[c] != "timestamp_ntz":
+        return F.unix_micros(F.col(c).cast("timestamp"))
+    since = F.col(c) - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    seconds = (part("DAY").cast("long") * 24 + part("HOUR")) * 3600 + part("MINUTE") * 60
+    return seconds * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
 def ewma(x, alpha: float, min_periods: int = 1):

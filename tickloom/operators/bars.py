@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.series import DAY, Order, col, diff, forward_fill, position
+from ..functions.series import DAY, Order, col, diff, forward_fill, position, utc_micros
 from .orderflow import book_columns
 
 #: A series of bars.
@@ -27,13 +27,13 @@ def time_bars(df: DataFrame, seconds: int = 60, fill: bool = True, order: Order
     the state before them. The grid is a generated range for each series, joined on its bucket.
     """
     keys, eps = list(order.keys), 1e-12
-    start = F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts_event").cast("timestamp")) / (seconds * 1_000_000)) * seconds)
+    start = F.timestamp_seconds(F.floor(utc_micros(df, "ts_event") / (seconds * 1_000_000)) * seconds)
     df = df.withColumn("bucket_start", start)
     inside = Order((*order.keys, "bucket_start"), order.by)
     df = df.withColumns({"_moved": (F.lag("mid_price").over(inside.rows()) != F.col("mid_price")).cast("int"), "_r": diff("log_mid", inside)})
     state = [*book_columns(df), "mid_price", "log_mid", "sigma_W"]
     place = F.struct(*order.by)
-    micros = F.unix_micros(F.col("ts_event").cast("timestamp"))
+    micros = utc_micros(df, "ts_event")
     bars = df.groupBy(*keys, "bucket_start").agg(
         *(F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in state),
         F.max("ts_event").alias("ts_last_event"),
@@ -157,7 +157,7 @@ def regularise(df: DataFrame, value: str, seconds: float, how: str = "last", ord
     Gives the keys, ``bucket_start`` and ``value``.
     """
     keys, step = list(order.keys), int(seconds * 1_000_000)
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    micros = utc_micros(df, time)
     df = df.withColumn("_bucket", F.floor(micros / step)).where(F.col(value).isNotNull())
     place = F.struct(time, *(c for c in order.by if c != time))
     how_ = {"last": F.max_by(value, place), "first": F.min_by(value, place), "mean": F.avg(value), "sum": F.sum(value)}[how]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.series import Order
+from ..functions.series import Order, finite
 from .bars import BARS
 
 
@@ -25,7 +25,8 @@ def autocorrelation(df: DataFrame, x: str, longest: int, order: Order = BARS) ->
     """Pearson correlation of the series with itself ``lag`` rows before; null below two pairs."""
     keys = [*order.keys, "lag"]
     pairs = lagged(df, x, x, list(range(1, longest + 1)), order)
-    return pairs.groupBy(*keys).agg(F.when(F.count("*") >= 2, F.corr(F.col("x").cast("double"), F.col("y").cast("double"))).alias("value"))
+    x, y = finite("x"), finite("y")  # pairs without both go
+    return pairs.where(x.isNotNull() & y.isNotNull()).groupBy(*keys).agg(F.when(F.count("*") >= 2, F.corr(x, y)).alias("value"))
 
 
 def cross_correlation(df: DataFrame, x: str, y: str, longest: int, order: Order = BARS) -> DataFrame:
@@ -35,7 +36,7 @@ def cross_correlation(df: DataFrame, x: str, y: str, longest: int, order: Order
     of the 95 % band, 1.959963984540054 / sqrt(pairs).
     """
     keys = list(order.keys)
-    sound = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    sound = df.where(finite(x).isNotNull() & finite(y).isNotNull())
     whole = Window.partitionBy(*keys)
     scaled = sound.select(
         *keys, *order.by,
@@ -85,10 +86,11 @@ def _bin(v: Column, low: Column, high: Column, bins: int) -> Column:
 def histogram_information(df: DataFrame, x: str, y: str, lags: list[int], bins: int = 30, order: Order = BARS) -> DataFrame:
     """Mutual information of equal-width bins for (x at t, y at t + lag): the other sign of lag than above.
 
-    The bins span the values paired at that lag.
+    The bins span the values paired at that lag; pairs with a value that isn't finite go.
     """
     keys = [*order.keys, "lag"]
-    pairs = lagged(df, x, y, [-k for k in lags], order).withColumn("lag", -F.col("lag")).where("x is not null and y is not null")
+    pairs = lagged(df, x, y, [-k for k in lags], order).withColumn("lag", -F.col("lag"))
+    pairs = pairs.where(finite("x").isNotNull() & finite("y").isNotNull())
     w = Window.partitionBy(*keys)
     binned = pairs.select(*keys, *(_bin(F.col(c).cast("double"), F.min(c).over(w), F.max(c).over(w), bins).alias(c) for c in ("x", "y")))
     return _information(binned.groupBy(*keys, "x", "y").agg(F.count("*").alias("cnt")), keys, False)
@@ -164,7 +166,7 @@ def histogram_transfer_entropy(df: DataFrame, x: str, y: str, delay: int = 1, mo
     keys = list(order.keys)
     ahead = F.lead(x).over(order.rows())
     rows = df.select(*keys, ahead.cast("double").alias("f"), F.col(x).cast("double").alias("p"), (F.lag(y, delay - 1).over(order.rows()) if delay > 1 else F.col(y)).cast("double").alias("q"))
-    rows = rows.where("f is not null and p is not null and q is not null")
+    rows = rows.where(finite("f").isNotNull() & finite("p").isNotNull() & finite("q").isNotNull())
     stats = []
     for c in ("p", "q"):
         spread = F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))

@@ -6,25 +6,26 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.series import DAY, Order, backward_fill, diff, finite, forward_fill, rolling
+from ..functions.series import DAY, Order, backward_fill, diff, finite, forward_fill, rolling, utc_micros
 from ..sources.lob import LEVELS, PREFIXES
 
 
-def seconds_of_day(ts: Column) -> Column:
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts) + (F.unix_micros(ts) % 1_000_000) / 1e6
-
-
 def regular_hours(df: DataFrame, start: str = "09:30:00", end: str = "15:30:00", zone: str = "America/New_York") -> DataFrame:
-    """Adds ``ts_et`` and keeps times of day from start to end, both included; ``ts_event`` is UTC."""
+    """Adds ``ts_et``, the clock of ``zone`` written as if it were UTC, and keeps times of day from start to end, both included;
+    ``ts_event`` is UTC. The session's own time zone plays no part."""
     a, b = (sum(int(x) * s for x, s in zip(t.split(":"), (3600, 60, 1), strict=True)) for t in (start, end))
-    df = df.withColumn("ts_et", F.from_utc_timestamp(F.col("ts_event").cast("timestamp"), zone))
-    return df.where(seconds_of_day(F.col("ts_et")).between(a, b))
+    df = df.withColumn("ts_et", F.from_utc_timestamp(F.timestamp_micros(utc_micros(df, "ts_event")), zone))
+    return df.where((F.pmod(F.unix_micros("ts_et"), F.lit(_DAY)) / 1e6).between(a, b))
 
 
 def fixed_offset_hours(df: DataFrame, start: tuple[int, int, int] = (14, 30, 0), end: tuple[int, int, int] = (20, 30, 0)) -> DataFrame:
     """The older session filter: UTC times of day, both ends included, blind to daylight saving."""
     a, b = (h * 3600 + m * 60 + s for h, m, s in (start, end))
-    return df.where(seconds_of_day(F.col("ts_event").cast("timestamp")).between(a, b))
+    return df.where((F.pmod(utc_micros(df, "ts_event"), F.lit(_DAY)) / 1e6).between(a, b))
+
+
+#: Microseconds of a day.
+_DAY = 86_400_000_000
 
 
 def book_columns(df: DataFrame) -> list[str]:
@@ -53,7 +54,7 @@ def event_features(df: DataFrame, n: int = 10, w: int = 300, order: Order = DAY)
     """
     mid = (F.col("bid_px_00") + F.col("ask_px_00")) / 2
     df = df.withColumn("mid_price", mid).withColumn("log_mid", F.when(mid > 0, F.log(mid)))
-    seconds = F.unix_micros(F.col("ts_event").cast("timestamp"))
+    seconds = utc_micros(df, "ts_event")
     df = df.withColumns(
         {
             "log_mid_ret": diff("log_mid", order),
@@ -65,7 +66,7 @@ def event_features(df: DataFrame, n: int = 10, w: int = 300, order: Order = DAY)
     dt = F.when(F.col("_gap").isNotNull(), F.greatest("_gap", F.lit(1e-9)))
     return df.withColumns(
         {
-            "sigma_W": F.sqrt(F.greatest(F.col("_squares") / w, F.lit(0.0)) + F.col("_squares") * 0),
+            "sigma_W": F.sqrt(F.col("_squares") / w),
             "move_rate_per_event": F.col("mid_change_count_n") / n,
             "dt_block_sec": dt,
             "log_dt_block": F.log(dt),
@@ -197,7 +198,7 @@ def quote_features(df: DataFrame, dead_zone: float = 1e-7, order: Order = DAY) -
     0 is 0 where the value stays 0, else 1. ``mid_price_movement`` ignores changes up to ``dead_zone``.
     """
     bid, ask, bq, aq = (F.col(c) for c in ("bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"))
-    whole = F.floor(F.unix_micros(F.col("ts_event").cast("timestamp")) / 1_000_000)
+    whole = F.floor(utc_micros(df, "ts_event") / 1_000_000)
     share = lambda a, b: F.when(a + b == 0, 0.0).otherwise(F.try_divide(a - b, a + b))
     mid = (bid + ask) / 2
     df = df.withColumns(

@@ -1,6 +1,6 @@
 """Registered queries over the order-book view, and their DuckDB twins.
 
-Results are rounded alike on both sides; every query reads the whole ``events`` table (or all of lineitem, orders).
+Results are rounded alike on both sides; every query reads the whole ``events`` table.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from ..operators import bars, dependence, encode, kraus, labels, ngrams, orderfl
 from ..sources import lob
 from . import daily
 
+_BY0 = "instrument_id, trade_date"
 KEY = ["instrument_id", "trade_date", "sequence"]
 BAR = ["instrument_id", "trade_date", "sample_idx"]
 N, W, BLOCK, SYMBOLS, ALPHA = 10, 30, 4, 4, 0.05
@@ -463,32 +464,71 @@ def daily_quantile_symbols(spark, d):
     return _symbols(spark, d, mode="daily_quantile", fill="none").select(*BAR, "log_mid_sym")
 
 
+@register(
+    f"""{_SRC}, pl AS (SELECT *, row_number() OVER ({NEXT}) AS place, count(*) OVER ({PART}) AS whole FROM z),
+e AS (SELECT {_BY0}, {', '.join(f'quantile_cont(z, {i / SYMBOLS}) AS q{i}' for i in range(1, SYMBOLS))} FROM pl WHERE place <= greatest(1, floor(whole * 0.5e0)) GROUP BY ALL),
+y AS (SELECT pl.*, CASE WHEN z IS NOT NULL THEN CAST(z >= q1 AS INT) + CAST(z >= q2 AS INT) + CAST(z >= q3 AS INT) END AS s0 FROM pl JOIN e USING ({_BY0}))
+SELECT {_BY0}, sample_idx, coalesce(first_value(s0 IGNORE NULLS) OVER ({NEXT} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(s0 IGNORE NULLS) OVER ({NEXT} ROWS UNBOUNDED PRECEDING), -1) AS log_mid_sym FROM y"""
+)
+def prefix_quantile_symbols(spark, d):
+    return _symbols(spark, d, mode="prefix_quantile", fill="bfill_ffill").select(*BAR, "log_mid_sym")
+
+
+@register(
+    f"""{_SRC}, f AS (SELECT *, sample_idx <= 20 AS fit, count(*) FILTER (sample_idx <= 20) OVER ({PART}) AS many FROM z),
+e AS (SELECT {_BY0}, {', '.join(f'quantile_cont(z, {i / SYMBOLS}) AS q{i}' for i in range(1, SYMBOLS))} FROM f WHERE fit AND many >= {SYMBOLS} GROUP BY ALL)
+SELECT {_BY0}, sample_idx, CASE WHEN z IS NULL OR q1 IS NULL THEN -1 ELSE CAST(z >= q1 AS INT) + CAST(z >= q2 AS INT) + CAST(z >= q3 AS INT) END AS log_mid_sym FROM f LEFT JOIN e USING ({_BY0})"""
+)
+def history_quantile_symbols(spark, d):
+    return _symbols(spark, d, mode="history_quantile", fit_until=20, time="sample_idx", fill="none").select(*BAR, "log_mid_sym")
+
+
 def _fixed_sql(edges: list[float]) -> str:
     return f"{_SRC} SELECT instrument_id, trade_date, sample_idx, CASE WHEN z IS NULL THEN -1 ELSE {' + '.join(f'CAST(z >= {e!r}e0 AS INT)' for e in edges)} END AS log_mid_sym FROM z"
 
 
-@register(_fixed_sql(encode.uniform_edges(SYMBOLS)))
+@register(_fixed_sql([-1.5, 0.0, 1.5]))
 def fixed_uniform_symbols(spark, d):
     return _symbols(spark, d, mode="fixed_uniform", fill="none").select(*BAR, "log_mid_sym")
 
 
-@register(_fixed_sql(encode.normal_edges(SYMBOLS)))
+@register(_fixed_sql([-0.6744897501960817, 0.0, 0.6744897501960817]))
 def fixed_normal_symbols(spark, d):
     return _symbols(spark, d, mode="fixed_normal", fill="none").select(*BAR, "log_mid_sym")
 
 
-@register()
+def _moments_sql(alpha: float) -> str:
+    """The exponential mean and debiased deviation of log_mid: weights w of the values so far, adjust=False."""
+    q = f"{1 - alpha}e0"
+    weight = f"(CASE WHEN i = 0 THEN 1e0 ELSE {alpha}e0 END) * pow({q}, -i)"
+    so_far = f"OVER ({NEXT} ROWS UNBOUNDED PRECEDING)"
+    return f"""{BARS_SQL}, s AS (SELECT *, row_number() OVER ({NEXT}) - 1 AS i, first_value(log_mid) OVER ({NEXT}) AS x0 FROM b),
+w AS (SELECT *, log_mid - x0 AS x, {weight} AS wt FROM s),
+e AS (SELECT *, pow({q}, i) * sum(wt * x) {so_far} AS mx, pow({q}, i) * sum(wt * x * x) {so_far} AS mxx, pow({q}, 2 * i) * sum(wt * wt) {so_far} AS w2 FROM w),
+mo AS (SELECT *, x0 + mx AS mean, CASE WHEN i > 0 THEN sqrt(greatest((mxx - mx * mx) / (1 - w2), 0e0)) END AS sd FROM e)"""
+
+
+@register(
+    f"""{_moments_sql(0.25)} SELECT instrument_id, trade_date, sample_idx, CAST(log_mid >= mean - coalesce(sd, 0) AS INT) + CAST(log_mid >= mean AS INT) + CAST(log_mid >= mean + coalesce(sd, 0) AS INT) AS log_mid_sym FROM mo"""
+)
 def band_symbols(spark, d):
     df = encode.band_symbols(bar(spark, d).select(*BAR, "log_mid"), "log_mid", order=bars.BARS)
     return df.select(*BAR, "log_mid_sym")
 
 
-@register()
+@register(
+    f"""{_moments_sql(0.25)} SELECT instrument_id, trade_date, sample_idx, CAST(log_mid - mean > 0.01e0 * coalesce(sd, 0) AS INT) + CAST(log_mid - mean > coalesce(sd, 0) AS INT)
+- CAST(log_mid - mean < -0.01e0 * coalesce(sd, 0) AS INT) - CAST(log_mid - mean < -coalesce(sd, 0) AS INT) AS log_mid_sym FROM mo"""
+)
 def five_symbols(spark, d):
-    return encode.five_symbols(bar(spark, d).select(*BAR, "log_mid"), "log_mid", order=bars.BARS).select(*BAR, "log_mid_sym")
+    df = encode.five_symbols(bar(spark, d).select(*BAR, "log_mid"), "log_mid", order=bars.BARS)
+    return df.select(*BAR, "log_mid_sym")
 
 
-@register()
+@register(
+    f"""{_moments_sql(0.05)}, zz AS (SELECT *, CASE WHEN i >= 9 AND sd > 0 THEN (log_mid - mean) / sd END AS zg FROM mo)
+SELECT instrument_id, trade_date, sample_idx, CASE WHEN zg IS NULL THEN -1 ELSE CAST(zg >= -0.6744897501960817e0 AS INT) + CAST(zg >= 0e0 AS INT) + CAST(zg >= 0.6744897501960817e0 AS INT) END AS log_mid_sym FROM zz"""
+)
 def gaussian_symbols(spark, d):
     return encode.gaussian_symbols(bar(spark, d).select(*BAR, "log_mid"), "log_mid", min_periods=10, order=bars.BARS).select(*BAR, "log_mid_sym")
 
@@ -554,6 +594,27 @@ def prefix_suffix_classes(spark, d):
     )
 
 
+@register(
+    f"""{BARS_SQL}, r AS (SELECT *, round(log_mid, 6) AS x FROM b), a AS (SELECT *, avg(x) OVER ({NEXT} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead, avg(x) OVER ({NEXT} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS before FROM r)
+SELECT instrument_id, trade_date, sample_idx, CASE WHEN ahead > x + 1e-9 THEN 1 ELSE 0 END AS rises, CASE WHEN before > ahead + 1e-9 THEN 1 ELSE 0 END AS falls FROM a WHERE (abs(ahead - x) > 1e-8 AND abs(before - ahead) > 1e-8)"""
+)
+def suffix_mean_classes(spark, d):
+    """The classes by their own functions; rows whose means are equal but for rounding are left to neither side."""
+    df = bar(spark, d).withColumn("x", F.round("log_mid", 6))
+    ahead, before = labels.suffix_mean("x", 3), F.avg("x").over(bars.BARS.rows().rowsBetween(-2, 0))
+    df = df.withColumns({"ahead": ahead, "before": before, "rises": labels.rises("x", 3), "falls": labels.falls_on_average("x", 3, 3)})
+    return df.where((F.abs(F.col("ahead") - F.col("x")) > 1e-8) & (F.abs(F.col("before") - F.col("ahead")) > 1e-8)).select(*BAR, "rises", "falls")
+
+
+@register(
+    f"""{BARS_SQL}, w AS (SELECT {_BY0}, sample_idx, list(sequence) OVER ({NEXT} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS p, list(sequence) OVER ({NEXT} ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS s FROM b)
+SELECT {_BY0}, sample_idx, array_to_string(p, ',') AS prefix, array_to_string(s, ',') AS suffix FROM w WHERE len(p) = 3 AND len(s) = 2"""
+)
+def prefix_suffix_windows(spark, d):
+    df = labels.windows(bar(spark, d), "sequence", 3, 2)
+    return df.select(*BAR, *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("prefix", "suffix")))
+
+
 # --- sequences ----------------------------------------------------------------------------------------------------
 
 LONGEST = 3
@@ -767,9 +828,20 @@ def te_counterfactual(spark, d):
     return dependence.counterfactual_entropy(_two(spark, d), "i", "a", [1, 2], order=order).withColumn("value", F.round("value", 6))
 
 
-@register()
+def _cells_sql(v: str, s: str) -> str:
+    return f"greatest(least(coalesce(CAST(floor(({v} - low_{s}) / nullif((high_{s} - low_{s}) / bins_{s}, 0)) AS INT), 0), bins_{s} - 1), 0)"
+
+
+@register(
+    f"""{BARS_SQL}, t AS (SELECT {_BY}, lead(bid_sz_00) OVER ({NEXT}) AS f, bid_sz_00 AS p, ask_sz_00 AS q FROM b), t1 AS (SELECT * FROM t WHERE f IS NOT NULL),
+st AS (SELECT {_BY}, {', '.join(f"min({c}) AS low_{c}, max({c}) AS high_{c}, CAST(least(greatest(floor(coalesce((max({c}) - min({c})) / nullif(2 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / pow(count(*), 1e0 / 3e0), 0), 1)), 1), 64) AS INT) AS bins_{c}" for c in 'pq')} FROM t1 GROUP BY ALL),
+ce AS (SELECT {_BY}, {_cells_sql('f', 'p')} AS f, {_cells_sql('p', 'p')} AS p, {_cells_sql('q', 'q')} AS q FROM t1 JOIN st USING ({_BY})),
+jc AS (SELECT {_BY}, f, p, q, count(*) AS cnt FROM ce GROUP BY ALL),
+jm AS (SELECT *, sum(cnt) OVER (PARTITION BY {_BY}) AS n, sum(cnt) OVER (PARTITION BY {_BY}, f) AS nf, sum(cnt) OVER (PARTITION BY {_BY}, f, p) AS nfp, sum(cnt) OVER (PARTITION BY {_BY}, p, q) AS npq FROM jc)
+SELECT {_BY}, round(sum(cnt / n * log2(cnt * nf / (nfp * npq))), 6) AS value FROM jm GROUP BY ALL"""
+)
 def te_histogram(spark, d):
-    return dependence.histogram_transfer_entropy(pairs(spark, d), "bid_sz_00", "ask_sz_00")
+    return dependence.histogram_transfer_entropy(bar(spark, d), "bid_sz_00", "ask_sz_00").withColumn("value", F.round("value", 6))
 
 
 # --- volatility ---------------------------------------------------------------------------------------------------
