@@ -17,8 +17,8 @@ _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-
 
 
 def _shape(word: str) -> str:
-    """Letters and digits by kind, runs as one, other characters as they are; 12 characters at most."""
-    return "\x00" + _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", word)))[:12]
+    """Letters and digits by kind, runs as one, other characters as they are."""
+    return "\x00" + _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", word)))
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -45,8 +45,8 @@ def index_vectors(words: list[str], dim: int, nonzero: int = 6) -> np.ndarray:
 @dataclass
 class QualityModel:
     dim: int
-    vocabulary: dict[str, int] = field(default_factory=dict)
-    context: np.ndarray | None = None
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of words and shapes, sorted
+    context: np.ndarray | None = None  # their context vectors, then one of zeros
     layers: list[np.ndarray] | None = None
     centre: np.ndarray | None = None
     spread: np.ndarray | None = None
@@ -54,11 +54,19 @@ class QualityModel:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Context vector and index vector of each word. An unknown word has its shape's context."""
-        zero = len(self.context) - 1
-        at = [self.vocabulary.get(w, -1) for w in words]
-        at = [i if i >= 0 else self.vocabulary.get(_shape(w), zero) for i, w in zip(at, words, strict=True)]
+        at = self.places(words)
+        new = np.flatnonzero(at == len(self.known))
+        at[new] = self.places([_shape(words[i]) for i in new])
         return np.hstack([self.context[at], index_vectors(words, self.dim // 2)]).astype(np.float32)
 
+    def places(self, keys: list[str]) -> np.ndarray:
+        """The keys' rows of ``context``; of unknown ones the last, which is zero."""
+        h = _hash(keys)
+        at = np.searchsorted(self.known, h)
+        if len(self.known):
+            at[self.known[np.minimum(at, len(self.known) - 1)] != h] = len(self.known)
+        return at
+
     def pooled(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         """A text's features: the mean context vector, how concentrated its index vectors are, and how alike
         neighbours are."""
@@ -82,31 +90,35 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
 
 
-def _contexts(model: QualityModel, split: list[list[str]], max_words: int, reach: int = 2) -> None:
-    """Each known word's context vector: the index vectors of the words around it, summed, then of length 1."""
-    counts: dict[str, int] = {}
-    for s in split:
-        for w in s:
-            counts[w] = counts.get(w, 0) + 1
-    top = sorted(counts, key=lambda w: (-counts[w], w))[:max_words]
-    shapes = sorted({_shape(w) for w in counts})[:max_words]
-    keys = [*top, *shapes]
-    model.vocabulary = {k: i for i, k in enumerate(keys)}
-    known, empty = model.vocabulary, len(keys)
-    word_of = {w: known.get(w, known.get(_shape(w), empty)) for w in counts}
-    shape_of = {w: known.get(_shape(w), empty) for w in counts}
-    ids = np.concatenate([np.array([word_of[w] for w in s] + [empty] * reach) for s in split])
-    own = np.concatenate([np.array([shape_of[w] for w in s] + [empty] * reach) for s in split])
-    vectors = np.vstack([index_vectors(keys, model.dim), np.zeros((1, model.dim), np.float32)])
-    sums = np.zeros((empty + 1, model.dim))
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norm > 0, norm, 1.0)
+
+
+def _contexts(model: QualityModel, split: list[list[str]], backoff: float, reach: int = 2) -> None:
+    """Each word's context vector: the index vectors of the words around it (their own and their shapes'), summed, plus
+    ``backoff`` times its shape's direction, which is the sum over all words of that shape; then of length 1. So a rare
+    word is near its shape and a common one near its own contexts."""
+    words = sorted(set().union(*split))
+    shaped = [_shape(w) for w in words]
+    shapes = sorted(set(shaped))
+    number = {w: i for i, w in enumerate(words)}
+    at = {s: i for i, s in enumerate(shapes)}
+    shape_of = np.array([at[s] for s in shaped] + [len(shapes)])
+    empty = len(words)
+    ids = np.concatenate([np.array([number[w] for w in s] + [empty] * reach) for s in split])
+    vectors = index_vectors(words, model.dim) + index_vectors(shapes, model.dim)[shape_of[:-1]]
+    vectors = np.vstack([vectors / np.float32(2**0.5), np.zeros((1, model.dim), np.float32)])
+    sums = np.zeros((empty, model.dim), np.float32)
     for step in range(1, reach + 1):
-        for a, b in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-            for to in (ids, own):  # a word's context also counts for its shape
-                for k in range(model.dim):
-                    sums[:, k] += np.bincount(to[a], vectors[ids[b], k], empty + 1)
-    sums[empty] = 0
-    norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    model.context = (sums / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+        for to, of in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
+            for k in range(model.dim):
+                sums[:, k] += np.bincount(to, vectors[of, k], empty + 1)[:-1]
+    whole = np.column_stack([np.bincount(shape_of[:-1], sums[:, k], len(shapes)) for k in range(model.dim)])
+    whole = _unit(whole)
+    rows = np.vstack([_unit(sums + backoff * whole[shape_of[:-1]]), whole]).astype(np.float32)
+    model.known, first = np.unique(_hash([*words, *shapes]), return_index=True)
+    model.context = np.vstack([rows[first], np.zeros((1, model.dim), np.float32)])
 
 
 def _network(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int) -> list[np.ndarray]:
@@ -135,10 +147,10 @@ def _network(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int) -> list[np.
     return layers
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 30_000_000, dim: int = 48, max_words: int = 20_000, hidden: int = 32, epochs: int = 60) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 30_000_000, dim: int = 48, backoff: float = 8.0, hidden: int = 32, epochs: int = 60) -> QualityModel:
     """A model from a bounded sample: ``per_class`` labelled texts a class, of ``max_chars`` characters in all.
 
-    Each fifth text sets the temperature, the one of a grid with the least log loss. Where a class is missing every
+    Every word of the sample has a context vector, in whole, and so has every shape; both are held by 64-bit hashes. Each fifth text sets the temperature, the one of a grid with the least log loss. Where a class is missing every
     score is 0.5.
     """
     sample = labelled_sample(docs, labels, "quality", per_class, max_chars)
@@ -147,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars:
     if len({y for i, (_, y) in enumerate(sample) if i % 5}) < 2:
         model.context = np.zeros((1, dim), np.float32)
         return model
-    _contexts(model, [s for s, _ in sample], max_words)
+    _contexts(model, [s for s, _ in sample], backoff)
     table = WordTable(model.words)
     at = table.indices([s for s, _ in sample])
     x = np.array([model.pooled(table.rows, a) for a in at])
@@ -166,8 +178,8 @@ def predict(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> Dat
     """doc_id, score (0 to 1), predicted (1 where score >= threshold) of every row of ``docs``.
 
     Null, empty and blank texts get the score of no words. Repeated rows give repeated rows, an empty table none;
-    other columns are left out. Texts are scored whole, where they are read; the model, bounded by ``max_words``, is
-    broadcast.
+    other columns are left out. Texts are scored whole, where they are read; the model, which the sample's
+    ``max_chars`` bounds, is broadcast.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
