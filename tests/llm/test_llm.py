@@ -233,6 +233,41 @@ def test_scores_of_held_out_texts(module, label, least, spark):
     assert np.mean(pos.to_numpy()[:, None] > neg.to_numpy()[None]) > least
 
 
+def test_quality_contexts_are_sums_over_whole_words():
+    long = "wörd" * 10
+    split = [["A1", "bee", long + "x", "bee"], ["bee", long + "yy", "A2", "9!"], ["cat"]]
+    m = quality.QualityModel(16)
+    quality._contexts(m, split, backoff=3.0)
+    index = lambda w: (quality.index_vectors([w], 16)[0] + quality.index_vectors([quality._shape(w)], 16)[0]) / 2**0.5
+    unit = lambda v: v / (np.linalg.norm(v) or 1.0)
+    own, whole = collections.defaultdict(lambda: np.zeros(16)), collections.defaultdict(lambda: np.zeros(16))
+    for s in split:
+        for i, w in enumerate(s):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(s):
+                    own[w] += index(s[j])
+                    whole[quality._shape(w)] += index(s[j])
+    for w in {w for s in split for w in s}:
+        got = m.words([w])[0, :16]
+        assert np.allclose(got, unit(own[w] + 3.0 * unit(whole[quality._shape(w)])), atol=1e-5), w
+    unknown = m.words(["A7", "dog", "?"])[:, :16]
+    assert np.allclose(unknown[0], unit(whole[quality._shape("A7")]), atol=1e-5)
+    assert np.allclose(unknown[1], unit(whole[quality._shape("dog")]), atol=1e-5)
+    assert not unknown[2].any()
+    assert quality._shape("a" + "-a" * 9) != quality._shape("a" + "-a" * 8)
+
+
+def test_quality_learns_nothing_from_shuffled_labels(spark, small):
+    rng = np.random.default_rng(2)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality is not null").select("doc_id", "quality").toPandas()
+    labels["quality"] = rng.permutation(labels.quality.to_numpy())
+    model = quality.train(small, spark.createDataFrame(labels))
+    rows = quality.predict(small.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2), model).toPandas()
+    rows = rows.merge(labels, on="doc_id")
+    low, high = rows.score[rows.quality == 0], rows.score[rows.quality == 1]
+    assert 0.2 < (high.to_numpy()[:, None] > low.to_numpy()).mean() < 0.8
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_without_labels(module, odd, labels):
     model = module.train(odd, labels.where("false"))
@@ -671,6 +706,21 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.where("embedding is null")).first().n_links == 0
 
 
+@pytest.mark.parametrize("tile", [4096, 4])
+def test_embeddings_in_double_precision(spark, tile):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=8)
+    a /= np.linalg.norm(a)
+    b = rng.normal(size=8)
+    b -= (b @ a) * a
+    b /= np.linalg.norm(b)
+    at = lambda c: (c * a + math.sqrt(1 - c * c) * b).tolist()
+    rows = [(1, a.tolist()), (2, at(0.9 + 1e-9)), (3, at(0.9 - 1e-9)), (4, (a * 1e300).tolist()), (5, (a * 1e-300).tolist()), (6, (-a).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, tile=tile).collect()}
+    assert got == {1: 3, 2: 4, 3: 1, 4: 3, 5: 3, 6: 0}
+
+
 # --- queries and pipeline -----------------------------------------------------------------------------------------
 
 

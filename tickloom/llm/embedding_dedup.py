@@ -24,6 +24,7 @@ _SAMPLE, _LEAVES = 65_536, 1_024
 
 def _unit(vectors: list) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x /= np.abs(x).max(1, keepdims=True)  # so that squares of huge or tiny components don't leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -117,13 +118,21 @@ def _compare(key, rows: pd.DataFrame, axes: np.ndarray, threshold: float) -> pd.
 
 def _links(vectors: DataFrame, dim: int, threshold: float, tile: int) -> DataFrame:
     """(id, links, root) rows of all tile pairs for vectors of one length; ``vectors``: id, size, embedding."""
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, vectors.schema["embedding"].dataType.simpleString()
     axes, n = _axes(vectors, dim), vectors.count()
     depth = max(0, min(int(np.ceil(np.log2(max(n / tile, 1)))), int(np.log2(_LEAVES))))
     share = min(1.0, _SAMPLE / max(n, 1))
     bits = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(2**53)
-    sample = vectors.where(bits < share).select("embedding").limit(2 * _SAMPLE).collect() if depth else []
-    splits = _borders(_unit([s.embedding for s in sample]) @ axes, depth) if sample else []
+
+    def lead(batches):
+        for b in batches:
+            if b.num_rows:
+                points = _unit(b.column(0).to_pylist()) @ axes[:, :_FIRST]
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in points], pa.binary())], names=["p"])
+
+    # only places on the leading axes come to the driver
+    sample = vectors.where(bits < share).select("embedding").limit(2 * _SAMPLE).mapInArrow(lead, "p binary").collect() if depth else []
+    splits = _borders(np.array([np.frombuffer(s.p) for s in sample]), depth) if sample else []
     depth = depth if splits else 0
 
     def place(batches):
@@ -132,7 +141,7 @@ def _links(vectors: DataFrame, dim: int, threshold: float, tile: int) -> DataFra
                 points = _unit(b.column(2).to_pylist()) @ axes
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_leaf(points, splits, depth))], names=["id", "size", "embedding", "leaf"])
 
-    placed = written(vectors.select("id", "size", "embedding").mapInArrow(place, "id long, size long, embedding array<float>, leaf long"), "vectors")
+    placed = written(vectors.select("id", "size", "embedding").mapInArrow(place, f"id long, size long, embedding {kind}, leaf long"), "vectors")
 
     def box(batches):
         for b in batches:
@@ -189,12 +198,13 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, tile: int = 4
     compared once: n_links counts rows, so a group of copies doesn't grow the work. Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing, nor do vectors of different lengths with each other. The
     smallest reachable vec_id names the component and is kept. Rows with a null vec_id link with nothing. Repeated rows (same
-    id and vector) link with each other. An empty table gives no rows; other columns are ignored.
+    id and vector) link with each other. Components other than floats are taken as doubles. An empty table gives no rows; other columns are ignored.
 
     A task holds two tiles of ``tile`` vectors; the tiles' borders come from a bounded sample, their boxes from all vectors,
     and nothing is skipped but what a bound rules out.
     """
-    v = F.col("embedding").cast("array<float>")
+    exact = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = F.col("embedding").cast(exact)
     sound = F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"),
