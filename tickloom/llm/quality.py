@@ -92,7 +92,8 @@ class QualityModel:
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norm > 0, norm, 1.0)
+    rows /= np.where(norm > 0, norm, rows.dtype.type(1))  # in place
+    return rows
 
 
 def _contexts(model: QualityModel, split: list[list[str]], backoff: float, reach: int = 2) -> None:
@@ -107,18 +108,27 @@ def _contexts(model: QualityModel, split: list[list[str]], backoff: float, reach
     shape_of = np.array([at[s] for s in shaped] + [len(shapes)])
     empty = len(words)
     ids = np.concatenate([np.array([number[w] for w in s] + [empty] * reach) for s in split])
-    vectors = index_vectors(words, model.dim) + index_vectors(shapes, model.dim)[shape_of[:-1]]
-    vectors = np.vstack([vectors / np.float32(2**0.5), np.zeros((1, model.dim), np.float32)])
+    vectors = np.zeros((empty + 1, model.dim), np.float32)
+    for a in range(0, empty, 20_000):
+        b = min(empty, a + 20_000)
+        vectors[a:b] = index_vectors(words[a:b], model.dim) / np.float32(2**0.5)
+    vectors[:-1] += (index_vectors(shapes, model.dim) / np.float32(2**0.5))[shape_of[:-1]]
     sums = np.zeros((empty, model.dim), np.float32)
     for step in range(1, reach + 1):
         for to, of in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
             for k in range(model.dim):
                 sums[:, k] += np.bincount(to, vectors[of, k], empty + 1)[:-1]
-    whole = np.column_stack([np.bincount(shape_of[:-1], sums[:, k], len(shapes)) for k in range(model.dim)])
-    whole = _unit(whole)
-    rows = np.vstack([_unit(sums + backoff * whole[shape_of[:-1]]), whole]).astype(np.float32)
-    model.known, first = np.unique(_hash([*words, *shapes]), return_index=True)
-    model.context = np.vstack([rows[first], np.zeros((1, model.dim), np.float32)])
+    del vectors
+    whole = _unit(np.column_stack([np.bincount(shape_of[:-1], sums[:, k], len(shapes)) for k in range(model.dim)]).astype(np.float32))
+    for a in range(0, empty, 20_000):
+        sums[a : a + 20_000] += np.float32(backoff) * whole[shape_of[:-1][a : a + 20_000]]
+    keys = [*words, *shapes]
+    hashes = np.concatenate([_hash(keys[a : a + 20_000]) for a in range(0, len(keys), 20_000)])
+    model.known, first = np.unique(hashes, return_index=True)
+    model.context = np.zeros((len(first) + 1, model.dim), np.float32)
+    of_word = first < empty
+    model.context[:-1][of_word] = _unit(sums)[first[of_word]]
+    model.context[:-1][~of_word] = whole[first[~of_word] - empty]
 
 
 def _network(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int) -> list[np.ndarray]:
