@@ -26,8 +26,10 @@ class Order:
         return self.rows().rowsBetween(Window.unboundedPreceding, 0)
 
     def future(self) -> WindowSpec:
-        """The present row and all after it."""
-        return self.rows().rowsBetween(0, Window.unboundedFollowing)
+        """The present row and all after it, from the series' end on: a frame that grows as rows pass, so its cost is that of one more
+        sort and not of a frame anew for each row."""
+        back = Window.partitionBy(*self.keys).orderBy(*(F.col(c).desc() for c in self.by))
+        return back.rowsBetween(Window.unboundedPreceding, 0)
 
 
 #: The order of one day's events of one instrument.
@@ -53,7 +55,7 @@ def forward_fill(c: Column | str, order: Order = DAY) -> Column:
 
 
 def backward_fill(c: Column | str, order: Order = DAY) -> Column:
-    return F.first(c, ignorenulls=True).over(order.future())
+    return F.last(c, ignorenulls=True).over(order.future())
 
 
 def position(order: Order = DAY) -> Column:
@@ -61,17 +63,40 @@ def position(order: Order = DAY) -> Column:
     return F.row_number().over(order.rows()) - 1
 
 
+#: Trailing sums over more rows than this are put together from sums within blocks.
+FRAME = 64
+
+
 def rolling(df: DataFrame, sums: dict[str, tuple[str, int, int]], order: Order = DAY) -> DataFrame:
     """Adds trailing sums ``name: (column, rows, fewest non-null values)``; NaN and infinite values count as null.
 
-    Each sum is over its own frame, so a huge value is forgotten once it has left the window. All frames share the order's
-    exchange and sort.
+    A sum has nothing but its own rows in it, so a huge value is forgotten once it has left the window. Short windows are
+    frames. A long one of n rows is cut by blocks of n rows: what its last rows have in their block so far, and what its first
+    rows have from their place to their block's end; both run on, so the cost doesn't depend on n.
     """
+    short = {k: v for k, v in sums.items() if v[1] <= FRAME}
     out = {}
-    for name, (c, n, least) in sums.items():
+    for name, (c, n, least) in short.items():
         x, frame = finite(c), order.rows().rowsBetween(-(n - 1), 0)
         out[name] = F.when(F.count(x).over(frame) >= least, F.coalesce(F.sum(x).over(frame), F.lit(0.0)))
-    return df.withColumns(out)
+    df = df.withColumns(out) if out else df
+    for n in dict.fromkeys(v[1] for k, v in sums.items() if k not in short):
+        mine = {k: (c, least) for k, (c, m, least) in sums.items() if m == n}
+        df = df.withColumn("_place", position(order))
+        df = df.withColumn("_block", F.floor(F.col("_place") / n))
+        within = Order((*order.keys, "_block"), order.by)
+        parts = {}
+        for k, (c, _) in mine.items():
+            x = finite(c)
+            for e, w in (("head", within.past()), ("tail", within.future())):
+                parts[f"_{k}_{e}"] = F.struct(F.coalesce(F.sum(x).over(w), F.lit(0.0)).alias("s"), F.count(x).over(w).alias("c"))
+        df = df.withColumns(parts)
+        df = df.withColumns({f"_{k}_tail": F.lag(f"_{k}_tail", n - 1).over(order.rows()) for k in mine})
+        whole = F.col("_place") % n == n - 1  # then the block's sum so far is all
+        tail = lambda k, f: F.when(whole, 0).otherwise(F.coalesce(F.col(f"_{k}_tail.{f}"), F.lit(0)))
+        df = df.withColumns({k: F.when(F.col(f"_{k}_head.c") + tail(k, "c") >= least, F.col(f"_{k}_head.s") + tail(k, "s")) for k, (_, least) in mine.items()})
+        df = df.drop("_place", "_block", *(f"_{k}_{e}" for k in mine for e in ("head", "tail")))
+    return df
 
 
 def utc_micros(df: DataFrame, c: str) -> Column:
@@ -82,8 +107,3 @@ def utc_micros(df: DataFrame, c: str) -> Column:
     part = lambda unit: F.extract(F.lit(unit), since)
     seconds = (part("DAY").cast("long") * 24 + part("HOUR")) * 3600 + part("MINUTE") * 60
     return seconds * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
-
-
-def ewma(x, alpha: float, min_periods: int = 1):
-    """The recursive mean of a pandas series (``adjust=False``); a gap lets the old weight decay on."""
-    return x.ewm(alpha=alpha, adjust=False, min_periods=min_periods).mean()

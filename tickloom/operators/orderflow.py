@@ -87,10 +87,14 @@ def _flow(k: int, order: Order) -> Column:
     return side("bid", 1) - side("ask", -1)
 
 
-def flow_imbalance(df: DataFrame, n: int = 10, order: Order = DAY) -> DataFrame:
-    """``ofi_L1`` (0 on the first row), its trailing sum, and that over the mean depth (0 without depth)."""
-    df = df.withColumns({"ofi_L1": F.coalesce(_flow(0, order), F.lit(0.0)), "_depth": F.col("bid_sz_00") + F.col("ask_sz_00"), "_one": F.lit(1)})
-    df = rolling(df, {"ofi_L1_n": ("ofi_L1", n, 1), "_depths": ("_depth", n, 1), "_rows": ("_one", n, 1)}, order)
+def flow_imbalance(df: DataFrame, n: int = 10, order: Order = DAY, strict: bool = False) -> DataFrame:
+    """``ofi_L1`` (0 on the first row), its trailing sum, and that over the mean depth (0 without depth).
+
+    ``strict``, as volume bars have it: null on the first row, and no sum without n values.
+    """
+    flow = _flow(0, order) if strict else F.coalesce(_flow(0, order), F.lit(0.0))
+    df = df.withColumns({"ofi_L1": flow, "_depth": F.col("bid_sz_00") + F.col("ask_sz_00"), "_one": F.lit(1)})
+    df = rolling(df, {"ofi_L1_n": ("ofi_L1", n, n if strict else 1), "_depths": ("_depth", n, 1), "_rows": ("_one", n, 1)}, order)
     norm = F.coalesce(F.try_divide(F.col("ofi_L1_n"), F.col("_depths") / F.col("_rows")), F.lit(0.0))
     return df.withColumn("ofi_L1_n_norm", norm).drop("_depth", "_one", "_depths", "_rows")
 
@@ -151,11 +155,12 @@ def trade_signs(df: DataFrame, order: Order = DAY) -> DataFrame:
     return df.withColumns({"trade_buy_vol_event": volume(1), "trade_sell_vol_event": volume(-1)})
 
 
-def trade_imbalance(df: DataFrame, n: int = 10, order: Order = DAY) -> DataFrame:
-    """Trailing volumes (null until full) and their imbalance ``tvi_n`` (0 where undefined), also as ``trade_ofi_n``."""
+def trade_imbalance(df: DataFrame, n: int = 10, order: Order = DAY, strict: bool = False) -> DataFrame:
+    """Trailing volumes (null until full) and their imbalance ``tvi_n`` (0 where undefined; ``strict``: null), also as ``trade_ofi_n``."""
     df = rolling(df, {"trade_buy_vol_n": ("trade_buy_vol_event", n, n), "trade_sell_vol_n": ("trade_sell_vol_event", n, n)}, order)
     b, s = F.col("trade_buy_vol_n"), F.col("trade_sell_vol_n")
-    tvi = F.coalesce(F.try_divide(b - s, b + s), F.lit(0.0))
+    tvi = F.try_divide(b - s, b + s)
+    tvi = tvi if strict else F.coalesce(tvi, F.lit(0.0))
     return df.withColumns({"tvi_n": tvi, "trade_ofi_n": tvi})
 
 

@@ -23,6 +23,7 @@ class Settings:
     regular_hours: bool = True
     vpin_volume: float = 10_000
     vpin_buckets: int = 10
+    tau: float = 3.0
     decimals: int | None = None
 
 
@@ -37,20 +38,22 @@ def featured_bars(events: DataFrame, s: Settings = Settings(), order: Order = DA
     on = Order(order.keys, ("sample_idx",))
     if s.resampling == "seconds":
         return bars.book_features(bars.targets(bars.time_bars(df, s.frequency, order=order), s.ks, order=on, zero_only=True), on, True)
-    df = orderflow.trade_imbalance(orderflow.trade_signs(orderflow.flow_imbalance(df, n, order), order), n, order)
+    volume = s.resampling == "volume"  # its flow and imbalance stay null where they aren't defined
+    df = orderflow.flow_imbalance(df, n, order, strict=volume)
+    df = orderflow.trade_imbalance(orderflow.trade_signs(df, order), n, order, strict=volume)
     if s.resampling == "volume":
         return bars.book_features(bars.targets(bars.volume_bars(df, s.frequency, order), s.ks, order=on), on, True)
     df = orderflow.vpin(df, s.vpin_volume, s.vpin_buckets, order)
-    df = orderflow.flow_levels(df, 10, n, order=order)
+    df = orderflow.flow_levels(df, 10, n, "exponential", s.tau, order)
     for levels in (1, 3, 10):
-        df = orderflow.flow_levels_normalised(df, levels, n, order=order)
+        df = orderflow.flow_levels_normalised(df, levels, n, "exponential", s.tau, order=order)
     return bars.book_features(bars.targets(bars.event_bars(df, s.frequency, order=order), s.ks, order=on), on)
 
 
 def encoded(df: DataFrame, predicted: str, predictors: list[str], s: Settings = Settings(), order: Order = bars.BARS) -> DataFrame:
-    """Symbols of all features in one pass over the bars, and the combined symbol ``sym_<predictor>`` of each pair."""
-    for f in dict.fromkeys([predicted, *predictors]):
-        df = encode.encode(df, f, s.symbols, s.alpha, mode=s.mode, fill="bfill", order=order, decimals=s.decimals)
+    """Symbols of all features together, and the combined symbol ``sym_<predictor>`` of each pair."""
+    features = list(dict.fromkeys([predicted, *predictors]))
+    df = encode.encode_all(df, features, s.symbols, s.alpha, mode=s.mode, fill="bfill", order=order, decimals=s.decimals)
     return df.withColumns({f"sym_{p}": encode.combine(f"{predicted}_sym", f"{p}_sym", s.symbols) for p in predictors})
 
 

@@ -468,7 +468,7 @@ def daily_quantile_symbols(spark, d):
     f"""{_SRC}, pl AS (SELECT *, row_number() OVER ({NEXT}) AS place, count(*) OVER ({PART}) AS whole FROM z),
 e AS (SELECT {_BY0}, {', '.join(f'quantile_cont(z, {i / SYMBOLS}) AS q{i}' for i in range(1, SYMBOLS))} FROM pl WHERE place <= greatest(1, floor(whole * 0.5e0)) GROUP BY ALL),
 y AS (SELECT pl.*, CASE WHEN z IS NOT NULL THEN CAST(z >= q1 AS INT) + CAST(z >= q2 AS INT) + CAST(z >= q3 AS INT) END AS s0 FROM pl JOIN e USING ({_BY0}))
-SELECT {_BY0}, sample_idx, coalesce(first_value(s0 IGNORE NULLS) OVER ({NEXT} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(s0 IGNORE NULLS) OVER ({NEXT} ROWS UNBOUNDED PRECEDING), -1) AS log_mid_sym FROM y"""
+SELECT {_BY0}, sample_idx, coalesce(s0, -1) AS log_mid_sym FROM y"""
 )
 def prefix_quantile_symbols(spark, d):
     return _symbols(spark, d, mode="prefix_quantile", fill="bfill_ffill").select(*BAR, "log_mid_sym")
@@ -509,19 +509,19 @@ mo AS (SELECT *, x0 + mx AS mean, CASE WHEN i > 0 THEN sqrt(greatest((mxx - mx *
 
 
 @register(
-    f"""{_moments_sql(0.25)} SELECT instrument_id, trade_date, sample_idx, CAST(log_mid >= mean - coalesce(sd, 0) AS INT) + CAST(log_mid >= mean AS INT) + CAST(log_mid >= mean + coalesce(sd, 0) AS INT) AS log_mid_sym FROM mo"""
+    f"""{_moments_sql(0.25)} SELECT instrument_id, trade_date, sample_idx, CASE WHEN d < -s THEN 0 WHEN d < 0 THEN 1 WHEN d < s THEN 2 ELSE 3 END AS log_mid_sym FROM (SELECT *, round(log_mid - mean, 12) AS d, round(coalesce(sd, 0), 12) AS s FROM mo)"""
 )
 def band_symbols(spark, d):
-    df = encode.band_symbols(bar(spark, d).select(*BAR, "log_mid"), "log_mid", order=bars.BARS)
+    df = encode.band_symbols(bar(spark, d).select(*BAR, "log_mid"), "log_mid", order=bars.BARS, decimals=12)
     return df.select(*BAR, "log_mid_sym")
 
 
 @register(
-    f"""{_moments_sql(0.25)} SELECT instrument_id, trade_date, sample_idx, CAST(log_mid - mean > 0.01e0 * coalesce(sd, 0) AS INT) + CAST(log_mid - mean > coalesce(sd, 0) AS INT)
-- CAST(log_mid - mean < -0.01e0 * coalesce(sd, 0) AS INT) - CAST(log_mid - mean < -coalesce(sd, 0) AS INT) AS log_mid_sym FROM mo"""
+    f"""{_moments_sql(0.25)} SELECT instrument_id, trade_date, sample_idx, CASE WHEN s IS NULL THEN 0 WHEN d <= -s THEN -2 WHEN d <= -round(0.01e0 * s, 12) THEN -1
+WHEN d <= round(0.01e0 * s, 12) THEN 0 WHEN d <= s THEN 1 ELSE 2 END AS log_mid_sym FROM (SELECT *, round(log_mid - mean, 12) AS d, round(sd, 12) AS s FROM mo)"""
 )
 def five_symbols(spark, d):
-    df = encode.five_symbols(bar(spark, d).select(*BAR, "log_mid"), "log_mid", order=bars.BARS)
+    df = encode.five_symbols(bar(spark, d).select(*BAR, "log_mid"), "log_mid", order=bars.BARS, decimals=12)
     return df.select(*BAR, "log_mid_sym")
 
 
