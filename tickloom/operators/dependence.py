@@ -6,6 +6,8 @@ rows times lags and nothing but counts moves after the first shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.series import Order, finite
@@ -157,31 +159,85 @@ def counterfactual_entropy(df: DataFrame, source: str, target: str, lags: list[i
     return g.groupBy(*keys, "lag").agg(F.when(enough, F.sum(F.col("yhx") * F.log2(ratio)) / F.sum("yhx")).alias("value"))
 
 
-def histogram_transfer_entropy(df: DataFrame, x: str, y: str, delay: int = 1, most: int = 64, order: Order = BARS) -> DataFrame:
-    """Transfer entropy from y to x by histograms whose bins follow the interquartile range.
+def histogram_transfer_entropy(
+    df: DataFrame, x: str, y: str, delay: int = 1, most: int = 64, sigma: float | None = None, order: Order = BARS
+) -> DataFrame:
+    """Transfer entropy from y to x, ``delay`` rows ahead, by histograms whose bins follow the interquartile range.
 
-    Sum of p(x', x, y) log2(p(x', x, y) p(x') / (p(x', x) p(x, y))): the first factor below the line uses the future's
-    marginal, unlike the textbook's. x' is x one row ahead of the pair, y ``delay - 1`` rows before it.
+    Sum of p(x', y, x) log2(p(x', y, x) p(x') / (p(x', y) p(x', x))) with x' = x at t + delay and x, y at t: both factors below
+    the line hold the future's x, unlike the textbook's. ``sigma`` smooths the counts by a Gaussian (in bins).
+    Rows with a value that isn't finite go.
     """
-    keys = list(order.keys)
-    ahead = F.lead(x).over(order.rows())
-    rows = df.select(*keys, ahead.cast("double").alias("f"), F.col(x).cast("double").alias("p"), (F.lag(y, delay - 1).over(order.rows()) if delay > 1 else F.col(y)).cast("double").alias("q"))
-    rows = rows.where(finite("f").isNotNull() & finite("p").isNotNull() & finite("q").isNotNull())
-    stats = []
-    for c in ("p", "q"):
-        spread = F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
-        width = 2 * spread / F.pow(F.count("*").cast("double"), F.lit(1 / 3))
-        bins = F.least(F.greatest(F.floor(F.coalesce(F.try_divide(F.max(c) - F.min(c), width), F.lit(1.0))), F.lit(1)), F.lit(most))
-        stats += [F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}"), bins.cast("int").alias(f"bins_{c}")]
-    rows = rows.join(rows.groupBy(*keys).agg(*stats), keys)
+    if delay < 1:
+        raise ValueError("the delay must be 1 or more")
+    rows = df.select(*order.keys, F.lead(x, delay).over(order.rows()).alias("f"), F.col(y).alias("q"), F.col(x).alias("p"))
+    return _histogram_entropy(rows, list(order.keys), most, sigma)
 
-    def cell(v: str, s: str) -> Column:
-        width = (F.col(f"high_{s}") - F.col(f"low_{s}")) / F.col(f"bins_{s}")
-        at = F.floor(F.coalesce(F.try_divide(F.col(v) - F.col(f"low_{s}"), width), F.lit(0.0)))
-        return F.greatest(F.least(at, F.col(f"bins_{s}") - 1), F.lit(0)).cast("int")
 
-    n = rows.select(*keys, cell("f", "p").alias("f"), cell("p", "p").alias("p"), cell("q", "q").alias("q")).groupBy(*keys, "f", "p", "q").agg(F.count("*").alias("cnt"))
+def step_lag_entropy(
+    df: DataFrame, x: str, steps: int = 3, lags: int = 20, most: int = 64, sigma: float | None = None, order: Order = BARS
+) -> DataFrame:
+    """keys, step, lag, value: :func:`histogram_transfer_entropy` with delay 1 to a series from itself ``step`` + ``lag`` rows before.
+
+    A cell depends on step + lag alone, so each distance is worked out once, all of them from one pass over the series.
+    """
+    keys = [*order.keys, "apart"]
+    ahead = {k: F.lead(x, k).over(order.rows()) for k in range(2, steps + lags + 2)}
+    cells = df.select(*order.keys, F.col(x).alias("q"), *(c.alias(f"_a{k}") for k, c in ahead.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("apart"), F.col(f"_a{k}").alias("p"), F.col(f"_a{k + 1}").alias("f")) for k in range(2, steps + lags + 1))))
+    rows = cells.select(*order.keys, "q", each.alias("r")).select(*keys[:-1], "r.apart", "r.f", "q", "r.p").where("p is not null")
+    flat = _histogram_entropy(rows, keys, most, sigma)
+    grid = F.explode(F.array(*(F.struct(F.lit(s).alias("step"), F.lit(k).alias("lag"), F.lit(s + k).alias("at")) for s in range(1, steps + 1) for k in range(1, lags + 1))))
+    return flat.withColumn("c", grid).where("apart = c.at").select(*order.keys, "c.step", "c.lag", "value")
+
+
+def _histogram_entropy(rows: DataFrame, keys: list[str], most: int, sigma: float | None) -> DataFrame:
+    """keys, value from rows (keys, f, q, p). Bin widths of f and p follow all p, those of q all q; each column's bins span its
+    own values in complete rows. At least one bin, at most ``most``, as many as that for an interquartile range of 0."""
+    rows = rows.select(*keys, *(finite(c).alias(c) for c in "fqp"))
+    full = F.col("f").isNotNull() & F.col("q").isNotNull() & F.col("p").isNotNull()
+    stats = []
+    for c in "pq":
+        spread = F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+        width = 2 * F.when(spread == 0, 1e-8).otherwise(spread) / F.pow(F.count(c).cast("double"), F.lit(1 / 3))
+        stats.append(F.greatest(F.least(F.floor((F.max(c) - F.min(c)) / F.nullif(width, F.lit(0.0))), F.lit(most)), F.lit(1)).cast("int").alias(f"bins_{c}"))
+    for c in "fqp":
+        stats += [F.min(F.when(full, F.col(c))).alias(f"low_{c}"), F.max(F.when(full, F.col(c))).alias(f"high_{c}")]
+    facts = rows.groupBy(*keys).agg(*stats).withColumn("bins_f", F.col("bins_p"))
+    rows = rows.where(full).join(facts, keys)
+    n = rows.select(*keys, *(_edge_bin(c).alias(c) for c in "fqp"), *(f"bins_{c}" for c in "fqp"))
+    n = n.groupBy(*keys, *"fqp", *(f"bins_{c}" for c in "fqp")).agg(F.count("*").cast("double").alias("cnt"))
+    if sigma:
+        for c in "fqp":
+            n = _smoothed(n, c, keys, sigma)
     by = lambda *c: F.sum("cnt").over(Window.partitionBy(*keys, *c))
-    n = n.select(*keys, "cnt", by().alias("n"), by("f").alias("nf"), by("f", "p").alias("nfp"), by("p", "q").alias("npq"))
-    term = F.col("cnt") / F.col("n") * F.log2(F.col("cnt") * F.col("nf") / (F.col("nfp") * F.col("npq")))
+    n = n.select(*keys, "cnt", by().alias("n"), by("f").alias("nf"), by("f", "q").alias("nfq"), by("f", "p").alias("nfp"))
+    term = F.col("cnt") / F.col("n") * F.log2(F.col("cnt") * F.col("nf") / (F.col("nfq") * F.col("nfp")))
     return n.groupBy(*keys).agg(F.sum(term).alias("value"))
+
+
+def _edge_bin(c: str) -> Column:
+    """0-based equal-width bin of ``c`` by its low, high and bins; the highest value is in the last. A place found by division is
+    put right by the edges themselves, so that values on an edge fall as a search among edges has them."""
+    v, low, high, bins = F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}"), F.col(f"bins_{c}")
+    flat = low == high
+    low, high = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
+    step = (high - low) / bins
+    at = F.greatest(F.least(F.floor((v - low) / step), bins - 1), F.lit(0))
+    at = F.when((at > 0) & (v < low + at * step), at - 1).when((at < bins - 1) & (v >= low + (at + 1) * step), at + 1).otherwise(at)
+    return at.cast("int")
+
+
+def _smoothed(cells: DataFrame, axis: str, keys: list[str], sigma: float) -> DataFrame:
+    """Counts spread along one axis by a Gaussian out to 4 ``sigma``, mirrored at the ends (the end's own bin twice), whole bins with it.
+
+    Mass stays, so margins of a smoothed table are smoothed margins. A cell becomes 2 radius + 1 at most.
+    """
+    radius = int(4 * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    kernel = F.array(*(F.struct(F.lit(k).alias("d"), F.lit(w / sum(raw)).alias("w")) for k, w in zip(range(-radius, radius + 1), raw, strict=True)))
+    bins, to = F.col(f"bins_{axis}"), F.col(axis) + F.col("_k.d")
+    to = F.pmod(to, 2 * bins)
+    to = F.when(to >= bins, 2 * bins - 1 - to).otherwise(to).cast("int")
+    spread = cells.withColumn("_k", F.explode(kernel)).withColumn(axis, to).withColumn("cnt", F.col("cnt") * F.col("_k.w")).drop("_k")
+    return spread.groupBy(*(c for c in cells.columns if c != "cnt")).agg(F.sum("cnt").alias("cnt"))

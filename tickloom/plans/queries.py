@@ -828,20 +828,77 @@ def te_counterfactual(spark, d):
     return dependence.counterfactual_entropy(_two(spark, d), "i", "a", [1, 2], order=order).withColumn("value", F.round("value", 6))
 
 
-def _cells_sql(v: str, s: str) -> str:
-    return f"greatest(least(coalesce(CAST(floor(({v} - low_{s}) / nullif((high_{s} - low_{s}) / bins_{s}, 0)) AS INT), 0), bins_{s} - 1), 0)"
+def _histogram_sql(rows: str, by: str, sigma: float | None) -> str:
+    """From the definition: bins by search among edges, and p(x'), p(x', y), p(x', x), p(x', y, x) each counted, and smoothed, on its own."""
+    stats = ", ".join(
+        f"CAST(greatest(least(floor((max({c}) - min({c})) / nullif(2 * CASE WHEN q3_{c} = q1_{c} THEN 1e-8 ELSE q3_{c} - q1_{c} END / pow(count({c}), 1e0 / 3e0), 0)), 64), 1) AS INT) AS b_{c}" for c in "pq"
+    )
+    quartiles = ", ".join(f"quantile_cont({c}, 0.25) OVER w AS q1_{c}, quantile_cont({c}, 0.75) OVER w AS q3_{c}" for c in "pq")
+    edges = ", ".join(f"list_transform(range(1, {b}), lambda i: l_{c} + i * ((h_{c} - l_{c}) / {b})) AS e_{c}" for c, b in (("f", "b_p"), ("q", "b_q"), ("p", "b_p")))
+    bins = ", ".join(f"len(list_filter(e_{c}, lambda e: {c} >= e)) AS {c}" for c in "fqp")
+    sql = f"""{rows}, w AS (SELECT *, {quartiles} FROM t WINDOW w AS (PARTITION BY {by})),
+s1 AS (SELECT {by}, {stats} FROM w GROUP BY {by}, q1_p, q3_p, q1_q, q3_q),
+s2 AS (SELECT {by}, {', '.join(f'min({c}) - CASE WHEN min({c}) = max({c}) THEN 0.5 ELSE 0 END AS l_{c}, max({c}) + CASE WHEN min({c}) = max({c}) THEN 0.5 ELSE 0 END AS h_{c}' for c in 'fqp')}
+  FROM t WHERE f IS NOT NULL AND q IS NOT NULL AND p IS NOT NULL GROUP BY {by}),
+st AS (SELECT *, {edges} FROM s1 JOIN s2 USING ({by})),
+ce AS (SELECT {by}, b_p, b_q, {bins} FROM t JOIN st USING ({by}) WHERE t.f IS NOT NULL AND t.q IS NOT NULL AND t.p IS NOT NULL)"""
+    tables = {"n3": "fqp", "n2": "fq", "nd": "fp", "n1": "f"}
+    for name, axes in tables.items():
+        cols = ", ".join(axes)
+        sql += f",\n{name}_0 AS (SELECT {by}, b_p, b_q, {cols}, CAST(count(*) AS DOUBLE) AS c FROM ce GROUP BY ALL)"
+        for k, axis in enumerate(axes if sigma else ""):
+            b, radius = "b_q" if axis == "q" else "b_p", int(4 * sigma + 0.5)
+            mirror = f"CASE WHEN m < {b} THEN m ELSE 2 * {b} - 1 - m END"
+            rest = ", ".join(c for c in axes if c != axis)
+            sql += f""",
+{name}_{k + 1} AS (SELECT {by}, b_p, b_q, {rest + ', ' if rest else ''}{mirror} AS {axis}, sum(c * w) AS c FROM (
+  SELECT *, (({axis} + d) % (2 * {b}) + 2 * {b}) % (2 * {b}) AS m FROM {name}_{k}, (SELECT CAST(range AS INT) AS d, exp(-0.5 * range * range / {sigma * sigma}) / sum(exp(-0.5 * range * range / {sigma * sigma})) OVER () AS w FROM range({-radius}, {radius + 1}))) GROUP BY ALL)"""
+    last = {name: f"{name}_{len(axes) if sigma else 0}" for name, axes in tables.items()}
+    return (
+        sql
+        + f""",
+tt AS (SELECT {by}, sum(c) AS n FROM n1_0 GROUP BY {by})
+SELECT {by}, round(sum(a.c / n * log2(a.c * e.c / (b.c * d.c))), 6) + 0e0 AS value FROM {last['n3']} a JOIN {last['n2']} b USING ({by}, f, q) JOIN {last['nd']} d USING ({by}, f, p) JOIN {last['n1']} e USING ({by}, f) JOIN tt USING ({by}) GROUP BY {by}"""
+    )
 
 
-@register(
-    f"""{BARS_SQL}, t AS (SELECT {_BY}, lead(bid_sz_00) OVER ({NEXT}) AS f, bid_sz_00 AS p, ask_sz_00 AS q FROM b), t1 AS (SELECT * FROM t WHERE f IS NOT NULL),
-st AS (SELECT {_BY}, {', '.join(f"min({c}) AS low_{c}, max({c}) AS high_{c}, CAST(least(greatest(floor(coalesce((max({c}) - min({c})) / nullif(2 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / pow(count(*), 1e0 / 3e0), 0), 1)), 1), 64) AS INT) AS bins_{c}" for c in 'pq')} FROM t1 GROUP BY ALL),
-ce AS (SELECT {_BY}, {_cells_sql('f', 'p')} AS f, {_cells_sql('p', 'p')} AS p, {_cells_sql('q', 'q')} AS q FROM t1 JOIN st USING ({_BY})),
-jc AS (SELECT {_BY}, f, p, q, count(*) AS cnt FROM ce GROUP BY ALL),
-jm AS (SELECT *, sum(cnt) OVER (PARTITION BY {_BY}) AS n, sum(cnt) OVER (PARTITION BY {_BY}, f) AS nf, sum(cnt) OVER (PARTITION BY {_BY}, f, p) AS nfp, sum(cnt) OVER (PARTITION BY {_BY}, p, q) AS npq FROM jc)
-SELECT {_BY}, round(sum(cnt / n * log2(cnt * nf / (nfp * npq))), 6) AS value FROM jm GROUP BY ALL"""
-)
+def _pair_rows(delay: int) -> str:
+    return f"{BARS_SQL}, t AS (SELECT {_BY}, lead(bid_sz_00, {delay}) OVER ({NEXT}) AS f, bid_sz_00 AS p, ask_sz_00 AS q FROM b)"
+
+
+def _te(spark, d, **options) -> DataFrame:
+    return dependence.histogram_transfer_entropy(bar(spark, d), "bid_sz_00", "ask_sz_00", **options).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@register(_histogram_sql(_pair_rows(1), _BY, None))
 def te_histogram(spark, d):
-    return dependence.histogram_transfer_entropy(bar(spark, d), "bid_sz_00", "ask_sz_00").withColumn("value", F.round("value", 6))
+    return _te(spark, d)
+
+
+@register(_histogram_sql(_pair_rows(3), _BY, None))
+def te_histogram_delayed(spark, d):
+    return _te(spark, d, delay=3)
+
+
+@register(_histogram_sql(_pair_rows(1), _BY, 0.8))
+def te_histogram_smoothed(spark, d):
+    return _te(spark, d, sigma=0.8)
+
+
+_STEPS, _BACK = 3, 20
+
+
+@register(
+    _histogram_sql(
+        f"{BARS_SQL}, t AS ({' UNION ALL '.join(f'SELECT {_BY}, {k} AS apart, bid_sz_00 AS q, lead(bid_sz_00, {k}) OVER ({NEXT}) AS p, lead(bid_sz_00, {k + 1}) OVER ({NEXT}) AS f FROM b QUALIFY p IS NOT NULL' for k in range(2, _STEPS + _BACK + 1))})",
+        f"{_BY}, apart", None,
+    ).replace(f"SELECT {_BY}, apart, round", f"SELECT {_BY}, CAST(s.range AS INT) AS step, CAST(apart - s.range AS INT) AS lag, round").replace(
+        f"JOIN tt USING ({_BY}, apart) GROUP BY {_BY}, apart", f"JOIN tt USING ({_BY}, apart) JOIN range(1, {_STEPS + 1}) s ON apart - s.range BETWEEN 1 AND {_BACK} GROUP BY {_BY}, apart, s.range"
+    )
+)
+def te_step_lag(spark, d):
+    r = dependence.step_lag_entropy(bar(spark, d), "bid_sz_00", _STEPS, _BACK)
+    return r.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 # --- volatility ---------------------------------------------------------------------------------------------------
