@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.series import DAY, Order
-from ..operators import bars, dependence, encode, kraus, labels, ngrams, orderflow, volatility
+from ..operators import bars, dependence, encode, kraus, labels, neighbours, ngrams, orderflow, volatility
 from ..sources import lob
 from . import daily
 
@@ -901,6 +901,37 @@ def te_step_lag(spark, d):
     return r.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
+def _neighbours_sql(x: str, lags: list[int], k: int) -> str:
+    """All pairs of points of each instrument, day and lag."""
+    by = f"{_BY}, lag"
+    psi = "list_sum(list_transform(range(1, CAST({0} AS BIGINT)), lambda i: 1e0 / i))"  # digamma plus Euler's constant, which cancels
+    count = "sum(CASE WHEN {c} < greatest(d, 1) THEN 1 ELSE 0 END)"
+    return f"""{_PAIR}, l AS ({' UNION ALL '.join(f'SELECT {_BY}, {j} AS lag, sample_idx AS i, {x} AS x, lead({x}, {j}) OVER ({NEXT}) AS y FROM pr' for j in lags)}),
+sc AS (SELECT *, stddev_pop(x) OVER w AS sx, stddev_pop(y) OVER w AS sy FROM l WHERE x IS NOT NULL AND y IS NOT NULL WINDOW w AS (PARTITION BY {by})),
+pt AS (SELECT {by}, i, CAST(round_even(x / CASE WHEN sx = 0 THEN 1 ELSE sx END * 4294967296e0, 0) AS BIGINT) AS u, CAST(round_even(y / CASE WHEN sy = 0 THEN 1 ELSE sy END * 4294967296e0, 0) AS BIGINT) AS v FROM sc),
+pp AS MATERIALIZED (SELECT {', '.join(f'a.{c}' for c in by.split(', '))}, a.i, abs(a.u - b.u) AS du, abs(a.v - b.v) AS dv FROM pt a JOIN pt b ON a.instrument_id = b.instrument_id AND a.trade_date = b.trade_date AND a.lag = b.lag AND a.i <> b.i),
+kd AS (SELECT {by}, i, list_sort(list(greatest(du, dv)))[{k}] AS d FROM pp GROUP BY ALL),
+nn AS (SELECT {by}, i, d, {count.format(c='du')} AS nu, {count.format(c='dv')} AS nv FROM pp JOIN kd USING ({by}, i) GROUP BY ALL),
+tt AS (SELECT {by}, count(*) AS pairs FROM pt GROUP BY ALL)
+SELECT {by}, pairs, round(greatest(coalesce({psi.format('pairs')}, 0) + {psi.format(k)} - s, 0), 6) + 0e0 AS value FROM tt LEFT JOIN (
+  SELECT {by}, avg(coalesce({psi.format('nu + 1')}, 0) + coalesce({psi.format('nv + 1')}, 0)) AS s FROM nn WHERE d IS NOT NULL GROUP BY ALL) USING ({by})"""
+
+
+_KNN = [1, 2, 5]
+
+
+@register(_neighbours_sql("ret", _KNN, 5))
+def mi_neighbours(spark, d):
+    r = neighbours.neighbour_information(pairs(spark, d), "log_mid_ret", "log_mid_ret", _KNN)
+    return r.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@register(_neighbours_sql("imbalance", [1], 3))
+def mi_neighbours_imbalance(spark, d):
+    r = neighbours.neighbour_information(pairs(spark, d), "imbalance", "imbalance", [1], 3)
+    return r.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
 # --- volatility ---------------------------------------------------------------------------------------------------
 
 
