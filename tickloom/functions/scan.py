@@ -24,6 +24,7 @@ class Ewm:
     """The recursive exponential mean of a column (weights of values decay over missing ones too, as rows pass).
 
     ``debias``: also the sum of squared weights, by which a variance is made unbiased. ``previous``: also the mean before the row.
+    ``weight``: a column that holds each series' own alpha, at most ``alpha``.
     """
 
     column: str
@@ -31,6 +32,7 @@ class Ewm:
     min_periods: int = 1
     debias: bool = False
     previous: bool = False
+    weight: str | None = None
 
 
 #: What a mean keeps of the one before is at least this: less is below any double's precision.
@@ -67,9 +69,11 @@ def ewm(df: DataFrame, means: dict[str, Ewm], order: Order) -> DataFrame:
     df = df.withColumns({f"_x_{n}": finite(m.column) for n, m in means.items()})
     df = df.withColumns({f"_d_{n}": F.col("_at") - F.last(F.when(F.col(f"_x_{n}").isNotNull(), F.col("_at")), True).over(before) for n in means})
 
+    own = lambda m: F.col(m.weight) if m.weight else F.lit(m.alpha)
+
     def kept(n: str, distance: Column) -> Column:
-        old = F.pow(F.lit(1 - means[n].alpha), distance)
-        return old / (old + means[n].alpha)
+        old = F.pow(1 - own(means[n]), distance)
+        return old / (old + own(means[n]))
 
     inner = {n: F.col(f"_x_{n}").isNotNull() & F.col(f"_d_{n}").isNotNull() for n in means}
     df = df.withColumns({f"{n}_a": F.when(inner[n], F.greatest(kept(n, F.col(f"_d_{n}")), F.lit(_LEAST))) for n in means})
@@ -86,7 +90,7 @@ def ewm(df: DataFrame, means: dict[str, Ewm], order: Order) -> DataFrame:
         x = F.col(f"_x_{n}").isNotNull()
         facts += [
             F.min_by(f"_x_{n}", F.when(x, F.col("_at"))).alias(f"x_{n}"), F.min(F.when(x, F.col("_at"))).alias(f"first_{n}"), F.max(F.when(x, F.col("_at"))).alias(f"last_{n}"),
-            last(f"_p_{n}").alias(f"p_{n}"), last(f"_s_{n}").alias(f"s_{n}"), F.count(f"_x_{n}").alias(f"c_{n}"),
+            F.max(own(means[n])).alias(f"w_{n}"), last(f"_p_{n}").alias(f"p_{n}"), last(f"_s_{n}").alias(f"s_{n}"), F.count(f"_x_{n}").alias(f"c_{n}"),
         ]
         if means[n].debias:
             facts.append(last(f"_q_{n}").alias(f"q_{n}"))
@@ -106,7 +110,7 @@ def ewm(df: DataFrame, means: dict[str, Ewm], order: Order) -> DataFrame:
     for n, m in means.items():
         c, head = F.col(f"_c_{n}"), F.col(f"_{n}.head")
         value = F.when(c == 0, F.col(f"_{n}.mean")).otherwise(F.col(f"_p_{n}") * (head + F.col(f"_s_{n}")))
-        if m.alpha == 1:
+        if m.alpha == 1 and not m.weight:
             value = F.when(F.col(f"_x_{n}").isNotNull(), F.col(f"_x_{n}")).otherwise(value)
         out[n] = F.when(c + F.col(f"_{n}.count") >= max(m.min_periods, 1), value)
         out[f"{n}_n"] = c + F.col(f"_{n}.count")
@@ -136,8 +140,8 @@ def _folded(blocks: DataFrame, means: dict[str, Ewm], keys: list[str]) -> DataFr
         states, rows = [], []
         for n, m in means.items():
             s, some = acc[n], b[f"c_{n}"] > 0
-            old = F.pow(F.lit(1 - m.alpha), s["since"] + b[f"first_{n}"])
-            a = F.when(s["count"] > 0, F.greatest(old / (old + m.alpha), F.lit(_LEAST)))
+            old = F.pow(1 - b[f"w_{n}"], s["since"] + b[f"first_{n}"])
+            a = F.when(s["count"] > 0, F.greatest(old / (old + b[f"w_{n}"]), F.lit(_LEAST)))
             head = F.when(s["count"] > 0, a * s["mean"] + (1 - a) * b[f"x_{n}"]).otherwise(b[f"x_{n}"])
             end = F.when(some, b[f"p_{n}"] * (head + b[f"s_{n}"])).otherwise(s["mean"])
             since = F.when(some, b["rows"] - b[f"last_{n}"]).otherwise(s["since"] + b["rows"]).cast("long")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.scan import Ewm, ewm
 from ..functions.series import DAY, Order, diff
-from .bars import regularise
+from ..functions.tables import written
+from .bars import regularise, resample
+
+#: A series on a regular grid.
+GRID = Order(by=("bucket_start",))
 
 
 def realised(df: DataFrame, value: str, seconds: int, order: Order = DAY, grid: float = 1.0, how: str = "last", relative: bool = False) -> DataFrame:
@@ -53,3 +61,122 @@ def two_scale_offsets(df: DataFrame, log_price: str, j: int = 5, order: Order =
     n = F.count("_f")
     value = F.sum(F.col("_s") * F.col("_s")) / j - (n - j + 1) / (n * j) * F.sum(F.col("_f") * F.col("_f"))
     return rows.groupBy(*keys).agg(F.when(n >= j, value).alias("tsrv"))
+
+
+def mean_returns(df: DataFrame, value: str, seconds: float, order: Order = DAY, first: float = 0.01) -> DataFrame:
+    """keys, bucket_start, ret: changes of ``value``'s mean by buckets of ``seconds``, itself the mean of filled buckets of ``first``
+    seconds; the first bucket, which has none before it, goes."""
+    means = resample(df, value, seconds, "mean", order, first)
+    out = means.withColumn("ret", diff(value, Order(order.keys, ("bucket_start",))))
+    return out.where("ret is not null").select(*order.keys, "bucket_start", "ret")
+
+
+def summed_returns(df: DataFrame, value: str, seconds: float, order: Order = DAY, first: float = 0.01) -> DataFrame:
+    """keys, bucket_start, ret: the changes from one filled bucket of ``first`` seconds to the next, summed by ``seconds``.
+
+    A bucket's sum is its last fine mean less the last one before it, so no fine bucket is made; the series' first has none
+    before it and takes its own first.
+    """
+    keys, step = list(order.keys), round(seconds / first)
+    fine = regularise(df, value, first, "mean", order, fill=False)
+    fine = fine.withColumn("_i", F.floor(F.unix_micros("bucket_start") / int(first * 1_000_000)))
+    per = fine.groupBy(*keys, F.floor(F.col("_i") / step).alias("_b")).agg(F.max_by(value, "_i").alias("_last"), F.min_by(value, "_i").alias("_first"))
+    by = Order(order.keys, ("_b",))
+    per = per.withColumns({"_before": F.coalesce(F.lag("_last").over(by.rows()), "_first"), "_next": F.coalesce(F.lead("_b").over(by.rows()), F.col("_b") + 1)})
+    each = per.withColumn("_at", F.explode(F.sequence(F.col("_b"), F.col("_next") - 1)))
+    ret = F.when(F.col("_at") == F.col("_b"), F.col("_last") - F.col("_before")).otherwise(0.0)
+    return each.select(*keys, F.timestamp_micros(F.col("_at") * int(seconds * 1_000_000)).alias("bucket_start"), ret.alias("ret"))
+
+
+# --- conditional variance -------------------------------------------------------------------------------------------
+
+#: Weights by which the variance before a series' first row is guessed from its first rows, and how many.
+_BACK, _ROWS = 0.94, 75
+
+
+def _shocks(returns: DataFrame, ret: str, order: Order) -> DataFrame:
+    """Adds _e (distance from the series' mean), _v (its variance) and _v0, the variance before the first row: squared distances of
+    the first 75 rows with weights that fall by 0.94."""
+    whole, place = Window.partitionBy(*order.keys), F.row_number().over(order.rows()) - 1
+    df = returns.where(F.col(ret).isNotNull()).withColumn("_e", F.col(ret) - F.avg(ret).over(whole)).withColumn("_i", place)
+    w = F.when(F.col("_i") < _ROWS, F.pow(F.lit(_BACK), F.col("_i")))
+    e2 = F.col("_e") * F.col("_e")
+    return df.withColumns({"_v0": F.sum(w * e2).over(whole) / F.sum(w).over(whole), "_v": F.avg(e2).over(whole)})
+
+
+def _variance(df: DataFrame, name: str, omega: Column, alpha: Column, beta: Column, weight: Ewm, order: Order) -> DataFrame:
+    """Adds ``name``: v = omega + alpha e^2 + beta v, e and v one row before. Over 1 - beta what is added makes it a recursive mean."""
+    e = F.lag("_e").over(order.rows())
+    x = F.when(F.col("_i") == 0, omega + (alpha + beta) * F.col("_v0")).otherwise((omega + alpha * e * e) / (1 - beta))
+    df = ewm(df.withColumn("_x", x), {name: weight}, order)
+    return df.drop("_x", f"{name}_a", f"{name}_n")
+
+
+def conditional_variance(returns: DataFrame, ret: str, omega: float, alpha: float, beta: float, order: Order = GRID) -> DataFrame:
+    """Adds ``variance`` of each row given those before: omega + alpha e^2 + beta variance, e the distance from the series' mean.
+
+    Rows without a value go. A blocked scan, so a series may span tasks. ``omega`` above 0, ``alpha`` 0 or more, ``beta`` in [0, 1).
+    """
+    if not (omega > 0 and alpha >= 0 and 0 <= beta < 1):
+        raise ValueError("omega must be above 0, alpha 0 or more, beta at least 0 and below 1")
+    df = _shocks(returns, ret, order)
+    df = _variance(df, "variance", F.lit(omega), F.lit(alpha), F.lit(beta), Ewm("_x", 1 - beta), order)
+    return df.drop("_e", "_v", "_v0", "_i")
+
+
+def likelihoods(returns: DataFrame, ret: str, sets: DataFrame, order: Order = GRID, least_beta: float = 0.0) -> DataFrame:
+    """keys, set, omega, alpha, beta, loglik of every parameter set of ``sets`` (keys, set, share, alpha, beta) under normal shocks.
+
+    omega is ``share`` times (1 - alpha - beta) times the series' variance, so a share of 1 makes the long-run variance that.
+    All sets of all series are one scan and one aggregate; with a ``least_beta`` that no set is below, its blocks are longer.
+    """
+    keys = list(order.keys)
+    df = _shocks(returns, ret, order).select(*keys, *order.by, "_e", "_v", "_v0", "_i").join(sets, keys)
+    omega = F.col("share") * (1 - F.col("alpha") - F.col("beta")) * F.greatest("_v", F.lit(1e-300))
+    df = df.withColumns({"omega": omega, "_w": 1 - F.col("beta")})
+    by = Order((*order.keys, "set"), order.by)
+    df = _variance(df, "_s", F.col("omega"), F.col("alpha"), F.col("beta"), Ewm("_x", 1 - least_beta, weight="_w"), by)
+    s = F.greatest("_s", F.lit(1e-300))
+    one = -0.5 * (math.log(2 * math.pi) + F.log(s) + F.col("_e") * F.col("_e") / s)
+    first = ("share", "omega", "alpha", "beta")
+    return df.groupBy(*keys, "set").agg(*(F.max(c).alias(c) for c in first), F.sum(one).alias("loglik"))
+
+
+@dataclass(frozen=True)
+class Search:
+    """Where the fit begins, how far it first steps, and how often the steps are halved."""
+
+    alphas: tuple[float, ...] = (0.02, 0.1, 0.3)
+    betas: tuple[float, ...] = (0.3, 0.6, 0.85)
+    shares: tuple[float, ...] = (0.5, 1.0, 2.0)
+    step: float = 0.1
+    rounds: int = 6
+
+
+def fit_conditional_variance(returns: DataFrame, ret: str, order: Order = GRID, search: Search = Search()) -> DataFrame:
+    """keys, omega, alpha, beta, loglik: for each series the parameters of the greatest likelihood that a search finds.
+
+    A grid that all series share, then rounds of 27 sets round each series' best with steps halved. A round is one aggregate;
+    its best sets, a row for each series, are written to the shared folder, and no number passes the driver. alpha + beta
+    stays at most 0.999. Series without spread get no parameters.
+    """
+    keys = list(order.keys)
+    spread = returns.where(F.col(ret).isNotNull()).groupBy(*keys).agg(F.stddev_pop(ret).alias("_sd")).where("_sd > 0").select(*keys)
+    grid = [(s, a, b) for s in search.shares for a in search.alphas for b in search.betas if a + b <= 0.999]
+    sets = spread.withColumn("p", F.explode(F.array(*(F.struct(F.lit(i).alias("set"), F.lit(s).alias("share"), F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for i, (s, a, b) in enumerate(grid)))))
+    sets = sets.select(*keys, "p.*")
+    best, step = None, search.step
+    for n in range(search.rounds + 1):
+        told = likelihoods(returns, ret, sets, order, 0.0 if n else min(search.betas))
+        if best is not None:
+            told = told.unionByName(best)  # the one so far, which rounding mustn't lose
+        top = F.max_by(F.struct("share", "omega", "alpha", "beta", "loglik"), F.struct("loglik", -F.col("set")))
+        best = written(told.groupBy(*keys).agg(top.alias("b")).select(*keys, F.lit(-1).alias("set"), "b.*"), "variance-fit")
+        moves = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+        around = F.explode(F.array(*(F.struct(F.lit(q).alias("set"), F.lit(math.exp(4 * step * i)).alias("s"), F.lit(step * j).alias("a"), F.lit(step * k).alias("b")) for q, (i, j, k) in enumerate(moves))))
+        near = best.select(*keys, "share", "alpha", "beta", around.alias("m"))
+        alpha = F.greatest(F.col("alpha") + F.col("m.a"), F.lit(0.0))
+        beta = F.greatest(F.least(F.col("beta") + F.col("m.b"), F.lit(0.998)), F.lit(0.0))
+        sets = near.select(*keys, "m.set", (F.col("share") * F.col("m.s")).alias("share"), alpha.alias("alpha"), beta.alias("beta")).where("alpha + beta <= 0.999")
+        step /= 2
+    return best.select(*keys, "omega", "alpha", "beta", "loglik")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.series import DAY, Order
+from ..functions.series import DAY, Order, diff
 from ..operators import bars, dependence, encode, kraus, labels, neighbours, ngrams, orderflow, volatility
 from ..sources import lob
 from . import daily
@@ -966,6 +966,66 @@ def tsrv_offsets(spark, d):
     return out(volatility.two_scale_offsets(event(spark, d), "log_mid", 5), ["instrument_id", "trade_date"], "tsrv", digits=12)
 
 
+_RETURNS = f"""{MID}, f AS (SELECT {_BY}, CAST(floor(epoch_us(ts_event) / 10000e0) AS BIGINT) AS i, avg(mid_price) AS v FROM ev GROUP BY ALL),
+f1 AS (SELECT *, coalesce(lead(i) OVER ({PART} ORDER BY i), i + 1) AS nx FROM f),
+f2 AS (SELECT {_BY}, i, nx, v, unnest(generate_series(CAST(floor(i / 6000e0) AS BIGINT), CAST(floor((nx - 1) / 6000e0) AS BIGINT))) AS b FROM f1),
+g AS (SELECT {_BY}, b, sum(v * (least(nx, (b + 1) * 6000) - greatest(i, b * 6000))) / sum(least(nx, (b + 1) * 6000) - greatest(i, b * 6000)) AS mean, arg_max(v, i) AS last FROM f2 GROUP BY ALL)"""
+
+
+@register(
+    f"""{_RETURNS}, r AS (SELECT {_BY}, b * 60000000 AS start_us, mean - lag(mean) OVER ({PART} ORDER BY b) AS ret FROM g) SELECT {_BY}, start_us, round(ret, 9) + 0e0 AS ret FROM r WHERE ret IS NOT NULL"""
+)
+def mean_returns(spark, d):
+    r = volatility.mean_returns(event(spark, d), "mid_price", 60)
+    return out(r.withColumns({"start_us": F.unix_micros("bucket_start"), "ret": F.round("ret", 9) + F.lit(0.0)}), ["instrument_id", "trade_date", "start_us"], "ret")
+
+
+@register(
+    f"""{_RETURNS}, r AS (SELECT {_BY}, b * 60000000 AS start_us, last - coalesce(lag(last) OVER ({PART} ORDER BY b), first_value(v0) OVER ({PART} ORDER BY b)) AS ret
+  FROM g JOIN (SELECT {_BY}, arg_min(v, i) AS v0 FROM f GROUP BY ALL) USING ({_BY})) SELECT {_BY}, start_us, round(ret, 9) + 0e0 AS ret FROM r"""
+)
+def summed_returns(spark, d):
+    r = volatility.summed_returns(event(spark, d), "mid_price", 60)
+    return out(r.withColumns({"start_us": F.unix_micros("bucket_start"), "ret": F.round("ret", 9) + F.lit(0.0)}), ["instrument_id", "trade_date", "start_us"], "ret")
+
+
+#: Every set of parameters for the queries below: share of the variance, alpha, beta.
+_SETS = [(1.0, 0.05, 0.9), (0.8, 0.1, 0.7), (1.2, 0.3, 0.4), (1.0, 0.0, 0.5)]
+# The recursion row by row; returns are changes of the log mid price from bar to bar.
+_VARIANCE = f"""WITH RECURSIVE {MID.removeprefix('WITH ')}, p0 AS (SELECT *, row_number() OVER ({ROWS}) - 1 AS event_idx FROM ev),
+b AS (SELECT {_BY}, event_idx // {BLOCK} AS sample_idx, log_mid FROM p0 WHERE event_idx % {BLOCK} = {BLOCK - 1}),
+r AS (SELECT {_BY}, sample_idx, log_mid - lag(log_mid) OVER ({NEXT}) AS ret FROM b),
+e AS (SELECT *, ret - avg(ret) OVER ({PART}) AS e, row_number() OVER ({NEXT}) - 1 AS i FROM r WHERE ret IS NOT NULL),
+s AS MATERIALIZED (SELECT *, sum(CASE WHEN i < 75 THEN pow(0.94e0, i) * e * e END) OVER ({PART}) / sum(CASE WHEN i < 75 THEN pow(0.94e0, i) END) OVER ({PART}) AS v0, avg(e * e) OVER ({PART}) AS v FROM e),
+q AS (SELECT * FROM (VALUES {', '.join(f'({n}, {a!r}e0, {b!r}e0, {c!r}e0)' for n, (a, b, c) in enumerate(_SETS))}) t(set_no, share, alpha, beta)),
+k AS (SELECT {_BY}, sample_idx, i, e, set_no, alpha, beta, share * (1 - alpha - beta) * v AS omega, share * (1 - alpha - beta) * v + (alpha + beta) * v0 AS variance FROM s, q WHERE i = 0
+  UNION ALL SELECT s.instrument_id, s.trade_date, s.sample_idx, s.i, s.e, k.set_no, k.alpha, k.beta, k.omega, k.omega + k.alpha * k.e * k.e + k.beta * k.variance
+  FROM k JOIN s ON s.instrument_id = k.instrument_id AND s.trade_date = k.trade_date AND s.i = k.i + 1)"""
+
+
+def _bar_returns(spark, d) -> DataFrame:
+    return bar(spark, d).select(*BAR, diff("log_mid", bars.BARS).alias("ret"))
+
+
+@register(f"{_VARIANCE.replace('share * (1 - alpha - beta) * v', 'share')} SELECT {_BY}, sample_idx, round(sqrt(variance), 9) AS volatility FROM k WHERE set_no = 0".replace("(0, 1.0e0,", "(0, 1e-9,"))
+def conditional_volatility(spark, d):
+    r = volatility.conditional_variance(_bar_returns(spark, d), "ret", 1e-9, _SETS[0][1], _SETS[0][2], bars.BARS)
+    return out(r.withColumn("volatility", F.sqrt("variance")), BAR, "volatility")
+
+
+@register(
+    f"""{_VARIANCE}, l AS (SELECT {_BY}, set_no, max(omega) AS omega, sum(-0.5 * (ln(2 * pi()) + ln(variance) + e * e / variance)) AS loglik FROM k GROUP BY ALL)
+SELECT {_BY}, set_no, round(loglik, 6) AS loglik FROM l"""
+)
+def conditional_likelihoods(spark, d):
+    """Every parameter set's likelihood for each instrument and day, in one aggregate."""
+    sets = F.explode(F.array(*(F.struct(F.lit(n).alias("set"), F.lit(a).alias("share"), F.lit(b).alias("alpha"), F.lit(c).alias("beta")) for n, (a, b, c) in enumerate(_SETS))))
+    r = _bar_returns(spark, d)
+    every = r.select("instrument_id", "trade_date").distinct().withColumn("p", sets).select("instrument_id", "trade_date", "p.*")
+    told = volatility.likelihoods(r, "ret", every, bars.BARS)
+    return told.select("instrument_id", "trade_date", F.col("set").alias("set_no"), F.round("loglik", 6).alias("loglik"))
+
+
 # --- sequence model, whole plan -----------------------------------------------------------------------------------
 
 
