@@ -129,34 +129,77 @@ def transfer_entropy(df: DataFrame, source: str, target: str, lags: list[int], o
     return _conditional(rows.where("a is not null and b is not null and c is not null"), keys)
 
 
+def _observed(df: DataFrame, source: str, target: str, lags: list[int], history: int, past: int, missing: int | None, order: Order) -> tuple[DataFrame, DataFrame]:
+    """Counts (keys, lag, y, h, x, cnt) of complete rows, h the context: the target's last ``history`` values and the ``past``
+    source values before the lagged one; and (keys, kx, ky, rows), alphabets being 0..max of the symbols seen."""
+    keys = list(order.keys)
+    seen = lambda c: F.col(c) if missing is None else F.when(F.col(c) != missing, F.col(c))
+    sizes = df.groupBy(*keys).agg(*((F.max(seen(c)) + 1).cast("int").alias(n) for c, n in ((source, "kx"), (target, "ky"))), F.count("*").alias("rows"))
+    at = lambda c, k: F.lag(seen(c), k).over(order.rows())
+    before = [at(target, j).alias(f"_h{j}") for j in range(1, history + 1)]
+    back = {k: at(source, k).alias(f"_x{k}") for k in sorted({k + j for k in lags for j in range(past + 1)})}
+    base = df.select(*keys, seen(target).alias("y"), *before, *back.values())
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x"), F.array(*(F.col(f"_x{k + j}") for j in range(1, past + 1))).cast("array<int>").alias("p")) for k in lags)))
+    context = F.concat(F.array(*(F.col(f"_h{j}") for j in range(1, history + 1))).cast("array<int>"), F.col("_r.p"))
+    rows = base.withColumn("_r", each).select(*keys, "_r.lag", "y", context.alias("h"), "_r.x")
+    full = F.col("x").isNotNull() & F.col("y").isNotNull() & F.forall("h", lambda v: v.isNotNull())
+    cells = rows.where(full).where((F.col("x") >= 0) & (F.col("y") >= 0)).groupBy(*keys, "lag", "y", "h", "x").agg(F.count("*").alias("cnt"))
+    return cells, sizes
+
+
 def counterfactual_entropy(df: DataFrame, source: str, target: str, lags: list[int], history: int = 1, missing: int = -1, alpha: float = 1.0, order: Order = BARS) -> DataFrame:
     """Smoothed transfer entropy source(t - k) to target(t) given the target's last ``history`` values.
 
     Each table of counts gets ``alpha`` added to every cell on its own, so the conditionals don't sum to one; that is the
-    definition followed here. Null below 10 rows or 50 complete ones. Alphabets are 0..max of the symbols seen.
+    definition followed here. Null below 10 rows or 50 complete ones. Alphabets are 0..max of the symbols seen. Of the
+    ky ** (history + 1) * kx cells only those that occur are ever rows: what all others add is a sum over margins, of
+    which in turn only those that occur differ from ``alpha``.
     """
-    keys = list(order.keys)
-    sizes = df.groupBy(*keys).agg(
-        *((F.max(F.when(F.col(c) != missing, F.col(c))) + 1).cast("int").alias(n) for c, n in ((source, "kx"), (target, "ky"))), F.count("*").alias("rows")
-    )
-    at = lambda c, k: F.lag(c, k).over(order.rows())
-    base = df.select(*keys, F.col(target).alias("y"), *(at(target, j).alias(f"_h{j}") for j in range(1, history + 1)), *(at(source, k).alias(f"_x{k}") for k in lags))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x")) for k in lags)))
-    base = base.withColumn("_r", each).select(*keys, "y", *(f"_h{j}" for j in range(1, history + 1)), "_r.lag", "_r.x").join(sizes, keys)
-    full = F.lit(True)
-    for c in ("x", "y", *(f"_h{j}" for j in range(1, history + 1))):
-        full = full & F.col(c).isNotNull() & (F.col(c) != missing)
-    h = sum((F.col(f"_h{j}") * F.pow("ky", F.lit(j - 1)).cast("int") for j in range(1, history + 1)), F.lit(0))
-    seen = base.where(full).withColumn("h", h).groupBy(*keys, "lag", "y", "h", "x").agg(F.count("*").alias("cnt"))
-    grid = sizes.withColumn("lag", F.explode(F.array(*(F.lit(k) for k in lags))))
-    for c, n in (("y", F.col("ky")), ("h", F.pow("ky", F.lit(history)).cast("int")), ("x", F.col("kx"))):
-        grid = grid.withColumn(c, F.explode(F.sequence(F.lit(0), n - 1)))
-    g = grid.join(seen, [*keys, "lag", "y", "h", "x"], "left").fillna(0, subset=["cnt"])
-    by = lambda *c: F.sum("cnt").over(Window.partitionBy(*keys, "lag", *c)) + alpha
-    g = g.select("*", by("h", "x").alias("hx"), by("y", "h").alias("yh"), by("h").alias("hh"), (F.col("cnt") + alpha).alias("yhx"))
-    ratio = F.col("yhx") / F.col("hx") / (F.col("yh") / F.col("hh"))
-    enough = (F.max("rows") - F.greatest(F.col("lag"), F.lit(history)) >= 10) & (F.sum("cnt") >= 50)
-    return g.groupBy(*keys, "lag").agg(F.when(enough, F.sum(F.col("yhx") * F.log2(ratio)) / F.sum("yhx")).alias("value"))
+    if history < 1 or alpha <= 0:
+        raise ValueError("the history must be 1 or more and alpha above 0")
+    keys = [*order.keys, "lag"]
+    cells, sizes = _observed(df, source, target, lags, history, 0, missing, order)
+    by = lambda *c: F.sum("cnt").over(Window.partitionBy(*keys, *c)) + alpha
+    g = cells.select(*keys, "y", "h", "x", "cnt", by("h", "x").alias("hx"), by("y", "h").alias("yh"), by("h").alias("hh"))
+    one = lambda c: F.log2((c + alpha) * F.col("hh") / (F.col("hx") * F.col("yh")))
+    own = (F.col("cnt") + alpha) * one(F.col("cnt")) - alpha * one(F.lit(0))  # beyond what it would add unseen
+    first = lambda *c: F.row_number().over(Window.partitionBy(*keys, *c).orderBy("y", "x")) == 1
+    g = g.withColumns({"_own": own, "_fhx": first("h", "x"), "_fyh": first("y", "h"), "_fh": first("h")})
+    margin = lambda f, c: (F.sum(F.when(F.col(f), F.log2(c))), F.count_if(F.col(f)))
+    (s_hx, n_hx), (s_yh, n_yh), (s_h, n_h) = margin("_fhx", "hx"), margin("_fyh", "yh"), margin("_fh", "hh")
+    named = [c.alias(n) for c, n in ((s_hx, "s_hx"), (n_hx, "n_hx"), (s_yh, "s_yh"), (n_yh, "n_yh"), (s_h, "s_h"), (n_h, "n_h"))]
+    told = g.groupBy(*keys).agg(F.sum("_own").alias("own"), F.sum("cnt").alias("n"), *named)
+    every = sizes.withColumn("lag", F.explode(F.array(*(F.lit(k) for k in lags)))).join(told, keys, "left")
+    kx, ky, kh, low = F.col("kx"), F.col("ky"), F.pow("ky", F.lit(history)), F.lit(math.log2(alpha))
+    whole = lambda s, n, size: F.col(s) + (size - F.col(n)) * low
+    unseen = kx * ky * kh * low + kx * ky * whole("s_h", "n_h", kh) - ky * whole("s_hx", "n_hx", kh * kx) - kx * whole("s_yh", "n_yh", kh * ky)
+    value = (F.col("own") + alpha * unseen) / (F.col("n") + alpha * kx * ky * kh)
+    enough = (F.col("rows") - F.greatest(F.col("lag"), F.lit(history)) >= 10) & (F.col("n") >= 50)
+    return every.select(*keys, F.when(enough, value).alias("value"))
+
+
+def dirichlet_entropy(
+    df: DataFrame, source: str, target: str, lags: list[int], history: int = 1, past: int = 0, alpha: float = 0.5, beta: float = 0.5, missing: int | None = None, order: Order = BARS
+) -> DataFrame:
+    """Transfer entropy against a counterfactual: log p(y | c, x) over the sum over x of p(y | c, x) p(x | c), averaged over what occurs.
+
+    x is the source ``lag`` rows before; the context c is the target's last ``history`` values and the ``past`` source values before x.
+    p(y | c, x) is smoothed by ``alpha``, p(x | c) by ``beta``, over alphabets 0..max. The x and y that a context never has enter
+    by how many they are. Null without complete rows.
+    """
+    keys = [*order.keys, "lag"]
+    cells, sizes = _observed(df, source, target, lags, history, past, missing, order)
+    by = lambda *c: Window.partitionBy(*keys, *c)
+    g = cells.join(sizes, list(order.keys)).withColumns({"_cx": F.sum("cnt").over(by("h", "x")), "_c": F.sum("cnt").over(by("h")), "_n": F.sum("cnt").over(by())})
+    g = g.withColumn("_first", F.row_number().over(by("h", "x").orderBy("y")) == 1)
+    px, row = (F.col("_cx") + beta) / (F.col("_c") + beta * F.col("kx")), F.col("_cx") + alpha * F.col("ky")
+    once = F.sum(F.when(F.col("_first"), px * alpha / row)).over(by("h"))  # every seen x, as if y had not come with it
+    other = (F.col("kx") - F.count_if("_first").over(by("h"))) * beta / (F.col("_c") + beta * F.col("kx")) / F.col("ky")
+    g = g.withColumns({"_cf": once + other + F.sum(px * F.col("cnt") / row).over(by("h", "y")), "_p": (F.col("cnt") + alpha) / row})
+    te = F.sum(F.col("cnt") / F.col("_n") * F.log2(F.col("_p") / F.col("_cf")))
+    told = g.groupBy(*keys).agg(te.alias("value"))
+    every = sizes.withColumn("lag", F.explode(F.array(*(F.lit(k) for k in lags)))).select(*keys)
+    return every.join(told, keys, "left")
 
 
 def histogram_transfer_entropy(

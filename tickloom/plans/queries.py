@@ -885,6 +885,47 @@ def te_histogram_smoothed(spark, d):
     return _te(spark, d, sigma=0.8)
 
 
+_SYMBOLS = f"{_PAIR}, ab AS (SELECT {_BY}, sample_idx, sym % 4 AS y, sym // 4 AS x FROM bs)"
+_LONG = "PARTITION BY instrument_id ORDER BY trade_date, sample_idx"
+
+
+def _dense_history_sql(history: int, lags: list[int]) -> str:
+    """Every cell of the smoothed tables."""
+    h = " + ".join(f"lag(y, {j}) OVER ({_LONG}) * CAST(pow(ky, {j - 1}) AS INT)" for j in range(1, history + 1))
+    return f"""{_SYMBOLS}, sz AS (SELECT instrument_id, max(x) + 1 AS kx, max(y) + 1 AS ky FROM ab GROUP BY ALL),
+l AS ({' UNION ALL '.join(f'SELECT instrument_id, {k} AS lag, y, {h} AS h, lag(x, {k}) OVER ({_LONG}) AS x FROM ab JOIN sz USING (instrument_id)' for k in lags)}),
+jc AS (SELECT instrument_id, lag, y, h, x, count(*) AS cnt FROM l WHERE h IS NOT NULL AND x IS NOT NULL GROUP BY ALL),
+gr AS (SELECT instrument_id, lag.lag, y.range AS y, h.range AS h, x.range AS x FROM sz, (SELECT DISTINCT lag FROM jc) lag, range(16) y, range({16**history}) h, range(16) x WHERE y.range < ky AND h.range < pow(ky, {history}) AND x.range < kx),
+g AS (SELECT gr.*, coalesce(cnt, 0) AS cnt FROM gr LEFT JOIN jc USING (instrument_id, lag, y, h, x)),
+cm AS (SELECT *, sum(cnt) OVER (PARTITION BY instrument_id, lag, h, x) + 1 AS hx, sum(cnt) OVER (PARTITION BY instrument_id, lag, y, h) + 1 AS yh, sum(cnt) OVER (PARTITION BY instrument_id, lag, h) + 1 AS hh FROM g)
+SELECT instrument_id, lag, round(sum((cnt + 1) * log2((cnt + 1) / hx / (yh / hh))) / sum(cnt + 1), 6) AS value FROM cm GROUP BY ALL"""
+
+
+_BY_INSTRUMENT = Order(("instrument_id",), ("trade_date", "sample_idx"))
+
+
+@register(_dense_history_sql(3, [1, 2, 5]))
+def te_counterfactual_history(spark, d):
+    r = dependence.counterfactual_entropy(_two(spark, d), "i", "a", [1, 2, 5], history=3, order=_BY_INSTRUMENT)
+    return r.withColumn("value", F.round("value", 6))
+
+
+@register(
+    f"""{_SYMBOLS}, sz AS (SELECT instrument_id, max(x) + 1 AS kx, max(y) + 1 AS ky FROM ab GROUP BY ALL),
+l AS ({' UNION ALL '.join(f"SELECT instrument_id, {k} AS lag, y, lag(y, 1) OVER ({_LONG}) || ',' || lag(y, 2) OVER ({_LONG}) || ',' || lag(x, {k + 1}) OVER ({_LONG}) AS c, lag(x, {k}) OVER ({_LONG}) AS x FROM ab" for k in (1, 4))}),
+jc AS (SELECT instrument_id, lag, c, x, y, count(*) AS m FROM l WHERE c IS NOT NULL AND x IS NOT NULL GROUP BY ALL),
+gr AS (SELECT t.instrument_id, lag, c, x.range AS x, y.range AS y, kx, ky FROM (SELECT DISTINCT instrument_id, lag, c FROM jc) t JOIN sz ON t.instrument_id = sz.instrument_id, range(16) x, range(16) y WHERE x.range < kx AND y.range < ky),
+g AS (SELECT gr.*, coalesce(m, 0) AS m FROM gr LEFT JOIN jc USING (instrument_id, lag, c, x, y)),
+pc AS (SELECT *, (m + 0.5) / (sum(m) OVER (PARTITION BY instrument_id, lag, c, x) + 0.5 * ky) AS py,
+  (sum(m) OVER (PARTITION BY instrument_id, lag, c, x) + 0.5) / (sum(m) OVER (PARTITION BY instrument_id, lag, c) + 0.5 * kx) AS px, sum(m) OVER (PARTITION BY instrument_id, lag) AS n FROM g),
+cf AS (SELECT *, sum(px * py) OVER (PARTITION BY instrument_id, lag, c, y) AS f FROM pc)
+SELECT instrument_id, lag, round(sum(m / n * log2(py / f)), 6) AS value FROM cf WHERE m > 0 GROUP BY ALL"""
+)
+def te_dirichlet(spark, d):
+    r = dependence.dirichlet_entropy(_two(spark, d), "i", "a", [1, 4], history=2, past=1, order=_BY_INSTRUMENT)
+    return r.withColumn("value", F.round("value", 6))
+
+
 _STEPS, _BACK = 3, 20
 
 
