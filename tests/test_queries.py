@@ -17,4 +17,4 @@ def test_runs(name, spark, sf):
 
 def test_period_pipeline_has_all_lengths_predictors_and_classes(spark, sf):
     rows = QUERIES["period_pipeline"](spark, sf).groupBy("predictor", "kind", "length").count().collect()
-    assert len({(r.predictor, r.kind, r.length) for r in rows}) == 8 * 2 * 6
+    assert len({(r.predictor, r.kind, r.length) for r in rows}) == 8 * 4 * 6

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.series import DAY, Order
+from ..functions.tables import written
 from ..operators import bars, encode, labels, ngrams, orderflow
 
 
@@ -50,10 +51,21 @@ def featured_bars(events: DataFrame, s: Settings = Settings(), order: Order = DA
     return bars.book_features(bars.targets(bars.event_bars(df, s.frequency, order=order), s.ks, order=on), on)
 
 
+def symbols(df: DataFrame, features: list[str], s: Settings = Settings(), order: Order = bars.BARS) -> DataFrame:
+    """keys, order, feature, symbol: every feature of the bars encoded as a series of its own, so the plan has one recursion whatever
+    their number, and a task holds one feature of one series."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in dict.fromkeys(features))))
+    long = df.select(*order.keys, *order.by, each.alias("_e")).select(*order.keys, *order.by, "_e.feature", "_e.x")
+    own = Order((*order.keys, "feature"), order.by)
+    coded = encode.encode(long, "x", s.symbols, s.alpha, mode=s.mode, fill="bfill", order=own, decimals=s.decimals)
+    return coded.select(*order.keys, *order.by, "feature", F.col("x_sym").alias("symbol"))
+
+
 def encoded(df: DataFrame, predicted: str, predictors: list[str], s: Settings = Settings(), order: Order = bars.BARS) -> DataFrame:
-    """Symbols of all features together, and the combined symbol ``sym_<predictor>`` of each pair."""
-    features = list(dict.fromkeys([predicted, *predictors]))
-    df = encode.encode_all(df, features, s.symbols, s.alpha, mode=s.mode, fill="bfill", order=order, decimals=s.decimals)
+    """Symbols of all features beside the bars' columns, and the combined symbol ``sym_<predictor>`` of each pair."""
+    features, on = list(dict.fromkeys([predicted, *predictors])), [*order.keys, *order.by]
+    wide = symbols(df, features, s, order).groupBy(*on).agg(*(F.max(F.when(F.col("feature") == f, F.col("symbol"))).alias(f"{f}_sym") for f in features))
+    df = df.join(wide, on)
     return df.withColumns({f"sym_{p}": encode.combine(f"{predicted}_sym", f"{p}_sym", s.symbols) for p in predictors})
 
 
@@ -65,29 +77,32 @@ def distributions(df: DataFrame, predictor: str, s: Settings = Settings(), order
 
 
 def period_distributions(events: DataFrame, predicted: str, predictor: str, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Both distributions folded over all days, by instrument.
+    """Both distributions of one predictor folded over all days, by instrument."""
+    return tuple(x.drop("predictor") for x in period_plan(events, predicted, [predictor], s))
+
 
-    Only the columns that symbols and labels need leave the bars, so the features behind all others are never computed.
+def day_symbols(events: DataFrame, predicted: str, predictors: list[str], s: Settings = Settings()) -> DataFrame:
+    """keys, order, class, predictor, symbol: the combined symbol of the predicted feature and each predictor for every bar.
+
+    Only the columns that symbols and labels need leave the bars, so the features behind all others are never computed. Bars
+    and symbols are written to the shared folder once, for all that reads them.
     """
-    k = s.label.lstrip("ca")
+    k, order = s.label.lstrip("ca"), bars.BARS
     needed = [f"log_mid_sum_fwd_{k}", f"log_mid_sum_bwd_{k}"] if s.label.startswith("ca") else [f"log_mid_return_fwd_{k}"]
-    features = dict.fromkeys([predicted, predictor, *needed])
-    coded = encoded(featured_bars(events, s).select(*bars.BARS.keys, *bars.BARS.by, *features), predicted, [predictor], s)
-    seq, cls = distributions(coded, predictor, s)
-    return ngrams.fold(seq, ["instrument_id"], s.longest), ngrams.fold_classes(cls, ["instrument_id"], s.longest)
+    features, on = list(dict.fromkeys([predicted, *predictors])), [*order.keys, *order.by]
+    made = written(featured_bars(events, s).select(*on, *dict.fromkeys([*features, *needed])), "bars")
+    coded = symbols(made, features, s, order)
+    first = F.max(F.when(F.col("feature") == predicted, F.col("symbol"))).over(Window.partitionBy(*on))
+    both = coded.withColumn("_p", first).where(F.col("feature").isin(*predictors))
+    both = both.select(*on, F.col("feature").alias("predictor"), encode.combine("_p", "symbol", s.symbols).alias("symbol"))
+    return written(both.join(labels.class_label(made, s.label, order=order).select(*on, "class"), on), "symbols")
 
 
 def period_plan(events: DataFrame, predicted: str, predictors: list[str], s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """:func:`period_distributions` of many predictors, with a column ``predictor``; features and symbols are made once for all."""
-    k = s.label.lstrip("ca")
-    needed = [f"log_mid_sum_fwd_{k}", f"log_mid_sum_bwd_{k}"] if s.label.startswith("ca") else [f"log_mid_return_fwd_{k}"]
-    features = dict.fromkeys([predicted, *predictors, *needed])
-    coded = encoded(featured_bars(events, s).select(*bars.BARS.keys, *bars.BARS.by, *features), predicted, predictors, s)
-    each = F.explode(F.array(*(F.struct(F.lit(p).alias("predictor"), F.col(f"sym_{p}").alias("symbol")) for p in predictors)))
-    long = labels.class_label(coded, s.label).select(*bars.BARS.keys, *bars.BARS.by, "class", each.alias("one"))
-    long = long.select(*bars.BARS.keys, *bars.BARS.by, "class", "one.*")
+    """Sequence and class distributions of many predictors folded over all days, by instrument and ``predictor``."""
+    coded = day_symbols(events, predicted, predictors, s)
     order, by = Order((*bars.BARS.keys, "predictor"), bars.BARS.by), ["instrument_id", "predictor"]
-    seq, cls = ngrams.counts(long, "symbol", s.longest, order), ngrams.class_counts(long, "symbol", "class", s.longest, order)
+    seq, cls = ngrams.counts(coded, "symbol", s.longest, order), ngrams.class_counts(coded, "symbol", "class", s.longest, order)
     return ngrams.fold(seq, by, s.longest), ngrams.fold_classes(cls, by, s.longest)
 
 

@@ -1095,15 +1095,46 @@ def kraus_loss(spark, d):
     return result
 
 
-_PREDICTORS = ["tvi_n", "obi_L1", "ofi_L1_n_norm", "ofi_L3_norm_n", "ofi_L10_norm_n", "ofi_L1_n", "ofi_L1_norm_n", "micro_price"]
 
 
-@register()
+_PATH = {"tvi_n": "tvi_n", "obi_L1": "obi_l1", "ofi_L1_n_norm": "o1_norm", "ofi_L3_norm_n": "o3_n", "ofi_L10_norm_n": "o10_n", "ofi_L1_n": "o1_sum", "ofi_L1_norm_n": "o1_n", "micro_price": "micro"}
+
+
+def _path_sql(block: int, longest: int) -> str:
+    """The active path from events to folded distributions, each step from its definition; falling level weights exp(-k / 3)."""
+    weight = {n: [f"(exp(-{k}e0 / 3) / ({' + '.join(f'exp(-{j}e0 / 3)' for j in range(n))}))" for k in range(n)] for n in (1, 3, 10)}
+    flow = {n: " + ".join(f"{w} * coalesce({flow_sql(k)}, 0e0)" for k, w in enumerate(weight[n])) for n in weight}
+    depth = {n: "greatest(" + " + ".join(f"{w} * (bid_sz_{k:02d} + ask_sz_{k:02d})" for k, w in enumerate(weight[n])) + ", 1e-12)" for n in weight}
+    by, feature = f"{_BY}, feature", f"{PART}, feature"
+    ewma, grow = _EWMA.replace(PART, feature), _GROW.replace(PART, feature)
+    next_ = f"PARTITION BY {_BY}, predictor ORDER BY sample_idx"
+    grams = " UNION ALL ".join(
+        f"SELECT instrument_id, predictor, {n} AS length, {' || chr(44) || '.join(f'CAST(lag(sym, {k}) OVER ({next_}) AS VARCHAR)' for k in reversed(range(n)))} AS seq, cls, row_number() OVER ({next_}) AS place FROM cb" for n in range(1, longest + 1)
+    )
+    share = "sum(count(*)) OVER (PARTITION BY instrument_id, predictor, length)"
+    return f"""{SIGN}, a0 AS (SELECT *, {', '.join(f'{flow[n]} AS o{n}, {depth[n]} AS d{n}' for n in weight)}, bid_sz_00 + ask_sz_00 AS dep, ln((bid_px_00 + ask_px_00) / 2) AS log_mid, row_number() OVER ({ROWS}) - 1 AS event_idx FROM tr),
+a1 AS (SELECT *, {', '.join(f"{trailing(f'o{n}', 10)} / greatest({trailing(f'd{n}', 10)}, 1e-12) AS o{n}_n" for n in weight)}, {trailing('o1', 10)} AS o1_sum,
+  avg(dep) OVER ({ROWS} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS dep_mean, {trailing('trade_buy_vol_event', 10, 10)} AS tb, {trailing('trade_sell_vol_event', 10, 10)} AS ts FROM a0),
+a2 AS (SELECT {_BY}, event_idx // {block} AS sample_idx, log_mid, coalesce((tb - ts) / nullif(tb + ts, 0), 0) AS tvi_n, (bid_sz_00 - ask_sz_00) / (bid_sz_00 + ask_sz_00) AS obi_l1,
+  coalesce(o1_sum / nullif(dep_mean, 0), 0) AS o1_norm, o1_n, o3_n, o10_n, o1_sum, bid_sz_00 / (bid_sz_00 + ask_sz_00) * ask_px_00 + (1 - bid_sz_00 / (bid_sz_00 + ask_sz_00)) * bid_px_00 AS micro
+  FROM a1 WHERE event_idx % {block} = {block - 1}),
+src AS ({' UNION ALL '.join(f"SELECT {_BY}, sample_idx, '{name}' AS feature, {c} AS x FROM a2" for name, c in {'log_mid': 'log_mid', **_PATH}.items())}), {ewma}, {grow},
+lc AS (SELECT {_BY}, sample_idx, CASE WHEN f > 4.15e-5 THEN 1 WHEN f < -4.15e-5 THEN -1 ELSE 0 END AS cls FROM (SELECT {_BY}, sample_idx, lead(log_mid) OVER ({NEXT}) - log_mid AS f FROM a2)),
+cb AS MATERIALIZED (SELECT {_BY}, sample_idx, q.feature AS predictor, p.sym + 4 * q.sym AS sym, cls FROM sy p JOIN sy q USING ({_BY}, sample_idx) JOIN lc USING ({_BY}, sample_idx) WHERE p.feature = 'log_mid' AND q.feature <> 'log_mid'),
+gm AS (SELECT * FROM ({grams}) WHERE place >= length),
+fo AS (SELECT instrument_id, predictor, length, seq, count(*) AS cnt, CAST({share} AS BIGINT) AS whole, count(*) / {share} AS prob,
+  count(*) FILTER (cls = 0) AS n0, count(*) FILTER (cls = 1) AS n1, count(*) FILTER (cls = -1) AS n2 FROM gm GROUP BY instrument_id, predictor, length, seq)
+SELECT instrument_id, predictor, length, seq, cnt, whole AS total, round(prob, 9) AS prob, 'sequence' AS kind FROM fo
+{" ".join(f"UNION ALL SELECT instrument_id, predictor, length, seq, n{i}, cnt, round(n{i} / cnt, 9), 'class {c}' FROM fo" for i, c in enumerate(ngrams.CLASSES))}"""
+
+
+@register(_path_sql(10, 6))
 def period_pipeline(spark, d):
     """The whole active path, growing bins included, of all predictors, folded over all days by instrument: rows of kind
-    sequence (cnt, total, prob) and class (n0 to p2, total)."""
+    sequence, and of each class how often a sequence's last row has it, of how many, and that share."""
     s = daily.Settings(frequency=10, regular_hours=False, vpin_volume=1000, vpin_buckets=3, decimals=9)
-    seq, cls = daily.period_plan(view(spark, d), "log_mid", _PREDICTORS, s)
+    seq, cls = daily.period_plan(view(spark, d), "log_mid", list(_PATH), s)
     by = ("instrument_id", "predictor")
-    seq, cls = _seq(seq, "cnt", "total", "prob", by=by), _seq(cls, *_slots(), "total", by=by)
-    return seq.withColumn("kind", F.lit("sequence")).unionByName(cls.withColumn("kind", F.lit("class")), allowMissingColumns=True)
+    one = F.explode(F.array(*(F.struct(F.get("class_counts", F.lit(i)).alias("cnt"), F.get("class_probs", F.lit(i)).alias("prob"), F.lit(f"class {c}").alias("kind")) for i, c in enumerate(ngrams.CLASSES))))
+    cls = cls.withColumn("one", one).select(*by, "length", "seq", "one.cnt", "total", "one.prob", "one.kind")
+    return _seq(seq.withColumn("kind", F.lit("sequence")).select(*cls.columns).unionByName(cls), "cnt", "total", F.round("prob", 9).alias("prob"), "kind", by=by)
