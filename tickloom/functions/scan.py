@@ -55,18 +55,23 @@ def block_of(df: DataFrame, order: Order, size: int) -> Column:
     return F.floor((F.row_number().over(order.rows()) - 1) / size)
 
 
-def ewm(df: DataFrame, means: dict[str, Ewm], order: Order) -> DataFrame:
+def ewm(df: DataFrame, means: dict[str, Ewm], order: Order, keep: bool = False) -> DataFrame:
     """Adds each mean as ``name``, null while it has fewer than ``min_periods`` values, and ``name_a``, what the row's new mean
     keeps of the one before (null at missing values and at a series' first), and ``name_n``, the values so far. With ``debias`` also
     ``name_w2``, with ``previous`` also ``name_prev``.
 
-    NaN and infinite values count as missing. All means share one local pass, one fold and one join.
+    NaN and infinite values count as missing. All means share one local pass, one fold and one join, dealt by one key, so rows move
+    once. ``keep`` leaves that key (``_series``) and the place in its block (``_at``) for a next call, whose rows then don't move.
     """
     keys, size = list(order.keys), min(block_size(m.alpha) for m in means.values())
-    within = Order((*keys, "_block"), order.by)
+    within = Order(("_series",), order.by)
     upto, before = within.rows().rowsBetween(Window.unboundedPreceding, 0), within.rows().rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_block", block_of(df, order, size)).withColumn("_at", F.row_number().over(within.rows()))
-    df = df.withColumns({f"_x_{n}": finite(m.column) for n, m in means.items()})
+    values = {f"_x_{n}": finite(m.column) for n, m in means.items()}
+    if "_series" in df.columns:
+        df = df.withColumns(values)
+    else:
+        df = df.withColumns({"_series": F.struct(*keys, block_of(df, order, size).alias("_block")), **values})
+        df = df.withColumn("_at", F.row_number().over(within.rows()))
     df = df.withColumns({f"_d_{n}": F.col("_at") - F.last(F.when(F.col(f"_x_{n}").isNotNull(), F.col("_at")), True).over(before) for n in means})
 
     own = lambda m: F.col(m.weight) if m.weight else F.lit(m.alpha)
@@ -94,17 +99,8 @@ def ewm(df: DataFrame, means: dict[str, Ewm], order: Order) -> DataFrame:
         ]
         if means[n].debias:
             facts.append(last(f"_q_{n}").alias(f"q_{n}"))
-    blocks = df.groupBy(*keys, "_block").agg(F.max("_at").alias("rows"), *facts)
-    carried = _folded(blocks, means, keys)
-
-    known, joined = [F.col(k) for k in keys], carried
-    for k in keys:
-        joined = joined.withColumnRenamed(k, f"_of_{k}")
-    joined = joined.withColumnRenamed("_block", "_of_block")
-    same = F.col("_block") == F.col("_of_block")
-    for k, c in zip(keys, known, strict=True):
-        same = same & c.eqNullSafe(F.col(f"_of_{k}"))
-    df = df.join(joined, same, "left")
+    blocks = df.groupBy("_series").agg(F.max("_at").alias("rows"), *facts)
+    df = df.join(_folded(blocks, means, keys), "_series", "left")  # nulls within a struct are equal
 
     out = {}
     for n, m in means.items():
@@ -122,18 +118,19 @@ def ewm(df: DataFrame, means: dict[str, Ewm], order: Order) -> DataFrame:
     df = df.withColumns(out)
     first = {n: F.when(F.col(f"_{n}.count") >= max(m.min_periods, 1), F.col(f"_{n}.mean")) for n, m in means.items() if m.previous}
     df = df.withColumns({f"{n}_prev": F.when(F.col("_at") == 1, v).otherwise(F.lag(n).over(within.rows())) for n, v in first.items()})
-    return df.drop("_block", "_at", "_of_block", *(f"_of_{k}" for k in keys), *extra)
+    return df.drop(*extra, *(() if keep else ("_series", "_at")))
 
 
 def _folded(blocks: DataFrame, means: dict[str, Ewm], keys: list[str]) -> DataFrame:
-    """keys, _block and for each mean a struct ``_name``: mean and count before the block, the mean at its first value, what
+    """_series and for each mean a struct ``_name``: mean and count before the block, the mean at its first value, what
     that kept, and the same of squared weights."""
-    entry = F.struct(F.col("_block"), *(F.col(c) for c in blocks.columns if c not in (*keys, "_block")))
-    series = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("b"))
+    entry = F.struct(F.col("_series._block"), F.col("_series"), *(F.col(c) for c in blocks.columns if c != "_series"))
+    series = blocks.groupBy(*(F.col(f"_series.{k}").alias(k) for k in keys)).agg(F.sort_array(F.collect_list(entry)).alias("b"))
     double, long = (lambda: F.lit(None).cast("double")), (lambda: F.lit(0).cast("long"))
     state = lambda mean, count, since, w2: F.struct(mean.alias("mean"), count.alias("count"), since.alias("since"), w2.alias("w2"))
     told = "struct<mean:double,count:bigint,head:double,kept:double,w2:double,head_w2:double>"
-    shape = f"array<struct<block:bigint,{','.join(f'`{n}`:{told}' for n in means)}>>"
+    kind = dict(blocks.dtypes)["_series"]
+    shape = f"array<struct<series:{kind},{','.join(f'`{n}`:{told}' for n in means)}>>"
     zero = F.struct(*(state(double(), long(), long(), double()).alias(n) for n in means), F.array().cast(shape).alias("out"))
 
     def step(acc: Column, b: Column) -> Column:
@@ -149,16 +146,16 @@ def _folded(blocks: DataFrame, means: dict[str, Ewm], keys: list[str]) -> DataFr
             w2 = F.when(some, b[f"p_{n}"] * b[f"p_{n}"] * (head_w2 + b[f"q_{n}"])).otherwise(s["w2"]) if m.debias else double()
             states.append(state(end, s["count"] + b[f"c_{n}"], since, w2).alias(n))
             rows.append(F.struct(s["mean"].alias("mean"), s["count"].alias("count"), head.alias("head"), a.alias("kept"), s["w2"].alias("w2"), head_w2.alias("head_w2")).alias(n))
-        return F.struct(*states, F.concat(acc["out"], F.array(F.struct(b["_block"].alias("block"), *rows))).alias("out"))
+        return F.struct(*states, F.concat(acc["out"], F.array(F.struct(b["_series"].alias("series"), *rows))).alias("out"))
 
-    folded = series.select(*keys, F.explode(F.aggregate("b", zero, step, lambda acc: acc["out"])).alias("o"))
-    return folded.select(*keys, F.col("o.block").alias("_block"), *(F.col(f"o.`{n}`").alias(f"_{n}") for n in means))
+    folded = series.select(F.explode(F.aggregate("b", zero, step, lambda acc: acc["out"])).alias("o"))
+    return folded.select(F.col("o.series").alias("_series"), *(F.col(f"o.`{n}`").alias(f"_{n}") for n in means))
 
 
 def ewm_deviation(df: DataFrame, stats: dict[str, Ewm], order: Order) -> DataFrame:
     """Adds ``name`` (the mean) and ``name_sd`` (the debiased deviation about it) of each column; both null while there are fewer
     than ``min_periods`` values, the deviation also below two."""
-    df = ewm(df, {f"_{n}": Ewm(m.column, m.alpha, 1, True, True) for n, m in stats.items()}, order)
+    df = ewm(df, {f"_{n}": Ewm(m.column, m.alpha, 1, True, True) for n, m in stats.items()}, order, keep=True)
     x = {n: finite(m.column) for n, m in stats.items()}
     # with a the share that the old mean keeps, the variance is the exponential mean of a (x - old mean)^2
     square = {n: F.pow(x[n] - F.col(f"_{n}_prev"), F.lit(2)) for n in stats}

@@ -25,7 +25,7 @@ def _dropped(df: DataFrame, *prefixes: str) -> DataFrame:
 
 def zscore(df: DataFrame, feature: str, alpha: float, order: Order = DAY) -> DataFrame:
     """``{feature}_z``: distance from the exponentially weighted mean in such deviations; rows without one go."""
-    df = ewm(df, {"_zm": Ewm(feature, alpha)}, order).withColumn("_zd", finite(feature) - F.col("_zm"))
+    df = ewm(df, {"_zm": Ewm(feature, alpha)}, order, keep=True).withColumn("_zd", finite(feature) - F.col("_zm"))
     df = ewm(df.withColumn("_zq", F.col("_zd") * F.col("_zd")), {"_zv": Ewm("_zq", alpha)}, order)
     z = finite(F.try_divide(F.col("_zd"), F.sqrt("_zv")))
     return _dropped(df.withColumn(f"{feature}_z", z), "_z").where(F.col(f"{feature}_z").isNotNull())
@@ -36,7 +36,7 @@ def zscores_predictive(df: DataFrame, features: list[str], alpha: float, min_per
 
     All features share two blocked scans: one of means, one of squared distances.
     """
-    df = ewm(df, {f"_zm{i}": Ewm(f, alpha, min_periods, previous=True) for i, f in enumerate(features)}, order)
+    df = ewm(df, {f"_zm{i}": Ewm(f, alpha, min_periods, previous=True) for i, f in enumerate(features)}, order, keep=True)
     df = df.withColumns({f"_zq{i}": F.pow(finite(f) - F.col(f"_zm{i}"), F.lit(2)) for i, f in enumerate(features)})
     df = ewm(df, {f"_zv{i}": Ewm(f"_zq{i}", alpha, min_periods, previous=True) for i in range(len(features))}, order)
     z = {f"{f}_z": (finite(f) - F.col(f"_zm{i}_prev")) / F.greatest(F.sqrt(f"_zv{i}_prev"), F.when(F.col(f"_zv{i}_prev").isNotNull(), F.lit(eps))) for i, f in enumerate(features)}
@@ -112,34 +112,27 @@ def expanding_symbols(df: DataFrame, z: str | dict[str, str], m: int, min_period
     """``_sym`` by quantiles of all earlier values of the series, or for several columns the symbol named in ``z`` of each.
 
     ``decimals`` rounds the edges, which makes ties between an edge and a value the same on every engine. All columns of a series
-    are done together, and only they and the order go to Python; a task holds one series.
+    are done together; a task holds one series, so select what is needed first.
     """
     if m < 2:
         raise ValueError("at least two symbols are needed")
     names = {z: "_sym"} if isinstance(z, str) else z
-    place = F.struct(*order.by)
-    packed = df.select(*order.keys, place.alias("_o"), *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in (*order.keys, "_o")), *(f"`{s}` int" for s in names.values())])
+    df = df.withColumn("_o", F.struct(*order.by))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_o"), *(f"`{s}` int" for s in names.values())])
 
     def run(table):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        by = [pc.struct_field(table["_o"], i) for i in range(len(order.by))]
-        sort = pc.sort_indices(pa.table({f"o{i}": c for i, c in enumerate(by)}), sort_keys=[(f"o{i}", "ascending") for i in range(len(by))])
-        table = table.take(sort)
-        out = {c: table[c] for c in (*order.keys, "_o")}
-        for i, s in enumerate(names.values()):
-            x = [math.nan if v is None else v for v in table[f"_v{i}"].to_pylist()]
-            out[s] = pa.array(_growing(x, m, min_periods, decimals), pa.int32())
-        return pa.table(out)
-
-    found = packed.groupBy(*order.keys).applyInArrow(run, schema)
-    found = found.select(*(F.col(k).alias(f"_of_{k}") for k in order.keys), *(F.col(f"_o.{c}").alias(f"_of_{c}") for c in order.by), *names.values())
-    same = F.lit(True)
-    for c in (*order.keys, *order.by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    return df.join(found, same, "left").drop(*(f"_of_{c}" for c in (*order.keys, *order.by)))
+        place = table.column("_o").combine_chunks()
+        by = pa.table({str(i): pc.struct_field(place, i) for i in range(len(order.by))})
+        table = table.drop_columns("_o").take(pc.sort_indices(by, sort_keys=[(c, "ascending") for c in by.column_names]))
+        for c, s in names.items():
+            x = [math.nan if v is None else float(v) for v in table.column(c).to_pylist()]
+            table = table.append_column(s, pa.array(_growing(x, m, min_periods, decimals), pa.int32()))
+        return table
+
+    return df.groupBy(*order.keys).applyInArrow(run, schema)
 
 
 MODES = ("daily_quantile", "prefix_quantile", "history_quantile", "fixed_uniform", "fixed_normal", "expanding_quantile")
