@@ -137,8 +137,28 @@ def test_null_quotes_fill_forward_and_unquoted_rows_go(spark):
 
 def test_causal_vpin_does_not_look_ahead(spark, sf):
     df = orderflow.trade_signs(lob.book_view(spark, sf)).where("instrument_id = 0")
-    a = orderflow.vpin(df, 500, 2, causal=True).select("sequence", "vpin").toPandas().set_index("sequence").vpin
-    assert a.notna().any() and a.isna().any()
+    a = orderflow.vpin(df, 500, 2, causal=True).select("trade_date", "sequence", "vpin").toPandas().set_index("sequence")
+    middle = int(df.agg(F.percentile("sequence", F.lit(0.5))).first()[0])
+    later = df.withColumns({c: F.when(F.col("sequence") > middle, F.lit(9.0)).otherwise(F.col(c)) for c in ("trade_buy_vol_event", "size")})
+    b = orderflow.vpin(later, 500, 2, causal=True).select("sequence", "vpin").toPandas().set_index("sequence").vpin
+    past = a.index[a.index <= middle]
+    assert a.vpin.notna().any() and a.vpin.isna().any() and len(past) > 100
+    same = (a.vpin[past] == b[past]) | (a.vpin[past].isna() & b[past].isna())
+    assert same.all()
+
+
+@pytest.mark.parametrize(("kind", "frequency", "predictor"), [("seconds", 60, "imbalance"), ("volume", 400, "trade_ofi_n")])
+def test_plan_over_clock_and_volume_bars(spark, sf, kind, frequency, predictor):
+    day = lob.book_view(spark, sf).where("instrument_id = 0").where(F.dayofmonth("trade_date") < 4)
+    s = daily.Settings(frequency=frequency, resampling=kind, regular_hours=False, longest=3)
+    made = daily.featured_bars(day, s).select(*bars.BARS.keys, "sample_idx", "log_mid", predictor, "log_mid_return_fwd_1").cache()
+    seq, cls = daily.period_plan(day, "log_mid", [predictor], s)
+    rows = seq.collect()
+    assert made.count() > 20 and {r.length for r in rows} == {1, 2, 3}
+    per_day = {r.trade_date: r["count"] for r in made.groupBy("trade_date").count().collect()}
+    for n in (1, 2, 3):  # every bar of a day ends one sequence of each length, but for its first
+        assert sum(r.cnt for r in rows if r.length == n) == sum(max(c - n + 1, 0) for c in per_day.values())
+    assert {r.total for r in cls.where("length = 1").agg(F.sum("total").alias("total")).collect()} == {made.count()}
 
 
 def test_store_and_read_distributions(spark, tmp_path):
