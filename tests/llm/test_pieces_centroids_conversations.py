@@ -234,3 +234,24 @@ def test_inserts_when_they_are_the_cheapest(spark):
     out, _ = conversations.repaired(df, conversations.Costs(rerole=9, delete=9, insert=2))
     r = out.first()
     assert (r.cost, r.audit, r.repaired_sha256) == (2, "KIK", sha("system:S.\nuser:\nassistant:A."))
+
+
+# --- bounded samples ----------------------------------------------------------------------------------------------
+
+
+def test_a_long_text_takes_no_language_or_domain_out_of_a_sample(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import lang_id, mixing
+
+    rows = [(i, "wort " * (4000 if i == 1 else 20), "de") for i in range(60)] + [(100 + i, "word " * 20, "en") for i in range(60)] + [(300, "parola " * 9000, "it")]
+    # whatever the order of the hashes, the long text is the one that is left out
+    for shift in range(3):
+        df = spark.createDataFrame([(i + 1000 * shift, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+        langs = lang_id.train(df, max_chars=9_000).langs
+        assert {"de", "en"} <= set(langs) and set(langs) <= {"de", "en", "it"}
+    marks = df.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    label = mixing._labelled(marks)
+    got = mixing._sample(df.select("doc_id", "text"), label, 1000, 9_000)
+    assert got.count() > 50 and got.agg(F.max(F.length("text"))).first()[0] < 1000
+    assert mixing._sample(df.where("lang = 'it'").select("doc_id", "text"), label, 1000, 10).count() <= 1

@@ -197,10 +197,11 @@ def _limits(models: LanguageModels, table: WordTable, texts: list[np.ndarray], y
 
 
 def train(docs: DataFrame, per_language: int = 400, max_chars: int = 8_000_000, order: int = 5, rate: float = 0.001, max_languages: int = 1_000) -> LanguageModels:
-    """Models from a bounded sample: at most ``per_language`` training texts a language, of ``max_chars`` characters in all.
+    """Models from a bounded sample: at most ``per_language`` training texts a language, of ``max_chars`` characters a language.
 
     Training texts are those with a non-null language that aren't held out; each is taken whole. Which of them are taken depends
-    on a hash of doc_id alone. A fifth of them calibrates: the temperature of the score by likelihood, and by :func:`_limits` the
+    on a hash of doc_id alone; where they have more characters the longest are left out, but for a language's shortest, so no
+    language is lost. A fifth of them calibrates: the temperature of the score by likelihood, and by :func:`_limits` the
     cross-entropies above which texts are rejected, so that of the stretches of texts of a known language, short ones too, at most about
     a share ``rate`` goes. More than ``max_languages`` languages are an error, since the models have a column for each.
     """
@@ -211,13 +212,14 @@ def train(docs: DataFrame, per_language: int = 400, max_chars: int = 8_000_000,
     share = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in share], "lang string, share double"))
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 11) / float(2**53)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    shortest = Window.partitionBy("lang").orderBy(F.length("text"), "nth").rowsBetween(Window.unboundedPreceding, 0)
     sample = (
         rows.join(share, "lang")
         .where(uniform < F.col("share"))
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= per_language)
-        .withColumn("chars", F.sum(F.length("text")).over(first))
-        .where(F.col("chars") <= max_chars)
+        .withColumns({"chars": F.sum(F.length("text")).over(shortest), "rank": F.row_number().over(shortest)})
+        .where((F.col("chars") <= max_chars) | (F.col("rank") == 1))
         .select("lang", "text", "nth")
         .collect()
     )

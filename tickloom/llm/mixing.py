@@ -45,16 +45,16 @@ def _labelled(labels: DataFrame) -> DataFrame:
 
 
 def _sample(rows: DataFrame, label: DataFrame, per_domain: int, max_chars: int) -> DataFrame:
-    """text, domain of at most ``per_domain`` labelled documents of each domain, chosen by a hash of doc_id, whole, but for those by
-    which a domain would exceed ``max_chars`` characters in all."""
+    """text, domain of at most ``per_domain`` labelled documents of each domain, chosen by a hash of doc_id, whole; where a
+    domain's have more than ``max_chars`` characters the longest are left out, but for its shortest."""
     sizes = rows.where((F.length("text") > 0) & ~held_out(F.col("doc_id"), 4)).groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
     label = label.join(sizes, "doc_id")
     ids = None
     for d in DOMAINS:
         part = label.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
         ids = part if ids is None else ids.unionByName(part)
-    so_far = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("total", F.sum("chars").over(so_far)).where(F.col("total") <= max_chars)
+    so_far = Window.partitionBy("domain").orderBy("chars", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    ids = ids.withColumns({"total": F.sum("chars").over(so_far), "rank": F.row_number().over(so_far)}).where((F.col("total") <= max_chars) | (F.col("rank") == 1))
     return rows.where(F.length("text") > 0).join(F.broadcast(ids.select("doc_id", "domain")), "doc_id").select("text", "domain")
 
 
@@ -63,7 +63,7 @@ def posteriors(
 ) -> DataFrame:
     """Each row of ``docs``: row_key, doc_id, n_tokens, p_<domain>.
 
-    Learns from a bounded sample: ``per_domain`` labelled texts a domain, of ``max_chars`` characters in all. Only features that
+    Learns from a bounded sample: ``per_domain`` labelled texts a domain, of ``max_chars`` characters a domain. Only features that
     surely tell a domain from the first one count, namely those in ``support`` texts or more whose share exceeds that in the first
     domain by ``errors`` standard errors, so their table (bounded by the sample) is broadcast; lacking a domain's features lowers
     its log odds by ``absence`` at most. ``support=0, errors=0, absence=inf`` gives the unpruned classifier of all features commoner
