@@ -192,3 +192,50 @@ def test_summed_returns_fill_gaps_with_zero(spark):
     df = spark.createDataFrame([(0, i, t0 + timedelta(seconds=s), v) for i, (s, v) in enumerate(ticks)], "k int, i long, ts_event timestamp, x double")
     got = volatility.summed_returns(df, "x", 1, Order(("k",), ("ts_event", "i"))).orderBy("bucket_start").collect()
     assert [r.ret for r in got] == [3.0, 0.0, 0.0, 4.0]  # fine means 2, 5, 9
+
+
+# --- two scales by bucket ---------------------------------------------------------------------------------------------
+
+
+def _dense(ticks, seconds, grid):
+    """bucket: log prices of all its slots."""
+    slots, out, x = collections.defaultdict(list), collections.defaultdict(list), None
+    for t, p in ticks:
+        if p is not None and p > 0:
+            slots[t // grid].append(p)
+    for i in range(min(slots), max(slots) + 1):
+        x = math.log(np.mean(slots[i])) if i in slots else x
+        out[i * grid // (seconds * 1_000_000)].append(x)
+    return out
+
+
+@pytest.mark.parametrize("k", [None, 2, 7, 400])
+def test_two_scales_by_bucket_equal_a_grid_with_every_slot(spark, k):
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.integers(0, 9_000_000, 300), rng.integers(31_000_000, 33_400_000, 400), [33_990_000, 33_999_999, 34_000_000]])
+    ticks = [(int(t), float(p)) for t, p in zip(sorted(at), np.exp(rng.normal(size=len(at)) * 0.01 + 3), strict=True)]
+    ticks[50], ticks[51] = (ticks[50][0], None), (ticks[51][0], -1.0)
+    df = spark.createDataFrame([(1, i, t, p) for i, (t, p) in enumerate(ticks)], "k int, i long, us long, p double").withColumn("ts_event", F.timestamp_micros("us"))
+    order = Order(("k",), ("ts_event", "i"))
+    rv = {r.b: r.tsrv for r in volatility.two_scale_buckets(df, "p", 2, order, k).select((F.unix_micros("bucket_start") / 2_000_000).cast("int").alias("b"), "tsrv").collect()}
+    mp = {r.b: r.tsmp for r in volatility.two_scale_mean_buckets(df, "p", 2, order, k).select((F.unix_micros("bucket_start") / 2_000_000).cast("int").alias("b"), "tsmp").collect()}
+    want = {b: np.array(x) for b, x in _dense(ticks, 2, 10_000).items()}
+    assert rv.keys() == want.keys() and len(want) == 18
+    for b, x in want.items():
+        n, j = len(x), max(2, min(k or 20, len(x) - 1))
+        if n < 3:
+            assert rv[b] is None
+        else:
+            subs = [np.diff(x[m::j]) for m in range(j) if len(x[m::j]) > 1]
+            rv_ = np.mean([(s * s).sum() for s in subs]) - np.mean([len(s) for s in subs]) / (n - 1) * (np.diff(x) ** 2).sum()
+            assert abs(rv[b] - rv_) < 1e-12
+        j = k or 20
+        assert (b in mp) == (n >= j)
+        if n >= j:
+            subs = [x[m::j] for m in range(n - j + 1)]
+            assert abs(mp[b] - (np.mean([s.mean() for s in subs]) - np.mean([len(s) for s in subs]) / n * x.mean())) < 1e-9
+
+
+def test_two_scales_by_bucket_of_nothing(spark):
+    df = spark.createDataFrame([], "instrument_id int, trade_date date, ts_event timestamp, sequence long, p double")
+    assert volatility.two_scale_buckets(df, "p", 1).count() == 0 and volatility.two_scale_mean_buckets(df, "p", 1).count() == 0

@@ -63,6 +63,86 @@ def two_scale_offsets(df: DataFrame, log_price: str, j: int = 5, order: Order =
     return rows.groupBy(*keys).agg(F.when(n >= j, value).alias("tsrv"))
 
 
+def _grid_runs(df: DataFrame, price: str, seconds: float, order: Order, grid: float, how: str) -> DataFrame:
+    """keys, _b, _s, _e, _x, _n: the log prices of a grid of ``grid`` seconds, filled forward, by buckets of ``seconds``. Slots _s to
+    _e - 1 of bucket _b, counted from its first, hold _x; the bucket has _n. A series' first bucket begins with its first price."""
+    keys, step = list(order.keys), round(seconds / grid)
+    fine = regularise(df.where(F.col(price) > 0), price, grid, how, order, fill=False)
+    fine = fine.select(*keys, F.log(price).alias("_x"), F.floor(F.unix_micros("bucket_start") / round(grid * 1_000_000)).alias("_i"))
+    fine = fine.withColumn("_next", F.coalesce(F.lead("_i").over(Order(order.keys, ("_i",)).rows()), F.col("_i") + 1))
+    parts = fine.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_i") / step), F.floor((F.col("_next") - 1) / step))))
+    begins, ends = F.greatest(F.col("_i"), F.col("_b") * step), F.least(F.col("_next"), (F.col("_b") + 1) * step)
+    parts = parts.select(*keys, "_b", "_x", begins.alias("_s"), ends.alias("_e"))
+    bucket = Window.partitionBy(*keys, "_b")
+    first, last = F.min("_s").over(bucket), F.max("_e").over(bucket)
+    return parts.select(*keys, "_b", "_x", (F.col("_s") - first).alias("_s"), (F.col("_e") - first).alias("_e"), (last - first).alias("_n"))
+
+
+def _bucket_start(seconds: float) -> Column:
+    return F.timestamp_micros(F.col("_b") * round(seconds * 1_000_000)).alias("bucket_start")
+
+
+def two_scale_buckets(
+    df: DataFrame, price: str, seconds: float, order: Order = DAY, k: int | None = None, grid: float = 0.01, how: str = "mean"
+) -> DataFrame:
+    """keys, bucket_start, tsrv: :func:`two_scale` of each bucket's prices on a filled grid; k defaults to ten for each second.
+
+    No slot of the grid is made. Both ends of a step of k slots change only where a run begins or k slots before that, so the
+    squared steps are summed over the stretches between those places, twice as many as runs. k is at most a bucket's steps and
+    at least 2; null below three slots. Prices that are null or not above 0 go before the grid is filled.
+    """
+    keys = [*order.keys, "_b"]
+    runs = _grid_runs(df, price, seconds, order, grid, how)
+    size = F.greatest(F.lit(2), F.least(F.lit(k or max(1, round(10 * seconds))), F.col("_n") - 1)).cast("long")
+    runs = runs.withColumns({"_k": size, "_f": F.col("_x") - F.lag("_x").over(Window.partitionBy(*keys).orderBy("_s"))})
+    here = F.struct(F.col("_s").alias("at"), F.col("_x").alias("from"), F.lit(None).cast("double").alias("to"), F.col("_f").alias("f"))
+    ahead = F.struct(F.greatest(F.col("_s") - F.col("_k"), F.lit(0)).alias("at"), F.lit(None).cast("double").alias("from"), F.col("_x").alias("to"), F.lit(None).cast("double").alias("f"))
+    places = runs.select(*keys, "_n", "_k", "_s", F.explode(F.array(here, ahead)).alias("_p")).select(*keys, "_n", "_k", "_s", "_p.*")
+    by = Window.partitionBy(*keys).orderBy("at", "_s", F.col("to").isNull())
+    past = by.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.least(F.coalesce(F.lead("at").over(by), F.col("_n")), F.col("_n") - F.col("_k"))
+    step = F.last("to", True).over(past) - F.last("from", True).over(past)
+    places = places.withColumns({"_len": F.greatest(end - F.col("at"), F.lit(0)), "_step": step})
+    n, size = F.max("_n"), F.max("_k")
+    slow, fast = F.sum(F.when(F.col("_len") > 0, F.col("_step") * F.col("_step") * F.col("_len"))), F.coalesce(F.sum(F.col("f") * F.col("f")), F.lit(0.0))
+    value = (F.coalesce(slow, F.lit(0.0)) - (n - size) / (n - 1) * fast) / F.least(size, n - size)
+    out = places.groupBy(*keys).agg(F.when(n >= 3, value).alias("tsrv"))
+    return out.select(*order.keys, _bucket_start(seconds), "tsrv")
+
+
+def two_scale_mean_buckets(
+    df: DataFrame, price: str, seconds: float, order: Order = DAY, k: int | None = None, grid: float = 0.01, how: str = "mean"
+) -> DataFrame:
+    """keys, bucket_start, tsmp: the mean over offsets m = 0 .. n - k of the mean log price at slots m, m + k, m + 2k, ..., less the
+    whole mean times the mean number of those slots over n.
+
+    The offsets that reach a slot weigh it by reciprocals of their own numbers of slots, a sum over whole numbers in a row that
+    changes only at multiples of k from either end. Runs are cut there and no slot is made. Null in buckets of fewer than k.
+    """
+    keys = [*order.keys, "_b"]
+    size = k or max(1, round(10 * seconds))
+    runs = _grid_runs(df, price, seconds, order, grid, how).where(F.col("_n") >= size)
+    n, s, e = F.col("_n"), F.col("_s"), F.col("_e")
+    from_start = (F.floor(s / size) + 1) * size
+    from_end = n - F.floor((n - s - 1) / size) * size
+    marks = [F.when(c < e, F.sequence(c, e - 1, F.lit(size).cast("long"))).otherwise(F.array().cast("array<long>")) for c in (from_start, from_end)]
+    beyond = n - size + 1  # the first slot that is no offset's first
+    marks.append(F.when((beyond > s) & (beyond < e), F.array(beyond)).otherwise(F.array().cast("array<long>")))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(s), *marks, F.array(e))))
+    cut = runs.withColumn("_c", cuts).withColumn("_j", F.explode(F.sequence(F.lit(0), F.size("_c") - 2)))
+    cut = cut.select(*keys, "_n", "_x", F.expr("_c[_j]").alias("_t"), F.expr("_c[_j + 1] - _c[_j]").alias("_len"))
+    t = F.col("_t")
+    after, before = F.ceil((n - t) / size), F.floor(t / size)  # slots of its offset from this one on, and before it
+    low, high = after + F.when(t > n - size, 1).otherwise(0), after + before
+    weight = F.when(high >= low, F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0.0), lambda acc, v: acc + 1 / v)).otherwise(0.0)
+    told = cut.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_len") * weight).alias("slow"), F.sum(F.col("_x") * F.col("_len")).alias("all"), F.max("_n").alias("n"))
+    n, offsets = F.col("n"), F.col("n") - size + 1
+    whole, rest = F.floor(n / size), n % size
+    slots = 1 + size * (whole * (whole + 1) / 2 - 1) + rest * (whole + 1)  # ceil(c / k) over c = k .. n
+    value = F.col("slow") / offsets - slots / offsets / n * (F.col("all") / n)
+    return told.select(*order.keys, _bucket_start(seconds), value.alias("tsmp"))
+
+
 def mean_returns(df: DataFrame, value: str, seconds: float, order: Order = DAY, first: float = 0.01) -> DataFrame:
     """keys, bucket_start, ret: changes of ``value``'s mean by buckets of ``seconds``, itself the mean of filled buckets of ``first``
     seconds; the first bucket, which has none before it, goes."""
