@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scan
 from tickloom.functions.series import Order
-from tickloom.operators import dependence, neighbours, volatility
+from tickloom.operators import dependence, neighbours, profile, volatility
 
 ONE = Order(("k",), ("i",))
 
@@ -239,3 +239,56 @@ def test_two_scales_by_bucket_equal_a_grid_with_every_slot(spark, k):
 def test_two_scales_by_bucket_of_nothing(spark):
     df = spark.createDataFrame([], "instrument_id int, trade_date date, ts_event timestamp, sequence long, p double")
     assert volatility.two_scale_buckets(df, "p", 1).count() == 0 and volatility.two_scale_mean_buckets(df, "p", 1).count() == 0
+
+
+# --- all lag measures in one table --------------------------------------------------------------------------------------
+
+
+def test_profile_equals_each_measure_of_its_own(spark):
+    rng = np.random.default_rng(11)
+    n, far = 240, 4
+    x = np.concatenate([rng.normal(size=n), np.full(60, 2.0)])
+    y = np.roll(x, 1) * 0.7 + rng.normal(size=len(x))
+    rows = [(int(k), i, float(a), float(b), int(s), int(t)) for k, xs, ys in ((0, x, y), (1, x[-60:], y[-60:]), (2, x[:1], y[:1])) for i, (a, b, s, t) in enumerate(zip(xs, ys, np.digitize(xs, [-0.5, 0.5]), np.digitize(ys, [0]), strict=True))]
+    rows[7], rows[9] = (0, 7, float("nan"), 1.0, 1, 1), (0, 9, None, 1.0, None, 1)
+    rows[20] = (*rows[20][:4], -1, rows[20][5])
+    df = spark.createDataFrame(rows, "k int, i long, x double, y double, a int, b int")
+    got = profile.lag_profile(df, profile.Profile("x", "y", "a", "b", far, bins=5, matrix_bins=6), ONE).toPandas()
+    assert not got.duplicated(["k", "measure", "lag", "ahead"]).any()
+    sound = df.where("x is not null and not isnan(x)")
+    lags = list(range(1, far + 1))
+    own = {
+        "correlation": dependence.cross_correlation(sound, "x", "y", far, ONE),
+        "self_correlation": dependence.autocorrelation(sound, "x", far, ONE),
+        "information": dependence.histogram_information(sound, "x", "y", list(range(-far, far + 1)), 5, ONE),
+        "space_time": dependence.space_time_information(sound, "x", "y", far, far, 6, ONE).withColumnRenamed("back", "lag"),
+        "symbol_information": dependence.mutual_information(sound, "a", "a", lags, order=ONE),
+        "transfer": dependence.transfer_entropy(sound, "a", "b", lags, ONE),
+        "self_transfer": dependence.self_transfer_entropy(sound, "a", far, ONE),
+        "counterfactual": dependence.counterfactual_entropy(sound, "a", "b", lags, order=ONE),
+    }
+    for d in lags:
+        own[f"transfer_histogram {d}"] = dependence.histogram_transfer_entropy(sound, "x", "y", d, order=ONE).withColumn("lag", F.lit(d))
+    value = lambda v: None if v is None or v != v else round(float(v), 9) + 0.0
+    for name, frame in own.items():
+        name, *d = name.split()
+        mine = got[(got.measure == name) & ((got.lag == int(d[0])) if d else True)]
+        want = sorted((r.k, r.lag, getattr(r, "ahead", 0), value(r.value) or 0) for r in frame.toPandas().itertuples() if value(r.value) is not None)
+        assert want and want == sorted((r.k, r.lag, r.ahead, value(r.value) or 0) for r in mine.itertuples() if value(r.value) is not None), name
+
+
+def test_profile_autocorrelation_and_its_band(spark):
+    x = np.random.default_rng(2).normal(size=80).cumsum()
+    df = spark.createDataFrame([(0, i, float(v), float(-v), 0, 0) for i, v in enumerate(x)] + [(1, i, 3.0, 3.0, 0, 0) for i in range(5)], "k int, i long, x double, y double, a int, b int")
+    got = {(r.k, r.lag): r for r in profile.lag_profile(df, profile.Profile("x", "y", "a", "b", 6), ONE).where("measure = 'autocorrelation'").collect()}
+    d = x - x.mean()
+    r = [(d[k:] * d[: len(d) - k]).sum() / (d * d).sum() for k in range(7)]
+    for k in range(7):
+        half = 0 if k == 0 else 1.959963984540054 * math.sqrt((1 + 2 * sum(v * v for v in r[1:k])) / len(x))
+        assert abs(got[0, k].value - r[k]) < 1e-12 and abs(got[0, k].high - r[k] - half) < 1e-12 and abs(got[0, k].low - r[k] + half) < 1e-12
+    assert all(got[1, k].value is None for k in range(5)) and (1, 5) not in got
+
+
+def test_profile_of_nothing(spark):
+    df = spark.createDataFrame([], "k int, i long, x double, y double, a int, b int")
+    assert profile.lag_profile(df, profile.Profile("x", "y", "a", "b", 3), ONE).count() == 0

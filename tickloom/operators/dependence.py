@@ -23,12 +23,17 @@ def lagged(df: DataFrame, x: str, y: str, lags: list[int], order: Order = BARS)
     return cells.select(*order.keys, "_n", rows.alias("_r")).where("_r is not null").select(*order.keys, "_n", "_r.lag", "_r.x", "_r.y")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation as an aggregate; null below two pairs and for a constant, where ``corr`` fails in ANSI mode."""
+    return F.when(F.count("*") >= 2, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def autocorrelation(df: DataFrame, x: str, longest: int, order: Order = BARS) -> DataFrame:
-    """Pearson correlation of the series with itself ``lag`` rows before; null below two pairs."""
+    """Pearson correlation of the series with itself ``lag`` rows before; null below two pairs and for a constant."""
     keys = [*order.keys, "lag"]
     pairs = lagged(df, x, x, list(range(1, longest + 1)), order)
     x, y = finite("x"), finite("y")  # pairs without both go
-    return pairs.where(x.isNotNull() & y.isNotNull()).groupBy(*keys).agg(F.when(F.count("*") >= 2, F.corr(x, y)).alias("value"))
+    return pairs.where(x.isNotNull() & y.isNotNull()).groupBy(*keys).agg(pearson(x, y).alias("value"))
 
 
 def cross_correlation(df: DataFrame, x: str, y: str, longest: int, order: Order = BARS) -> DataFrame:
@@ -78,7 +83,7 @@ def entropy(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
     return c.groupBy(*keys).agg((-F.sum(F.col("p") * F.log2("p"))).alias("value"))
 
 
-def _bin(v: Column, low: Column, high: Column, bins: int) -> Column:
+def width_bin(v: Column, low: Column, high: Column, bins: int) -> Column:
     """0-based equal-width bin; the highest value is in the last one; a constant's range is widened by a half each way."""
     flat = low == high
     a, b = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
@@ -94,7 +99,7 @@ def histogram_information(df: DataFrame, x: str, y: str, lags: list[int], bins:
     pairs = lagged(df, x, y, [-k for k in lags], order).withColumn("lag", -F.col("lag"))
     pairs = pairs.where(finite("x").isNotNull() & finite("y").isNotNull())
     w = Window.partitionBy(*keys)
-    binned = pairs.select(*keys, *(_bin(F.col(c).cast("double"), F.min(c).over(w), F.max(c).over(w), bins).alias(c) for c in ("x", "y")))
+    binned = pairs.select(*keys, *(width_bin(F.col(c).cast("double"), F.min(c).over(w), F.max(c).over(w), bins).alias(c) for c in ("x", "y")))
     return _information(binned.groupBy(*keys, "x", "y").agg(F.count("*").alias("cnt")), keys, False)
 
 
@@ -107,11 +112,16 @@ def space_time_information(df: DataFrame, x: str, y: str, back: int, ahead: int,
 
 def _conditional(df: DataFrame, keys: list[str], clamp: bool = True) -> DataFrame:
     """I(a; b | c) from rows (keys, a, b, c)."""
-    n = df.groupBy(*keys, "a", "b", "c").agg(F.count("*").alias("cnt"))
+    return conditional_of_counts(df.groupBy(*keys, "a", "b", "c").agg(F.count("*").alias("cnt")), keys, clamp)
+
+
+def conditional_of_counts(n: DataFrame, keys: list[str], clamp: bool | Column = True) -> DataFrame:
+    """I(a; b | c) from counts (keys, a, b, c, cnt); ``clamp`` may be an expression of the keys."""
     by = lambda *c: F.sum("cnt").over(Window.partitionBy(*keys, *c))
     n = n.select(*keys, "cnt", by().alias("n"), by("c").alias("nc"), by("a", "c").alias("nac"), by("b", "c").alias("nbc"))
     te = F.sum(F.col("cnt") / F.col("n") * F.log2(F.col("cnt") * F.col("nc") / (F.col("nac") * F.col("nbc"))))
-    return n.groupBy(*keys).agg((F.greatest(te, F.lit(0.0)) if clamp else te).alias("value"), F.max("n").alias("pairs"))
+    told = n.groupBy(*keys).agg(te.alias("value"), F.max("n").alias("pairs"))
+    return told.withColumn("value", F.when(F.lit(clamp), F.greatest("value", F.lit(0.0))).otherwise(F.col("value")))
 
 
 def self_transfer_entropy(df: DataFrame, x: str, longest: int, order: Order = BARS) -> DataFrame:
@@ -157,8 +167,13 @@ def counterfactual_entropy(df: DataFrame, source: str, target: str, lags: list[i
     """
     if history < 1 or alpha <= 0:
         raise ValueError("the history must be 1 or more and alpha above 0")
-    keys = [*order.keys, "lag"]
     cells, sizes = _observed(df, source, target, lags, history, 0, missing, order)
+    return counterfactual_of_counts(cells, sizes, lags, history, alpha, order).drop("pairs")
+
+
+def counterfactual_of_counts(cells: DataFrame, sizes: DataFrame, lags: list[int], history: int, alpha: float, order: Order) -> DataFrame:
+    """:func:`counterfactual_entropy` from counts (keys, lag, y, h, x, cnt) and (keys, kx, ky, rows)."""
+    keys = [*order.keys, "lag"]
     by = lambda *c: F.sum("cnt").over(Window.partitionBy(*keys, *c)) + alpha
     g = cells.select(*keys, "y", "h", "x", "cnt", by("h", "x").alias("hx"), by("y", "h").alias("yh"), by("h").alias("hh"))
     one = lambda c: F.log2((c + alpha) * F.col("hh") / (F.col("hx") * F.col("yh")))
@@ -175,7 +190,7 @@ def counterfactual_entropy(df: DataFrame, source: str, target: str, lags: list[i
     unseen = kx * ky * kh * low + kx * ky * whole("s_h", "n_h", kh) - ky * whole("s_hx", "n_hx", kh * kx) - kx * whole("s_yh", "n_yh", kh * ky)
     value = (F.col("own") + alpha * unseen) / (F.col("n") + alpha * kx * ky * kh)
     enough = (F.col("rows") - F.greatest(F.col("lag"), F.lit(history)) >= 10) & (F.col("n") >= 50)
-    return every.select(*keys, F.when(enough, value).alias("value"))
+    return every.select(*keys, F.when(enough, value).alias("value"), F.coalesce("n", F.lit(0)).alias("pairs"))
 
 
 def dirichlet_entropy(
@@ -239,16 +254,12 @@ def _histogram_entropy(rows: DataFrame, keys: list[str], most: int, sigma: float
     own values in complete rows. At least one bin, at most ``most``, as many as that for an interquartile range of 0."""
     rows = rows.select(*keys, *(finite(c).alias(c) for c in "fqp"))
     full = F.col("f").isNotNull() & F.col("q").isNotNull() & F.col("p").isNotNull()
-    stats = []
-    for c in "pq":
-        spread = F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
-        width = 2 * F.when(spread == 0, 1e-8).otherwise(spread) / F.pow(F.count(c).cast("double"), F.lit(1 / 3))
-        stats.append(F.greatest(F.least(F.floor((F.max(c) - F.min(c)) / F.nullif(width, F.lit(0.0))), F.lit(most)), F.lit(1)).cast("int").alias(f"bins_{c}"))
+    stats = [quartile_bins(c, most).alias(f"bins_{c}") for c in "pq"]
     for c in "fqp":
         stats += [F.min(F.when(full, F.col(c))).alias(f"low_{c}"), F.max(F.when(full, F.col(c))).alias(f"high_{c}")]
     facts = rows.groupBy(*keys).agg(*stats).withColumn("bins_f", F.col("bins_p"))
     rows = rows.where(full).join(facts, keys)
-    n = rows.select(*keys, *(_edge_bin(c).alias(c) for c in "fqp"), *(f"bins_{c}" for c in "fqp"))
+    n = rows.select(*keys, *(edge_bin(*map(F.col, (c, f"low_{c}", f"high_{c}", f"bins_{c}"))).alias(c) for c in "fqp"), *(f"bins_{c}" for c in "fqp"))
     n = n.groupBy(*keys, *"fqp", *(f"bins_{c}" for c in "fqp")).agg(F.count("*").cast("double").alias("cnt"))
     if sigma:
         for c in "fqp":
@@ -259,10 +270,16 @@ def _histogram_entropy(rows: DataFrame, keys: list[str], most: int, sigma: float
     return n.groupBy(*keys).agg(F.sum(term).alias("value"))
 
 
-def _edge_bin(c: str) -> Column:
-    """0-based equal-width bin of ``c`` by its low, high and bins; the highest value is in the last. A place found by division is
-    put right by the edges themselves, so that values on an edge fall as a search among edges has them."""
-    v, low, high, bins = F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}"), F.col(f"bins_{c}")
+def quartile_bins(c: str, most: int) -> Column:
+    """How many bins ``c`` gets: an aggregate, its range over a width that follows its quartiles, within 1 and ``most``."""
+    spread = F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+    width = 2 * F.when(spread == 0, 1e-8).otherwise(spread) / F.pow(F.count(c).cast("double"), F.lit(1 / 3))
+    return F.greatest(F.least(F.floor((F.max(c) - F.min(c)) / F.nullif(width, F.lit(0.0))), F.lit(most)), F.lit(1)).cast("int")
+
+
+def edge_bin(v: Column, low: Column, high: Column, bins: Column) -> Column:
+    """0-based equal-width bin; the highest value is in the last. A place found by division is put right by the edges
+    themselves, so that values on an edge fall as a search among edges has them."""
     flat = low == high
     low, high = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
     step = (high - low) / bins

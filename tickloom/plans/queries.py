@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.series import DAY, Order, diff
-from ..operators import bars, dependence, encode, kraus, labels, neighbours, ngrams, orderflow, volatility
+from ..operators import bars, dependence, encode, kraus, labels, neighbours, ngrams, orderflow, profile, volatility
 from ..sources import lob
 from . import daily
 
@@ -973,6 +973,69 @@ def mi_neighbours_imbalance(spark, d):
     return r.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
+_FAR = 20  # the longest lag of the profile
+
+
+def _profile_sql() -> str:
+    """Each measure from its definition over pairs of rows, joined; nothing is shared but those."""
+    by = f"{_BY}, lag"
+    mi = lambda rows: f"WITH l AS ({rows}){_MI.format(by)}"
+    some = lambda lag, x, y, where: f"SELECT {_BY}, {lag} AS lag, {x} AS x, {y} AS y FROM far WHERE {where}"
+
+    def histogram(rows: str, bins: int) -> str:
+        one = lambda c: f"coalesce(least(CAST(floor(({c} - {c}0) / nullif({c}1 - {c}0, 0) * {bins}) AS INT), {bins - 1}), {bins // 2}) AS {c}"
+        ends = ", ".join(f"{f}({c}) OVER w AS {c}{i}" for c in "xy" for i, f in enumerate(("min", "max")))
+        return mi(f"SELECT {by}, {one('x')}, {one('y')} FROM (SELECT *, {ends} FROM ({rows}) WINDOW w AS (PARTITION BY {by}))")
+
+    def transfer(a: str, b: str, c: str, first: int) -> str:
+        over = lambda *cols: f"sum(cnt) OVER (PARTITION BY {', '.join((by, *cols))})"
+        return f"""WITH jc AS (SELECT {_BY}, k AS lag, {a} AS a, {b} AS b, {c} AS c, count(*) AS cnt FROM far WHERE k BETWEEN {first} AND {_FAR} GROUP BY ALL),
+jm AS (SELECT *, {over()} AS n, {over('c')} AS nc, {over('a', 'c')} AS nac, {over('b', 'c')} AS nbc FROM jc)
+SELECT {by}, round(greatest(sum(cnt / n * log2(cnt * nc / (nac * nbc))), 0), 6) AS value, CAST(max(n) AS BIGINT) AS pairs FROM jm GROUP BY ALL"""
+
+    smoothed = f"""WITH jc AS (SELECT {_BY}, k AS lag, nsy AS y, oy AS h, psx AS x, count(*) AS cnt FROM far WHERE k BETWEEN 1 AND {_FAR} GROUP BY ALL),
+sz AS (SELECT {_BY}, max(sx) + 1 AS kx, max(sy) + 1 AS ky FROM sr GROUP BY ALL),
+g AS (SELECT {_BY}, lag, y, h, x, coalesce(cnt, 0) AS cnt FROM sz JOIN (SELECT range AS lag FROM range(1, {_FAR + 1})) ON true JOIN (SELECT range AS y FROM range(4)) ON y < ky
+  JOIN (SELECT range AS h FROM range(4)) ON h < ky JOIN (SELECT range AS x FROM range(4)) ON x < kx LEFT JOIN jc USING (instrument_id, trade_date, lag, y, h, x)),
+cm AS (SELECT *, sum(cnt) OVER (PARTITION BY {by}, h, x) + 1 AS hx, sum(cnt) OVER (PARTITION BY {by}, y, h) + 1 AS yh, sum(cnt) OVER (PARTITION BY {by}, h) + 1 AS hh FROM g)
+SELECT {by}, CASE WHEN sum(cnt) >= 50 THEN round(sum((cnt + 1) * log2((cnt + 1) / hx / (yh / hh))) / sum(cnt + 1), 6) END AS value, sum(cnt) AS pairs FROM cm GROUP BY ALL"""
+    delayed = " UNION ALL ".join(f"SELECT {_BY}, {k} AS lag, lead(x, {k}) OVER (PARTITION BY {_BY} ORDER BY i) AS f, x AS p, y AS q FROM sr" for k in range(1, _FAR + 1))
+    z = 1.959963984540054
+    cross = lambda lag, a, b, where: f"SELECT {_BY}, {lag} AS lag, avg(({a} - mx) * ({b} - my)) / max(dx * dy) AS v, count(*) AS pairs FROM far JOIN mo USING ({_BY}) WHERE {where} GROUP BY ALL"
+    measures = {
+        "information": histogram(some("k", "px", "ny", f"k <= {_FAR}") + " UNION ALL " + some("-k", "nx", "py", f"k BETWEEN 1 AND {_FAR}"), 20),
+        "symbol_information": mi(some("k", "nsx", "psx", f"k BETWEEN 1 AND {_FAR}")),
+        "transfer": transfer("nsy", "psx", "oy", 1),
+        "self_transfer": transfer("nsx", "psx", "ox", 2),
+        "counterfactual": smoothed,
+    }
+    long = " UNION ALL ".join(f"SELECT {by}, '{m}' AS measure, 0 AS ahead, value, pairs, NULL AS low, NULL AS high FROM ({sql})" for m, sql in measures.items())
+    th = _histogram_sql(f"WITH t AS ({delayed})", by, None)
+    return f"""{_PAIR}, sr AS MATERIALIZED (SELECT {_BY}, row_number() OVER ({NEXT}) AS i, ret AS x, imbalance AS y, sym % 4 AS sx, sym // 4 AS sy FROM bs WHERE ret IS NOT NULL AND imbalance IS NOT NULL),
+mo AS (SELECT {_BY}, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS dx, stddev_pop(y) AS dy, count(*) AS n FROM sr GROUP BY ALL),
+far AS MATERIALIZED (SELECT a.instrument_id, a.trade_date, a.i - b.i AS k, a.x AS nx, a.y AS ny, a.sx AS nsx, a.sy AS nsy, b.x AS px, b.y AS py, b.sx AS psx, b.sy AS psy, o.sx AS ox, o.sy AS oy
+  FROM sr a JOIN sr b ON a.instrument_id = b.instrument_id AND a.trade_date = b.trade_date AND a.i - b.i BETWEEN 0 AND {2 * _FAR}
+  LEFT JOIN sr o ON a.instrument_id = o.instrument_id AND a.trade_date = o.trade_date AND o.i = a.i - 1),
+co AS ({cross('k', 'nx', 'py', f'k <= {_FAR}')} UNION ALL {cross('-k', 'px', 'ny', f'k BETWEEN 1 AND {_FAR}')}),
+au AS (SELECT {_BY}, k AS lag, sum((nx - mx) * (px - mx)) / max(n * dx * dx) AS v, max(n) AS n, count(*) AS pairs, corr(nx, px) AS c FROM far JOIN mo USING ({_BY}) WHERE k <= {_FAR} GROUP BY ALL),
+ab AS (SELECT *, CASE WHEN lag = 0 THEN 0 ELSE {z}e0 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN v * v END) OVER (PARTITION BY {_BY} ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END AS w FROM au),
+te AS ({th}),
+ma AS ({histogram(some('k', 'px', 'ny', 'true'), 30)}),
+al AS ({long}
+UNION ALL SELECT {by}, 'transfer_histogram', 0, value, (SELECT max(n) FROM mo WHERE mo.instrument_id = te.instrument_id AND mo.trade_date = te.trade_date) - lag, NULL, NULL FROM te
+UNION ALL SELECT {_BY}, back, 'space_time', apart - back, value, pairs, NULL, NULL FROM (SELECT {_BY}, lag AS apart, value, pairs, unnest(range(greatest(lag - {_FAR}, 0), least(lag, {_FAR}) + 1)) AS back FROM ma)
+UNION ALL SELECT {by}, 'correlation', 0, round(v, 6), pairs, round(-{z}e0 / sqrt(pairs), 6), round({z}e0 / sqrt(pairs), 6) FROM co
+UNION ALL SELECT {by}, 'autocorrelation', 0, round(v, 6), pairs, round(v - w, 6), round(v + w, 6) FROM ab
+UNION ALL SELECT {by}, 'self_correlation', 0, round(c, 6), pairs, NULL, NULL FROM au WHERE lag > 0)
+SELECT {_BY}, measure, CAST(lag AS INT) AS lag, CAST(ahead AS INT) AS ahead, value + 0e0 AS value, CAST(pairs AS BIGINT) AS pairs, low, high FROM al"""
+
+
+@register(_profile_sql())
+def lag_profile(spark, d):
+    r = profile.lag_profile(_two(spark, d), profile.Profile("log_mid_ret", "imbalance", "a", "i", _FAR, fewest=0))
+    return r.withColumns({"value": F.round("value", 6) + F.lit(0.0), "low": F.round("low", 6), "high": F.round("high", 6)})
+
+
 # --- volatility ---------------------------------------------------------------------------------------------------
 
 
