@@ -755,3 +755,15 @@ def test_pipeline_against_brute_force(spark, small, texts):
 
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_embedding_rows_that_are_unsound_or_alike_come_back_whole(spark):
+    """Most rows are null or copies of one vector, and a null id stays with its row."""
+    one, other = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    rows = [(i, None) for i in range(40)] + [(100 + i, one) for i in range(30)] + [(200, other), (None, one), (None, None), (201, [float("nan"), 1.0, 0.0]), (202, [0.0, 0.0, 0.0]), (203, [])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(got) == len(rows) and sum(r.vec_id is None for r in got) == 2
+    told = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    assert told[None] == (0, None, True)
+    assert all(told[100 + i] == (29, 100, i == 0) for i in range(30))
+    assert all(told[i] == (0, i, True) for i in [*range(40), 200, 201, 202, 203])

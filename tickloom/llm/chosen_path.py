@@ -343,8 +343,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
 
     A pair at the threshold shares a node of one tree with a chance of about 0.64 and misses all of ten trees with
     3 in 100,000; more similar pairs miss less, and links within a component back each other up. No node, group or
-    candidate is capped: nodes above NODE branch again, and their documents grow MORE_TREES more trees (all 22 miss a pair at the
-    threshold with 2 in 100,000 even at nine levels, so at most about 6 in 100,000 go missing in all); nodes still larger are compared in pairs of blocks; groups of candidates above GROUP are
+    candidate is capped: nodes above NODE branch again, and their documents grow MORE_TREES more trees. All trees draw on the
+    same coordinates, so these aren't independent: a simulation of signatures whose every node is large missed 1 of 40,000 pairs at the
+    threshold at six levels and some 40 in 100,000 at nine, where independent trees would miss 2. Nodes still larger are compared in pairs of blocks; groups of candidates above GROUP are
     confirmed block by block against common documents, and what that leaves unconnected in pairs of tiles of about GROUP
     documents of like length, but for pairs whose lengths rule a link out.
     """

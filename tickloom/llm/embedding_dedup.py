@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import hot_joined, written
 from .components import connected_components, labels
 
 #: Leading axes of the first comparison, and of the second.
@@ -226,13 +226,12 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, tile: int = 4
         comps = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
         reps = written(
             classes.join(links, "id", "left").join(comps, "id", "left").select(
-                F.col("embedding").alias("of"),
+                "embedding", "size",
                 (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
                 F.coalesce("component", "id").alias("component_id"),
             ),
             "vector-components",
         )
-        out = rows.join(reps, rows["embedding"] == reps["of"], "left").select(
-            "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
-        )
+        alone = rows.where(F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        out = hot_joined(good, reps, "embedding", "size").select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
