@@ -1095,7 +1095,7 @@ def summed_returns(spark, d):
 
 _BUCKET, _STEP = 3600, 60  # an hour's slots of a second, since the twin makes every slot; the default grid is tested beside it
 # Every slot of the filled grid, with its place in its bucket.
-_SLOTS = f"""{MID}, f AS (SELECT {_BY}, CAST(floor(epoch_us(ts_event) / 1000000e0) AS BIGINT) AS i, avg(mid_price) AS v FROM ev WHERE mid_price > 0 GROUP BY ALL),
+_GRID_SLOTS = f"""{MID}, f AS (SELECT {_BY}, CAST(floor(epoch_us(ts_event) / 1000000e0) AS BIGINT) AS i, avg(mid_price) AS v FROM ev WHERE mid_price > 0 GROUP BY ALL),
 f1 AS (SELECT *, coalesce(lead(i) OVER ({PART} ORDER BY i), i + 1) AS nx FROM f),
 sl AS (SELECT {_BY}, ln(v) AS x, unnest(range(i, nx)) AS i FROM f1),
 g AS (SELECT {_BY}, x, i // {_BUCKET} AS b, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY {_BY}, i // {_BUCKET}) AS n FROM sl WINDOW w AS (PARTITION BY {_BY}, i // {_BUCKET} ORDER BY i)),
@@ -1103,7 +1103,7 @@ k AS (SELECT *, greatest(2, least({_STEP}, n - 1)) AS k FROM g)"""
 
 
 @register(
-    f"""{_SLOTS}, d AS (SELECT *, x - lag(x) OVER (PARTITION BY {_BY}, b ORDER BY t) AS f, x - lag(x) OVER (PARTITION BY {_BY}, b, t % k ORDER BY t) AS s FROM k),
+    f"""{_GRID_SLOTS}, d AS (SELECT *, x - lag(x) OVER (PARTITION BY {_BY}, b ORDER BY t) AS f, x - lag(x) OVER (PARTITION BY {_BY}, b, t % k ORDER BY t) AS s FROM k),
 sb AS (SELECT {_BY}, b, t % k AS m, sum(f * f) AS fast, sum(s * s) AS slow, count(s) AS steps, max(n) AS n FROM d GROUP BY ALL)
 SELECT {_BY}, b * {_BUCKET * 1_000_000} AS start_us, round(CASE WHEN max(n) >= 3 THEN avg(slow) FILTER (steps >= 1) - avg(steps) FILTER (steps >= 1) / (max(n) - 1) * sum(fast) END, 12) + 0e0 AS tsrv FROM sb GROUP BY ALL"""
 )
@@ -1113,7 +1113,7 @@ def tsrv_buckets(spark, d):
 
 
 @register(
-    f"""{_SLOTS}, c AS (SELECT *, sum(x) OVER w AS s, count(*) OVER w AS c FROM g WHERE n >= {_STEP} WINDOW w AS (PARTITION BY {_BY}, b, t % {_STEP} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    f"""{_GRID_SLOTS}, c AS (SELECT *, sum(x) OVER w AS s, count(*) OVER w AS c FROM g WHERE n >= {_STEP} WINDOW w AS (PARTITION BY {_BY}, b, t % {_STEP} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT {_BY}, b * {_BUCKET * 1_000_000} AS start_us, round(avg(s / c) FILTER (t <= n - {_STEP}) - avg(c) FILTER (t <= n - {_STEP}) / max(n) * avg(x), 6) AS tsmp FROM c GROUP BY ALL"""
 )
 def tsmp_buckets(spark, d):
