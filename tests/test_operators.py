@@ -232,3 +232,26 @@ def test_dependence_ignores_values_that_are_not_finite(spark):
         assert a.keys() == b.keys() and all(math.isfinite(v) for v in b.values())
         assert np.allclose([a[k] for k in a], [b[k] for k in a])
     assert all(math.isfinite(r.value) for r in dependence.autocorrelation(spark.createDataFrame(odd, "k int, i long, x double, y double"), "x", 3, ONE).collect())
+
+
+def test_sequences_in_order_and_sampled(spark):
+    df = spark.createDataFrame([(0, i, int(c)) for i, c in enumerate("0120120011020210012")], "k int, i long, s int")
+    counted = ngrams.counts(df, "s", 3, Order(("k",), ("i",)))
+    rows = [(r.length, list(r.seq), r.cnt, r.first) for r in counted.collect()]
+    for how, key in {"lexicographic": lambda r: (r[0], r[1]), "count": lambda r: (r[0], -r[2], r[1]), "first_seen": lambda r: (r[0], r[3])}.items():
+        assert [(r.length, list(r.seq)) for r in ngrams.ordered(counted, how).collect()] == [r[:2] for r in sorted(rows, key=key)]
+    with pytest.raises(ValueError):
+        ngrams.ordered(counted, "other")
+    told = lambda seed: sorted((r.length, tuple(r.seq)) for r in ngrams.sampled(counted, 0.4, ["k"], 1, seed).collect())
+    some = told(0)
+    assert some == told(0) and set(some) <= {(n, tuple(q)) for n, q, *_ in rows} and told(1) != some
+    for n in (1, 2, 3):
+        every = sum(r[0] == n for r in rows)
+        assert sum(r[0] == n for r in some) == (every if n == 1 else max(1, round(every * 0.4)))
+
+
+def test_ratio_of_sums_near_zero(spark):
+    df = spark.createDataFrame([(0, i, v) for i, v in enumerate([1e-13, 2.0, 0.0, 5.0])], "k int, sample_idx long, log_mid double")
+    ratio = lambda zero: [r.log_mid_sum_ratio_1 for r in bars.targets(df, (1,), order=Order(("k",), ("sample_idx",)), zero_only=zero).orderBy("sample_idx").collect()]
+    assert ratio(False) == [None, -1.0, None, None]
+    assert ratio(True) == [(2.0 - 1e-13) / 1e-13, -1.0, None, None]

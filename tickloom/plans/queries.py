@@ -371,6 +371,14 @@ def micro_price_spread(spark, d):
     return out(bars.book_features(bar(spark, d)), BAR, "bid_ratio_L1", "micro_price", "imbalance", "spread", "rel_spread", "log_spread", "micro_mid")
 
 
+@register(
+    f"{BARS_SQL} SELECT instrument_id, trade_date, sample_idx, round(bid_sz_00 / nullif(bid_sz_00 + ask_sz_00, 0), 9) AS imbalance, round((bid_sz_00 - ask_sz_00) / nullif(bid_sz_00 + ask_sz_00, 0), 9) + 0e0 AS obi_l1 FROM b"
+)
+def bid_share(spark, d):
+    r = bars.book_features(bar(spark, d), share_of_bid=True).withColumn("obi_l1", F.round("obi_L1", 9) + F.lit(0.0))
+    return out(r, BAR, "imbalance", "obi_l1")
+
+
 @register(
     f"""{BARS_SQL} SELECT instrument_id, trade_date, sample_idx, coalesce(CAST(mid_price > lag(ask_px_00) OVER ({NEXT}) AS INT), 0) AS mid_cross_prev_ask_up,
 coalesce(CAST(mid_price < lag(bid_px_00) OVER ({NEXT}) AS INT), 0) AS mid_cross_prev_bid_dn, round(mid_price - lag(mid_price) OVER ({NEXT}), 9) + 0e0 AS mid_ret,
@@ -571,6 +579,17 @@ def class_label_c(spark, d):
     return labels.class_label(labels.class_label(df, "c1", out="c1"), "c4", out="c4").select(*BAR, "c1", "c4")
 
 
+_FILLED = "last_value({0} IGNORE NULLS) OVER (" + NEXT + " ROWS UNBOUNDED PRECEDING)"
+
+
+@register(
+    f"{_RET} SELECT instrument_id, trade_date, sample_idx, {_C.format('g1', '4.15e-5')} AS c1, {_C.format('g4', '7.5e-5')} AS c4 FROM (SELECT *, {_FILLED.format('f1')} AS g1, {_FILLED.format('f4')} AS g4 FROM lb)"
+)
+def class_label_filled(spark, d):
+    df = bars.targets(bar(spark, d), (1, 4))
+    return labels.class_label(labels.class_label(df, "c1", True, out="c1"), "c4", True, out="c4").select(*BAR, "c1", "c4")
+
+
 @register(
     _targets_sql()
     + """ SELECT instrument_id, trade_date, sample_idx, CASE WHEN log_mid_sum_fwd_2 > log_mid_sum_bwd_2 * (1 + 7e-6 * 1.5e0) THEN 1
@@ -595,15 +614,15 @@ def prefix_suffix_classes(spark, d):
 
 
 @register(
-    f"""{BARS_SQL}, r AS (SELECT *, round(log_mid, 6) AS x FROM b), a AS (SELECT *, avg(x) OVER ({NEXT} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead, avg(x) OVER ({NEXT} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS before FROM r)
-SELECT instrument_id, trade_date, sample_idx, CASE WHEN ahead > x + 1e-9 THEN 1 ELSE 0 END AS rises, CASE WHEN before > ahead + 1e-9 THEN 1 ELSE 0 END AS falls FROM a WHERE (abs(ahead - x) > 1e-8 AND abs(before - ahead) > 1e-8)"""
+    f"""{BARS_SQL}, r AS (SELECT *, CAST(round(log_mid * 1e6) AS BIGINT) AS x FROM b),
+a AS (SELECT *, sum(x) OVER f AS sf, count(x) OVER f AS nf, sum(x) OVER p AS sp, count(x) OVER p AS np FROM r
+  WINDOW f AS ({NEXT} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), p AS ({NEXT} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT instrument_id, trade_date, sample_idx, CASE WHEN sf > x * nf THEN 1 ELSE 0 END AS rises, CASE WHEN sp * nf > sf * np THEN 1 ELSE 0 END AS falls FROM a"""
 )
 def suffix_mean_classes(spark, d):
-    """The classes by their own functions; rows whose means are equal but for rounding are left to neither side."""
-    df = bar(spark, d).withColumn("x", F.round("log_mid", 6))
-    ahead, before = labels.suffix_mean("x", 3), F.avg("x").over(bars.BARS.rows().rowsBetween(-2, 0))
-    df = df.withColumns({"ahead": ahead, "before": before, "rises": labels.rises("x", 3), "falls": labels.falls_on_average("x", 3, 3)})
-    return df.where((F.abs(F.col("ahead") - F.col("x")) > 1e-8) & (F.abs(F.col("before") - F.col("ahead")) > 1e-8)).select(*BAR, "rises", "falls")
+    """The classes by their own functions, of all rows; values in whole millionths, so that equal means are ties on both sides."""
+    df = bar(spark, d).withColumn("x", F.round(F.col("log_mid") * 1e6).cast("long"))
+    return df.withColumns({"rises": labels.rises("x", 3), "falls": labels.falls_on_average("x", 3, 3)}).select(*BAR, "rises", "falls")
 
 
 @register(
@@ -678,6 +697,17 @@ def ngram_class_probs(spark, d):
     return _seq(_classed(spark, d), *_slots(), "total")
 
 
+@register(
+    f"""{_CLS}, al AS (SELECT DISTINCT {_BY}, sym FROM bs), ev1 AS (SELECT {_BY}, 1 AS length, CAST(sym AS VARCHAR) AS seq FROM al UNION ALL
+SELECT a.instrument_id, a.trade_date, 2, CAST(a.sym AS VARCHAR) || ',' || CAST(c.sym AS VARCHAR) FROM al a JOIN al c USING ({_BY})),
+fl AS (SELECT {_BY}, length, seq, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(total, 0) AS total FROM ev1 LEFT JOIN cc USING ({_BY}, length, seq))
+SELECT {_BY}, length, seq, n0, n1, n2, {', '.join(f'round(coalesce(n{i} / nullif(total, 0), 0), 9) AS p{i}' for i in range(3))}, total FROM fl"""
+)
+def ngram_class_zero_filled(spark, d):
+    df = labels.class_label(bars.targets(pairs(spark, d), (1,)), "c1")
+    return _seq(ngrams.class_counts(df, "sym", "class", 2, non_zero_only=False), *_slots(), "total")
+
+
 _FOLD = f"{_CNT}, fo AS (SELECT length, seq, CAST(sum(cnt) AS BIGINT) AS cnt FROM ct GROUP BY ALL), fs AS (SELECT *, CAST({_SHARE.format('')} AS BIGINT) AS total, cnt / {_SHARE.format('')} AS prob FROM fo)"
 
 
