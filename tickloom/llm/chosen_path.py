@@ -10,12 +10,13 @@ sets are one class throughout.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import _slices
 from .common import hot_joined, row_key, rows_of, small_batches, written
@@ -23,18 +24,22 @@ from .components import connected_components, labels
 from .lm_score import _from_planes, _planes
 from .words import mix64
 
-#: Signature coordinates; trees; levels of a tree before nodes are first counted, and how often again for those too large.
+#: Coordinates of each of a document's two signatures; trees, which use the first; levels of a tree before nodes are first
+#: counted, and how often again for those too large.
 COORDINATES, TREES, LEVELS, MORE_LEVELS = 128, 10, 3, 2
-#: Trees besides for documents of nodes that are too large: a deeper tree keeps fewer pairs (0.48 at six levels, 0.38 at nine).
+#: Trees besides, which use the second signature, for documents of nodes that are too large: a deeper tree keeps fewer
+#: pairs (0.48 at six levels, 0.38 at nine).
 MORE_TREES = 12
 #: Most documents of a node that are compared exhaustively, and of a group whose sets are in one task.
 NODE, GROUP = 2_000, 3_000
+#: Most shingles, of eight bytes each, of such a group together.
+SHINGLES = 4_000_000
 #: A pair at the threshold falls this far below it in its signatures with a chance under one in a million.
 _SLACK = 0.18
 
 _RNG = np.random.default_rng(20_240_101)
-_A = (_RNG.integers(0, 2**31, COORDINATES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _RNG.integers(0, 2**32, COORDINATES, dtype=np.uint32)
+_A = (_RNG.integers(0, 2**31, (2, COORDINATES), dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_B = _RNG.integers(0, 2**32, (2, COORDINATES), dtype=np.uint32)
 
 
 class Shingler:
@@ -70,16 +75,21 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima of COORDINATES hash functions over the set."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
+def _signature(shingles: np.ndarray, which: int = 0) -> np.ndarray:
+    """Minima of COORDINATES hash functions over the set; the second signature hashes other bits by other functions."""
+    x = (shingles >> np.uint64(0 if which else 32)).astype(np.uint32)
     out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
         for a in range(0, len(x), 2048):
-            out = np.minimum(out, (_A[:, None] * x[None, a : a + 2048] + _B[:, None]).min(1))
+            out = np.minimum(out, (_A[which][:, None] * x[None, a : a + 2048] + _B[which][:, None]).min(1))
     return out
 
 
+def _packed(minima: list[np.ndarray], sets: list[np.ndarray]) -> pa.Array:
+    """The lowest byte of each minimum; null for an empty set."""
+    return pa.array([m.astype(np.uint8).tobytes() if len(s) else None for m, s in zip(minima, sets, strict=True)], pa.binary())
+
+
 def _descend(keys: np.ndarray, owner: np.ndarray, values: np.ndarray, levels: int, extra: float) -> tuple[np.ndarray, np.ndarray]:
     """Children, ``levels`` further down, of the nodes ``keys`` for the documents ``owner`` with signature ``values``.
 
@@ -102,6 +112,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, trees: int, extra:
     for batch, texts in _slices(batches, "text"):
         sets = [shingler.shingles(t) for t in texts.to_pylist()]
         minima = np.array([_signature(s) for s in sets], np.uint32).reshape(len(sets), COORDINATES)
+        second = [_signature(s, 1) for s in sets]
         root = _roots(0, trees)
         keys, owner = _descend(np.tile(root, len(sets)), np.repeat(np.arange(len(sets)), trees), minima, LEVELS, extra)
         order = np.argsort(owner, kind="stable")
@@ -115,9 +126,10 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, trees: int, extra:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array([keys[a:b] if len(s) else None for a, b, s in zip(cuts[:-1], cuts[1:], sets, strict=True)], pa.list_(pa.int64())),
-                pa.array([m.astype(np.uint8).tobytes() if len(s) else None for m, s in zip(minima, sets, strict=True)], pa.binary()),
+                _packed(minima, sets),
+                _packed(second, sets),
             ],
-            names=["doc_id", "row_key", "n_shingles", "digest", "keys", "sketch"],
+            names=["doc_id", "row_key", "n_shingles", "digest", "keys", "sketch", "second"],
         )
 
 
@@ -191,22 +203,29 @@ def _confirm(rows: pd.DataFrame, percent: int, least: float) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
 
-def _bucketed(df: DataFrame, key: str, rows: int, each: int) -> DataFrame:
-    """Whole keys dealt to as many groups as give about ``each`` rows a group."""
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows // each)))))
+def _bucketed(df: DataFrame, key: str, groups: float) -> DataFrame:
+    """Whole keys dealt to as many groups."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(groups)))))
+
+
+def _shares(rows: Column, shingles: Column) -> Column:
+    """How many groups rows fill, by their number and by the size of their sets."""
+    return F.greatest(rows / GROUP, shingles / SHINGLES)
 
 
 def _roots(first: int, trees: int) -> np.ndarray:
     return mix64(np.arange(first + 1, first + trees + 1, dtype=np.uint64))
 
 
-def _levels(nodes: DataFrame, classes: DataFrame, extra: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Of ``nodes`` (id, key, comp) those of two comps or more: (key, id) of nodes up to NODE, branched again where they
-    were larger; (key, id, first, n) of nodes still larger after MORE_LEVELS times; the ids in nodes too large at first."""
+def _levels(nodes: DataFrame, sketches: DataFrame, extra: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Of ``nodes`` (id, key, comp) those of two comps or more: (key, id) of nodes up to NODE, branched again by ``sketches``
+    (id, sketch) where they were larger; (key, id, first, n) of nodes still larger after MORE_LEVELS times; the ids in nodes
+    too large at first."""
     done = hot = None
     for again in range(MORE_LEVELS + 1):
         counts = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-        rows = written(nodes.join(counts.where("a < b").drop("a", "b"), "key"), "nodes")
+        counts = written(counts.where("a < b").drop("a", "b"), "node-counts")
+        rows = written(hot_joined(nodes, counts, "key", "n"), "nodes")
         small, large = rows.where(F.col("n") <= NODE).select("key", "id"), rows.where(F.col("n") > NODE)
         done = small if done is None else done.unionByName(small)
         if large.limit(1).count() == 0:
@@ -222,8 +241,8 @@ def _levels(nodes: DataFrame, classes: DataFrame, extra: float) -> tuple[DataFra
                         [*(pa.array(b.column(i).to_numpy()[owner]) for i in (1, 2)), pa.array(keys.view(np.int64))], names=["id", "comp", "key"]
                     )
 
-            rows = large.join(classes.select("id", "sketch"), "id").select("key", "id", "comp", "sketch")
-            nodes = rows.mapInArrow(deeper, "id long, comp long, key long")
+            rows = large.join(sketches, "id").select("key", "id", "comp", "sketch")
+            nodes = written(rows.mapInArrow(deeper, "id long, comp long, key long"), "deeper-nodes")
     return done, large.select("key", "id", "first", "n"), hot
 
 
@@ -239,11 +258,12 @@ def _block_pairs(large: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, id) of nodes above NODE in pairs of blocks, about NODE documents a pair: each document outside a node's largest
     component meets all others of the node."""
     rows = large.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    main = rows.groupBy("key", "comp").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("comp", "many").alias("main"))
-    rows = rows.join(main, "key").select("key", "id", (F.col("comp") == F.col("main")).cast("int").alias("side"))
+    main = rows.groupBy("key", "comp").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("comp", "many").alias("main"), F.sum("many").alias("n"))
+    rows = hot_joined(rows, written(main, "node-mains"), "key", "n").select("key", "id", (F.col("comp") == F.col("main")).cast("int").alias("side"))
     half = max(1, NODE // 2)
-    many = rows.groupBy("key", "side").agg(F.ceil(F.count("*") / half).cast("long").alias("blocks"))
-    rows = written(rows.join(many, ["key", "side"]).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks"))), "node-blocks")
+    many = written(rows.groupBy("key", "side").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / half).cast("long")), "node-sides")
+    rows = hot_joined(rows, many, ["key", "side"], "n").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    rows = written(rows.select("key", "id", "side", "block"), "node-blocks")
     each = many.select("key", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     a, b = each.where("side = 0").alias("a"), each.alias("b")
     pairs = a.join(b, "key").where((F.col("b.side") == 1) | (F.col("a.block") <= F.col("b.block")))
@@ -256,16 +276,18 @@ def _block_pairs(large: DataFrame, comps: DataFrame) -> DataFrame:
 def _compared(nodes: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(u, v) of pairs of one node that may be similar, enough to connect what is connected."""
     nodes = written(nodes, "compared-nodes")
-    rows = _bucketed(nodes.join(classes.select("id", "sketch"), "id"), "key", nodes.count(), 10_000)
+    rows = _bucketed(nodes.join(classes.select("id", "sketch"), "id"), "key", nodes.count() / 10_000)
     return written(rows.groupBy("bucket").applyInPandas(lambda g: _compare_nodes(g, least), "u long, v long"), "pairs")
 
 
 def _candidates(classes: DataFrame, trees: int, extra: float, least: float) -> DataFrame:
     """Components of pairs that share a node and may be similar.
 
-    Documents of nodes above NODE grow MORE_TREES more trees, of which only nodes with several components so far count.
+    Documents of nodes above NODE grow MORE_TREES more trees from their second signatures, of which only nodes with several
+    components so far count.
     """
-    small, large, hot = _levels(classes.select("id", F.explode("keys").alias("key"), F.col("id").alias("comp")), classes, extra)
+    sketches, second = classes.select("id", "sketch"), classes.select("id", F.col("second").alias("sketch"))
+    small, large, hot = _levels(classes.select("id", F.explode("keys").alias("key"), F.col("id").alias("comp")), sketches, extra)
     pairs = _compared(small if large is None else small.unionByName(_blocks(large)), classes, least)
     group = connected_components(pairs)
     if hot is None:
@@ -280,8 +302,8 @@ def _candidates(classes: DataFrame, trees: int, extra: float, least: float) -> D
                 [*(pa.array(b.column(i).to_numpy()[owner]) for i in (0, 1)), pa.array(keys.view(np.int64))], names=["id", "comp", "key"]
             )
 
-    seeds = hot.join(classes.select("id", "sketch"), "id").join(group, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sketch")
-    more, still, _ = _levels(seeds.mapInArrow(grow, "id long, comp long, key long"), classes, extra)
+    seeds = hot.join(second, "id").join(group, "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "sketch")
+    more, still, _ = _levels(written(seeds.mapInArrow(grow, "id long, comp long, key long"), "more-nodes"), second, extra)
     ends = [x.select("key", "id") for x in (large, still) if x is not None]
     if ends:
         more = more.unionByName(_block_pairs(ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1]), group))
@@ -307,16 +329,18 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """``rows`` (component, side, id, n_shingles) with a tile each: about GROUP rows of like length of one component and side.
+    """``rows`` (component, side, id, n_shingles) with a tile each: rows of like length of one component and side, about GROUP
+    of them or with SHINGLES shingles, whichever is fewer.
 
     Lengths are counted by classes two percent wide, so that no task sorts a whole component.
     """
     rows = rows.withColumn("length", F.floor(F.log("n_shingles") / F.log(F.lit(1.02))))
-    shares = rows.groupBy("component", "side", "length").agg(F.count("*").alias("many"))
+    shares = rows.groupBy("component", "side", "length").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("shingles"))
+    shares = shares.select("component", "side", "length", "many", _shares(F.col("many"), F.col("shingles")).alias("fill"))
     so_far = Window.partitionBy("component", "side").orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
-    shares = shares.withColumn("start", F.coalesce(F.sum("many").over(so_far), F.lit(0)))
+    shares = written(shares.withColumn("start", F.coalesce(F.sum("fill").over(so_far), F.lit(0.0))), "tile-shares")
     uniform = F.shiftrightunsigned(F.xxhash64("id", F.lit(2)), 11) / float(2**53)
-    return rows.join(shares, ["component", "side", "length"]).withColumn("tile", F.floor((F.col("start") + uniform * F.col("many")) / GROUP))
+    return hot_joined(rows, shares, ["component", "side", "length"], "many").withColumn("tile", F.floor(F.col("start") + uniform * F.col("fill")))
 
 
 def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
@@ -343,11 +367,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
 
     A pair at the threshold shares a node of one tree with a chance of about 0.64 and misses all of ten trees with
     3 in 100,000; more similar pairs miss less, and links within a component back each other up. No node, group or
-    candidate is capped: nodes above NODE branch again, and their documents grow MORE_TREES more trees. All trees draw on the
-    same coordinates, so these aren't independent: a simulation of signatures whose every node is large missed 1 of 40,000 pairs at the
-    threshold at six levels and some 40 in 100,000 at nine, where independent trees would miss 2. Nodes still larger are compared in pairs of blocks; groups of candidates above GROUP are
-    confirmed block by block against common documents, and what that leaves unconnected in pairs of tiles of about GROUP
-    documents of like length, but for pairs whose lengths rule a link out.
+    candidate is capped: nodes above NODE branch again, and their documents grow MORE_TREES more trees, which draw on a second
+    signature and so on other coordinates than the first. A simulation of signatures whose every node is large missed 4 of 300,000
+    pairs at the threshold at six levels and 43 at nine. Nodes still larger are compared in pairs of blocks; groups of candidates above GROUP
+    documents or SHINGLES shingles are confirmed block by block against common documents, and what that leaves unconnected in pairs of
+    tiles of like length and at most about that size, but for pairs whose lengths rule a link out.
     """
     rows, names = _components(docs, width, percent, trees)
     named = hot_joined(rows.where("digest is not null").select("doc_id", "n_shingles", "digest"), names.select("digest", "component_id", "size"), "digest", "size", "left")
@@ -379,7 +403,7 @@ def _components(docs: DataFrame, width: int, percent: int, trees: int) -> tuple[
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(
         source.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(
-            lambda b: _sketches(b, width, trees, extra), "doc_id long, row_key binary, n_shingles long, digest binary, keys array<long>, sketch binary"
+            lambda b: _sketches(b, width, trees, extra), "doc_id long, row_key binary, n_shingles long, digest binary, keys array<long>, sketch binary, second binary"
         ),
         "sketches",
     )
@@ -388,32 +412,32 @@ def _components(docs: DataFrame, width: int, percent: int, trees: int) -> tuple[
         .groupBy("digest")
         .agg(
             F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("size"),
-            F.max("keys").alias("keys"), F.max("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles"),
+            *(F.max(c).alias(c) for c in ("keys", "sketch", "second", "n_shingles")),
         )
-        .select("digest", "first.*", "size", "keys", "sketch", "n_shingles", F.monotonically_increasing_id().alias("id")),
+        .select("digest", "first.*", "size", "keys", "sketch", "second", "n_shingles", F.monotonically_increasing_id().alias("id")),
         "set-classes",
     )
     group = _candidates(classes, trees, extra, least)
     group = written(group.unionByName(group.select(F.col("component").alias("id"), "component").distinct()), "candidates")
-    sizes = group.groupBy("component").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / GROUP).cast("long")
-    members = written(
-        classes.select("id", "doc_id", "digest", "sketch", "n_shingles").join(group, "id").join(sizes, "component").withColumn("blocks", blocks), "members"
-    )
+    grouped = written(classes.select("id", "doc_id", "digest", "sketch", "n_shingles").join(group, "id"), "grouped")
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    sizes = written(sizes.select("component", "n", F.ceil(_shares(F.col("n"), F.col("shingles"))).cast("long").alias("blocks")), "component-sizes")
+    members = written(hot_joined(grouped, sizes, "component", "n"), "members")
     numbered = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     hub = F.xxhash64("id", F.lit(1)) % (F.floor(F.col("n") / 8) + 1) == 0  # about eight documents that all blocks share
     hubs = members.where("blocks > 1").where(hub).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["doc_id", "digest", "id", F.xxhash64("component", "block").alias("gkey"), "hub", "only", F.col("id").alias("own"), "sketch"]
+    columns = ["doc_id", "digest", "id", F.xxhash64("component", "block").alias("gkey"), "hub", "only", F.col("id").alias("own"), "sketch", "n_shingles"]
     confirm = lambda g: _confirm(g, percent, least)
     first = numbered.withColumn("hub", F.lit(False)).unionByName(hubs.withColumn("hub", F.lit(True))).withColumn("only", F.lit(True))
     first = written(first.select(*columns), "group-rows")
-    dealt = _bucketed(_with_sets(source, first, width), "gkey", first.count(), GROUP)
+    fill = first.agg(_shares(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0)))).first()[0]
+    dealt = _bucketed(_with_sets(source, first.drop("n_shingles"), width), "gkey", fill)
     links = written(dealt.groupBy("bucket").applyInPandas(confirm, "u long, v long"), "links")
     if numbered.where("blocks > 1").limit(1).count():
         so_far = connected_components(links)
         labelled = members.where("blocks > 1").join(so_far.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
-        main = labelled.groupBy("component", "own").agg(F.count("*").alias("many")).groupBy("component").agg(F.max_by("own", "many").alias("main"))
-        sided = labelled.join(main, "component").withColumn("side", (F.col("own") == F.col("main")).cast("int"))
+        main = labelled.groupBy("component", "own").agg(F.count("*").alias("many")).groupBy("component").agg(F.max_by("own", "many").alias("main"), F.sum("many").alias("members"))
+        sided = hot_joined(labelled, written(main, "group-mains"), "component", "members").withColumn("side", (F.col("own") == F.col("main")).cast("int"))
         tiles = written(_tiles(sided.select("doc_id", "digest", "id", "component", "own", "side", "n_shingles", "sketch")), "tiles")
         pairs = written(_tile_pairs(tiles, percent), "tile-pairs")
         used = tiles.join(pairs.select("component", "side", "tile").distinct(), ["component", "side", "tile"], "left_semi")

@@ -70,8 +70,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def hot_joined(rows: DataFrame, side: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``side``, which has each ``key`` once and in ``size`` the number of its rows.
+def hot_joined(rows: DataFrame, side: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has each ``key`` (a column or several) once and in ``size`` the number of its rows.
 
     Keys with over a thousandth of all rows, hence fewer than a thousand, are broadcast, so no task gets all rows of a
     hot one; the others are sort-merge joined (``how``: inner or left).
