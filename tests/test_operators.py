@@ -1,15 +1,16 @@
 """Definitions restated in pandas, hand-computed values and properties."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import Order, rolling
+from tickloom.functions.series import Order, ln, rolling
 from tickloom.operators import bars, dependence, encode, kraus, labels, ngrams, orderflow
-from tickloom.plans import daily
+from tickloom.plans import daily, queries
 from tickloom.sources import lob
 
 ONE = Order(("k",), ("i",))
@@ -28,6 +29,31 @@ def test_rolling_needs_non_null_values(spark):
     assert column(df, "s") == [None, None, 4.0, 7.0, 12.0]
 
 
+def test_logarithms_are_the_nearest_doubles(spark):
+    x = [100 + 0.005 * i for i in range(4000)] + [100.14, 100.13999999999999, 0.5, 5e-324, 1e308]
+    y = column(series(spark, x).withColumn("y", ln("x")), "y")
+    assert max(abs((Decimal(b) - Decimal(a).ln()) / Decimal(math.ulp(b))) for a, b in zip(x, y, strict=True)) < 0.501  # 0.504 at 100.14 by F.log
+    assert column(series(spark, [1.0, 100.14, 100.13999999999999]).withColumn("y", ln("x")), "y") == [0.0] + [math.log(100.14)] * 2
+    odd = column(series(spark, [0.0, -1.0, None, math.inf, math.nan]).withColumn("y", ln("x")), "y")
+    assert odd[:4] == [None, None, None, math.inf] and math.isnan(odd[4])
+
+
+@pytest.mark.parametrize("name", ["bivariate_symbols", "align_distr", "fold_sequence_distr", "fold_class_distr", "filter_distr", "discretised"])
+def test_equal_prices_that_doubles_tell_apart_have_no_return(name, spark, tmp_path):
+    """Events whose mid prices are 100.14 and the double below it in turn, by which Spark's logarithms differ and C's don't."""
+    import duckdb
+
+    duckdb.sql(
+        f"""COPY (SELECT CAST(CASE WHEN range % 8 < 4 THEN 18 ELSE 49 END + 102 * range AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * range AS ts,
+        CAST(range // 50 AS BIGINT) AS user_id, 'view' AS event_type, 1e0 AS value, '' AS props FROM range(200)) TO '{tmp_path}/events.parquet' (FORMAT parquet)"""
+    )
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_predictive_zscore(spark):
     z = column(encode.zscore_predictive(series(spark, [1.0, 2, 4, 7, 11, 16]), "x", 0.05, order=ONE), "x_z")
     assert [v is None or math.isnan(v) for v in z[:3]] == [True] * 3
