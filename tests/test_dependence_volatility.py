@@ -292,3 +292,12 @@ def test_profile_autocorrelation_and_its_band(spark):
 def test_profile_of_nothing(spark):
     df = spark.createDataFrame([], "k int, i long, x double, y double, a int, b int")
     assert profile.lag_profile(df, profile.Profile("x", "y", "a", "b", 3), ONE).count() == 0
+
+
+def test_one_long_series_of_a_profile_is_many_tasks_work(spark, monkeypatch):
+    monkeypatch.setattr(profile, "_BLOCK", 8)
+    rows = spark.range(50).select(F.lit(0).alias("k"), F.col("id").cast("int").alias("_place"), F.col("id").alias("_now"))
+    wide = profile._with_past(rows, ["k"], 3)
+    assert wide.select(F.spark_partition_id()).distinct().count() > 1
+    assert {r["_now"]: r["_past"] for r in wide.collect()} == {i: [i - j for j in range(min(i, 3) + 1)] for i in range(50)}
+    assert wide.count() == 50

@@ -17,6 +17,10 @@ _BAND = 1.959963984540054
 _CLAMPED = {"information": False, "space_time": False, "symbol_information": False, "transfer_histogram": False, "transfer": True, "self_transfer": True}
 
 
+#: Rows of a block.
+_BLOCK = 2048
+
+
 @dataclass(frozen=True)
 class Profile:
     """Names of the two series and of their symbols, the longest lag, and bins: of information by lag, of the space-time matrix,
@@ -51,29 +55,44 @@ def lag_profile(df: DataFrame, p: Profile, order: Order = BARS) -> DataFrame:
     * ``counterfactual``: :func:`dependence.counterfactual_entropy` of x's symbols to y's.
 
     A row takes its last 2 * longest rows along in one array, so a series moves once in each of two passes over its few
-    columns, which are written first: sums and ranges by lag, then counts of cells. Ranges come back as one map for each series. Information of every kind is the same sum
+    columns, which are written first: sums and ranges by lag, then counts of cells. Ranges come back as one array for each series. Information of every kind is the same sum
     over the one table of counts, which is written.
     """
     keys, reach = list(order.keys), 2 * p.longest
     now = F.struct(*(F.col(c).cast(t).alias(n) for c, t, n in ((p.x, "double", "x"), (p.y, "double", "y"), (p.x_symbol, "int", "sx"), (p.y_symbol, "int", "sy"))))
     sound = df.where(finite(p.x).isNotNull() & finite(p.y).isNotNull()).select(*keys, *order.by, now.alias("_now"))
-    sound = written(sound, "profile-rows")
-    whole, past = Window.partitionBy(*keys), F.collect_list("_now").over(order.rows().rowsBetween(-reach, 0))
-    wide = sound.select(*keys, "_now", F.reverse(past).alias("_past"), F.avg("_now.x").over(whole).alias("_mx"), F.avg("_now.y").over(whole).alias("_my"))
-    sums, ranges = _by_lag(wide, keys)
+    place = (F.row_number().over(order.rows()) - 1).alias("_place")
+    sound = written(sound.select(*keys, place, "_now"), "profile-rows")
     constants = sound.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.stddev_pop("_now.x").alias("dx"), F.stddev_pop("_now.y").alias("dy"), F.var_pop("_now.x").alias("vx"),
+        F.avg("_now.x").alias("_mx"), F.avg("_now.y").alias("_my"),
         dependence.quartile_bins("_now.x", p.most).alias("bx"), dependence.quartile_bins("_now.y", p.most).alias("by"),
         *((F.max(F.when(F.col(c) != p.missing, F.col(c))) + 1).cast("int").alias(n) for c, n in (("_now.sx", "kx"), ("_now.sy", "ky"))),
     )
     constants = written(constants, "profile-series")
+    wide = _with_past(sound, keys, reach).join(F.broadcast(constants.select(*keys, "_mx", "_my")), keys)
+    sums, ranges = _by_lag(wide, keys)
     counts = written(_counts(wide, ranges, constants, keys, p), "profile-counts")
     parts = [_correlations(sums, constants, keys, p), _information(counts, keys, p), _counterfactual(counts, constants, keys, p, order)]
     return parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
 
 
+def _with_past(sound: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """keys, _now, _past: each row and its last ``reach`` ones, itself first.
+
+    Series are cut into blocks, and a block's last rows go to the next one too, so that a long series is many tasks' work. The
+    number of tasks is given, since a few megabytes here become some hundred times as many cells.
+    """
+    size, n = max(_BLOCK, reach), int(sound.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.floor(F.col("_place") / size)
+    both = F.array(own, F.when(F.col("_place") % size >= size - reach, own + 1))
+    dealt = sound.withColumn("_block", F.explode(both)).where("_block is not null").repartition(n, *keys, "_block")
+    past = F.collect_list("_now").over(Window.partitionBy(*keys, "_block").orderBy("_place").rowsBetween(-reach, 0))
+    return dealt.withColumn("_past", F.reverse(past)).where(F.col("_block") == own).select(*keys, "_now", "_past")
+
+
 def _by_lag(wide: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Sums of products by lag, and for each series a map from lag to the ranges of the values paired at it."""
+    """Sums of products by lag, and for each series the ranges of the values paired at each lag, from 0 on."""
     each = wide.select(*keys, "_now", "_mx", "_my", F.posexplode("_past").alias("_k", "_then"))
     x, y = F.col("_now.x") - F.col("_mx"), F.col("_now.y") - F.col("_my")
     x0, y0 = F.col("_then.x") - F.col("_mx"), F.col("_then.y") - F.col("_my")
@@ -83,15 +102,15 @@ def _by_lag(wide: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
         dependence.pearson(F.col("_now.x"), F.col("_then.x")).alias("pearson"), *low_high,
     )
     sums = written(sums, "profile-sums")
-    row = F.struct("_k", F.struct(*(c for c in sums.columns if c.endswith(("_low", "_high")))))
-    return sums, sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(row)).alias("_ranges"))
+    row = F.struct("_k", *(c for c in sums.columns if c.endswith(("_low", "_high"))))
+    return sums, sums.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_ranges"))
 
 
 def _counts(wide: DataFrame, ranges: DataFrame, constants: DataFrame, keys: list[str], p: Profile) -> DataFrame:
     """keys, measure, lag, a, b, c, cnt."""
     rows = wide.join(ranges, keys).join(constants.select(*keys, "bx", "by"), keys)
     rows = rows.select(*keys, "_now", "bx", "by", "_ranges", F.expr("get(_past, 1)").alias("_prev"), F.posexplode("_past").alias("_k", "_then"))
-    rows = rows.withColumn("_r", F.col("_ranges")[F.col("_k")]).drop("_ranges")
+    rows = rows.withColumn("_r", F.get("_ranges", F.col("_k"))).drop("_ranges")
     k, none = F.col("_k"), F.lit(0)
     span = lambda c: (F.col(c), *(F.col(f"_r.{c.replace('.', '_')}_{n}") for n in ("low", "high")))
     even = lambda c, n: dependence.width_bin(*span(c), n)
