@@ -301,3 +301,12 @@ def test_one_long_series_of_a_profile_is_many_tasks_work(spark, monkeypatch):
     assert wide.select(F.spark_partition_id()).distinct().count() > 1
     assert {r["_now"]: r["_past"] for r in wide.collect()} == {i: [i - j for j in range(min(i, 3) + 1)] for i in range(50)}
     assert wide.count() == 50
+
+
+def test_likelihoods_of_known_sets_have_long_blocks(spark, sf, monkeypatch):
+    from tickloom.plans import queries
+
+    sizes, real = [], scan.block_size
+    monkeypatch.setattr(scan, "block_size", lambda alpha: sizes.append(real(alpha)) or real(alpha))
+    queries.QUERIES["conditional_likelihoods"](spark, sf)
+    assert min(sizes) > 200  # 4 rows before
