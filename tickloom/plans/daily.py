@@ -28,8 +28,9 @@ class Settings:
     decimals: int | None = None
 
 
-def featured_bars(events: DataFrame, s: Settings = Settings(), order: Order = DAY) -> DataFrame:
-    """Bars of one kind with all features that kind has. Unused columns are pruned, so ask for what is needed."""
+def featured_bars(events: DataFrame, s: Settings = Settings(), order: Order = DAY, needed: list[str] | None = None) -> DataFrame:
+    """Bars of one kind with all features that kind has. Unused columns are pruned, so ask for what is needed; VPIN has a join that
+    no pruning takes away, and is left out where ``needed`` names columns without it."""
     if s.resampling not in ("events", "seconds", "volume"):
         raise ValueError("resampling must be 'events', 'seconds' or 'volume'")
     df = orderflow.regular_hours(events) if s.regular_hours else events
@@ -40,14 +41,15 @@ def featured_bars(events: DataFrame, s: Settings = Settings(), order: Order = DA
     if s.resampling == "seconds":
         return bars.book_features(bars.targets(bars.time_bars(df, s.frequency, order=order), s.ks, order=on, zero_only=True), on, True)
     volume = s.resampling == "volume"  # its flow and imbalance stay null where they aren't defined
+    if not volume:  # first, since later windows then move rows without levels
+        df = orderflow.flow_levels(df, 10, n, "exponential", s.tau, order)
+        df = orderflow.flows_normalised(df, (1, 3, 10), n, "exponential", s.tau, order=order)
     df = orderflow.flow_imbalance(df, n, order, strict=volume)
     df = orderflow.trade_imbalance(orderflow.trade_signs(df, order), n, order, strict=volume)
     if s.resampling == "volume":
         return bars.book_features(bars.targets(bars.volume_bars(df, s.frequency, order), s.ks, order=on), on, True)
-    df = orderflow.vpin(df, s.vpin_volume, s.vpin_buckets, order)
-    df = orderflow.flow_levels(df, 10, n, "exponential", s.tau, order)
-    for levels in (1, 3, 10):
-        df = orderflow.flow_levels_normalised(df, levels, n, "exponential", s.tau, order=order)
+    if needed is None or {"vpin", "dvpin"} & set(needed):
+        df = orderflow.vpin(df, s.vpin_volume, s.vpin_buckets, order)
     return bars.book_features(bars.targets(bars.event_bars(df, s.frequency, order=order), s.ks, order=on), on)
 
 
@@ -90,7 +92,8 @@ def day_symbols(events: DataFrame, predicted: str, predictors: list[str], s: Set
     k, order = s.label.lstrip("ca"), bars.BARS
     needed = [f"log_mid_sum_fwd_{k}", f"log_mid_sum_bwd_{k}"] if s.label.startswith("ca") else [f"log_mid_return_fwd_{k}"]
     features, on = list(dict.fromkeys([predicted, *predictors])), [*order.keys, *order.by]
-    made = written(featured_bars(events, s).select(*on, *dict.fromkeys([*features, *needed])), "bars")
+    asked = list(dict.fromkeys([*features, *needed]))
+    made = written(featured_bars(events, s, needed=asked).select(*on, *asked), "bars")
     coded = symbols(made, features, s, order)
     first = F.max(F.when(F.col("feature") == predicted, F.col("symbol"))).over(Window.partitionBy(*on))
     both = coded.withColumn("_p", first).where(F.col("feature").isin(*predictors))
