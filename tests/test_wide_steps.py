@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tickloom.functions import tables
-from tickloom.functions.series import finite
-from tickloom.operators import orderflow
+from tickloom.functions.series import dealt, finite
+from tickloom.operators import neighbours, orderflow
 from tickloom.plans import daily, queries
 from tickloom.sources import lob
 
@@ -51,3 +51,25 @@ def test_finite_drops_nan_and_both_infinities(spark):
     values = [1.5, -0.0, None, float("nan"), float("inf"), float("-inf"), 1.7e308]
     got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(finite(F.col("v")).alias("x")).collect()]
     assert got == [1.5, 0.0, None, None, None, None, 1.7e308]
+
+
+def test_dealt_rows_stay_in_their_tasks_and_series_stay_whole(spark, sf):
+    book = dealt(lob.book_view(spark, sf).select("instrument_id", "trade_date", "sequence"))
+    placed = book.withColumn("task", F.spark_partition_id()).groupBy("instrument_id", "trade_date").agg(F.count_distinct("task").alias("n"), F.max("task").alias("task")).collect()
+    assert {r.n for r in placed} == {1} and len({r.task for r in placed}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_neighbours_read_points_and_not_events_again(spark, sf):
+    plan = _plan(queries.mi_neighbours(spark, sf))
+    assert "events.parquet" not in plan and "/points-" in plan and "/distances-" in plan
+
+
+def test_neighbours_of_crowded_cells_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 4)
+    points = [(1, i * i % 61, i * 37 % 53, 1 + i % 2) for i in range(120)]
+    points = sorted({(k, u, v): (k, u, v, n) for k, u, v, n in points}.values())
+    got = {(r.u, r.v): r.d for r in neighbours.kth_distance(spark.createDataFrame(points, "k int, u long, v long, n long"), ["k"], 3).collect()}
+    for _, u, v, n in points:
+        near = sorted(d for _, a, b, m in points for d in [max(abs(a - u), abs(b - v))] * (m - ((a, b) == (u, v))))
+        assert got[u, v] == near[2]
+    assert len(got) == len(points)

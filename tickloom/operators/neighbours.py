@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.series import Order, finite
+from ..functions.series import Order, dealt, finite
+from ..functions.tables import written
 from .bars import BARS
 from .dependence import lagged
 
@@ -69,55 +70,62 @@ def _celled(points: DataFrame, keys: list[str], k: int) -> DataFrame:
 def kth_distance(points: DataFrame, keys: list[str], k: int) -> DataFrame:
     """keys, u, v, n, d: the distance to the k-th other point, equal points counted as often as they occur; groups of k points or
     fewer are left out."""
-    points = _celled(points, keys, k)
+    points = _celled(dealt(points, keys), keys, k)
     right = lambda c, by: F.call_function("shiftright", c, by)
     used = points.groupBy(*keys).agg(F.collect_set("t").alias("_ts"))
     there = points.join(used, keys).select(*keys, "u", "v", "n", "a", "b", F.explode("_ts").alias("t"))
     there = there.select(*keys, "t", right(F.col("a"), F.col("t")).alias("ca"), right(F.col("b"), F.col("t")).alias("cb"), F.struct("u", "v", "n").alias("o"))
     cell = [*keys, "t", "ca", "cb"]
-    tiles = there.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    there = there.join(tiles, cell).withColumn("tile", F.pmod(F.xxhash64("o.u", "o.v"), F.col("tiles")).cast("int")).drop("tiles")
+    crowded = there.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")  # few, so joins with them sort nothing
+    tiles = F.coalesce("tiles", F.lit(1))
+    there = there.join(crowded, cell, "left").withColumn("tile", F.pmod(F.xxhash64("o.u", "o.v"), tiles).cast("int")).drop("tiles")
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     asking = points.withColumn("_s", around)
     asking = asking.select(*keys, "t", (right(F.col("a"), F.col("t")) + F.col("_s.i")).alias("ca"), (right(F.col("b"), F.col("t")) + F.col("_s.j")).alias("cb"), "u", "v", "n")
-    asking = asking.join(tiles, cell).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    asking = asking.join(crowded, cell, "left").withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).drop("tiles")
     met = asking.join(there, [*cell, "tile"])
     d = F.greatest(F.abs(F.col("u") - F.col("o.u")), F.abs(F.col("v") - F.col("o.v")))
     met = met.select(*keys, "u", "v", "n", d.alias("d"), (F.col("o.n") - F.when(d == 0, 1).otherwise(0)).alias("w")).where("w > 0")
+    met = dealt(met, [*keys, "u", "v"])  # else a task sorted all pairs of its series
     nearest = Window.partitionBy(*keys, "u", "v", "n").orderBy("d")
     met = met.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
     so_far = met.withColumn("_w", F.sum("w").over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
     return so_far.where(F.col("_w") >= k).groupBy(*keys, "u", "v", "n").agg(F.min("d").alias("d"))
 
 
-def _within(points: DataFrame, asked: DataFrame, axis: str, keys: list[str]) -> DataFrame:
-    """keys and the mean of digamma(neighbours + 1) over all points: others nearer than ``d`` on one axis (as near, if d is 0).
+def _within(points: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, psi_u, psi_v, pairs: on each axis the mean of digamma(neighbours + 1) over all points, others nearer than ``d`` there (as
+    near, if d is 0), and how many points there are.
 
-    Points and both ends of every range stand sorted together; running sums at the ends give the counts.
+    Of each axis, points and both ends of every range stand sorted together; running sums at the ends give the counts.
     """
     near = F.greatest(F.col("d") - 1, F.lit(0))
-    at = lambda z, kind, what: F.struct(z.alias("z"), F.lit(kind).alias("kind"), what.alias("c"))
-    values = points.groupBy(*keys, F.col(axis).alias("z")).agg(F.sum("n").alias("c")).select(*keys, "z", F.lit(1).alias("kind"), "c", F.lit(None).cast("struct<u:bigint,v:bigint,n:bigint>").alias("p"))
-    p = F.struct("u", "v", "n").alias("p")
-    ends = F.explode(F.array(at(F.col(axis) - near, 0, F.lit(0).cast("long")), at(F.col(axis) + near, 2, F.lit(0).cast("long"))))
-    probes = asked.select(*keys, ends.alias("e"), p).select(*keys, "e.z", "e.kind", "e.c", "p")
-    run = Window.partitionBy(*keys).orderBy("z", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = values.unionByName(probes).withColumn("s", F.sum("c").over(run)).where("p is not null")
-    per = counted.groupBy(*keys, "p").agg((F.max("s") - F.min("s")).alias("m"))  # the point itself is among them
-    return per.groupBy(*keys).agg((F.sum(F.col("p.n") * digamma(F.col("m"))) / F.sum("p.n")).alias(f"psi_{axis}"))
+    at = lambda axis, z, kind: F.struct(F.lit(axis).alias("axis"), z.alias("z"), F.lit(kind).alias("kind"))
+    own = F.explode(F.array(*(at(c, F.col(c), 1) for c in "uv")))
+    values = points.select(*keys, own.alias("e"), "n").groupBy(*keys, "e.axis", "e.z", "e.kind").agg(F.sum("n").alias("c"))
+    values = values.select(*keys, "axis", "z", "kind", "c", F.lit(None).cast("struct<u:bigint,v:bigint,n:bigint>").alias("p"))
+    ends = F.explode(F.array(*(at(c, F.col(c) + sign * near, kind) for c in "uv" for sign, kind in ((-1, 0), (1, 2)))))
+    probes = asked.select(*keys, ends.alias("e"), F.struct("u", "v", "n").alias("p"))
+    probes = probes.select(*keys, "e.axis", "e.z", "e.kind", F.lit(0).cast("long").alias("c"), "p")
+    run = Window.partitionBy(*keys, "axis").orderBy("z", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = dealt(values.unionByName(probes), [*keys, "axis"]).withColumn("s", F.sum("c").over(run)).where("p is not null")
+    per = counted.groupBy(*keys, "axis", "p").agg((F.max("s") - F.min("s")).alias("m"))  # the point itself is among them
+    psi = [(F.sum(F.when(F.col("axis") == c, F.col("p.n") * digamma(F.col("m")))) / F.sum(F.when(F.col("axis") == c, F.col("p.n")))).alias(f"psi_{c}") for c in "uv"]
+    total = points.groupBy(*keys).agg(F.sum("n").alias("pairs"))
+    return total.join(per.groupBy(*keys).agg(*psi), keys, "left")
 
 
 def neighbour_information(df: DataFrame, x: str, y: str, lags: list[int], k: int = 5, order: Order = BARS) -> DataFrame:
     """keys, lag, value, pairs: the mutual information (nats, never below 0) of x at t and y at t + lag by ``k`` nearest neighbours.
 
     psi(n) + psi(k) less the means of psi(neighbours + 1) on either axis, nearer than the k-th neighbour in the plane. Pairs with a
-    value that isn't finite go; null for k pairs or fewer. No noise is added to break ties.
+    value that isn't finite go; null for k pairs or fewer. No noise is added to break ties. Points and their distances are written to
+    the shared folder once, so no step makes the bars anew or holds them beside its own rows.
     """
     keys = [*order.keys, "lag"]
     pairs = lagged(df, x, y, [-j for j in lags], order).withColumn("lag", -F.col("lag"))
-    points = _lattice(pairs, keys)
-    asked = kth_distance(points, keys, k)
-    total = points.groupBy(*keys).agg(F.sum("n").alias("pairs"))
-    out = total.join(_within(points, asked, "u", keys), keys, "left").join(_within(points, asked, "v", keys), keys, "left")
+    points = written(_lattice(pairs, keys), "points")
+    asked = written(kth_distance(points, keys, k), "distances")
     value = digamma(F.col("pairs")) + digamma(F.lit(k)) - F.col("psi_u") - F.col("psi_v")
+    out = _within(points, asked, keys)
     return out.select(*keys, F.when(value.isNotNull(), F.greatest(value, F.lit(0.0))).alias("value"), "pairs")

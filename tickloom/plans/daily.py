@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.series import DAY, Order
+from ..functions.series import DAY, Order, dealt
 from ..functions.tables import written
 from ..operators import bars, encode, labels, ngrams, orderflow
 
@@ -34,7 +34,7 @@ def featured_bars(events: DataFrame, s: Settings = Settings(), order: Order = DA
     if s.resampling not in ("events", "seconds", "volume"):
         raise ValueError("resampling must be 'events', 'seconds' or 'volume'")
     df = orderflow.regular_hours(events) if s.regular_hours else events
-    df = orderflow.fill_book(df, order)
+    df = orderflow.fill_book(dealt(df, order.keys), order)
     n = s.frequency if s.resampling == "events" else 10
     df = orderflow.event_features(df, n, 3 * s.frequency, order)
     on = Order(order.keys, ("sample_idx",))
