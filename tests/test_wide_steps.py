@@ -73,3 +73,14 @@ def test_neighbours_of_crowded_cells_are_those_of_all_pairs(spark, monkeypatch):
         near = sorted(d for _, a, b, m in points for d in [max(abs(a - u), abs(b - v))] * (m - ((a, b) == (u, v))))
         assert got[u, v] == near[2]
     assert len(got) == len(points)
+
+
+def test_neighbours_broadcast_no_points(spark):
+    # small as a file, so both would be chosen for a broadcast, which the driver holds whole
+    points = tables.written(spark.range(500).selectExpr("1 as k", "id as u", "id * 37 % 101 as v", "1L as n"), "points")
+    asked = neighbours.kth_distance(points, ["k"], 3)
+    for df, joins in ((asked, 1), (neighbours._within(points, tables.written(asked, "distances"), ["k"]), 1)):
+        plan = _plan(df)
+        assert plan.count("SortMergeJoin") == joins
+        sides = plan.split("BroadcastExchange")[1:]  # only the crowded cells' counts
+        assert all("tiles" in s.split("HashAggregate")[0] and "HashAggregate" in s for s in sides)

@@ -72,8 +72,8 @@ def kth_distance(points: DataFrame, keys: list[str], k: int) -> DataFrame:
     fewer are left out."""
     points = _celled(dealt(points, keys), keys, k)
     right = lambda c, by: F.call_function("shiftright", c, by)
-    used = points.groupBy(*keys).agg(F.collect_set("t").alias("_ts"))
-    there = points.join(used, keys).select(*keys, "u", "v", "n", "a", "b", F.explode("_ts").alias("t"))
+    used = F.collect_set("t").over(Window.partitionBy(*keys))
+    there = points.withColumn("_ts", used).select(*keys, "u", "v", "n", "a", "b", F.explode("_ts").alias("t"))
     there = there.select(*keys, "t", right(F.col("a"), F.col("t")).alias("ca"), right(F.col("b"), F.col("t")).alias("cb"), F.struct("u", "v", "n").alias("o"))
     cell = [*keys, "t", "ca", "cb"]
     crowded = there.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")  # few, so joins with them sort nothing
@@ -83,7 +83,7 @@ def kth_distance(points: DataFrame, keys: list[str], k: int) -> DataFrame:
     asking = points.withColumn("_s", around)
     asking = asking.select(*keys, "t", (right(F.col("a"), F.col("t")) + F.col("_s.i")).alias("ca"), (right(F.col("b"), F.col("t")) + F.col("_s.j")).alias("cb"), "u", "v", "n")
     asking = asking.join(crowded, cell, "left").withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).drop("tiles")
-    met = asking.join(there, [*cell, "tile"])
+    met = asking.join(there.hint("merge"), [*cell, "tile"])  # points are small as a file, and the driver would hold all of them nine times
     d = F.greatest(F.abs(F.col("u") - F.col("o.u")), F.abs(F.col("v") - F.col("o.v")))
     met = met.select(*keys, "u", "v", "n", d.alias("d"), (F.col("o.n") - F.when(d == 0, 1).otherwise(0)).alias("w")).where("w > 0")
     met = dealt(met, [*keys, "u", "v"])  # else a task sorted all pairs of its series
@@ -112,7 +112,7 @@ def _within(points: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     per = counted.groupBy(*keys, "axis", "p").agg((F.max("s") - F.min("s")).alias("m"))  # the point itself is among them
     psi = [(F.sum(F.when(F.col("axis") == c, F.col("p.n") * digamma(F.col("m")))) / F.sum(F.when(F.col("axis") == c, F.col("p.n")))).alias(f"psi_{c}") for c in "uv"]
     total = points.groupBy(*keys).agg(F.sum("n").alias("pairs"))
-    return total.join(per.groupBy(*keys).agg(*psi), keys, "left")
+    return total.join(per.groupBy(*keys).agg(*psi).hint("merge"), keys, "left")
 
 
 def neighbour_information(df: DataFrame, x: str, y: str, lags: list[int], k: int = 5, order: Order = BARS) -> DataFrame:
